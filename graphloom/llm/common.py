@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: word tables over Arrow text, and scratch tables.
+"""What the operators of this subpackage share: word tables over Arrow text.
 
 Text columns are handled as UTF-8 bytes. All word rules used here are rules on bytes (every byte of
 0x80 and above belongs to a word), so one numpy pass over an Arrow buffer splits a whole batch.
@@ -7,15 +7,13 @@ Text columns are handled as UTF-8 bytes. All word rules used here are rules on b
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
@@ -162,44 +160,7 @@ def sliced(batch: pa.RecordBatch, rows: int = 65536):
 
 # --- Spark side -------------------------------------------------------------------------------
 
-_scratch: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet to the shared folder and reads them back: this cuts the lineage,
-    and the table outlives lost executors. release() removes all such tables."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Removes the scratch tables made so far; call it when no result that reads them is still to be computed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def block_count(docs: DataFrame, block_bytes: int) -> int:
     """How many blocks of about block_bytes of text the documents make; it grows with the input."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 32)).first()[0] or 0
     return max(1, math.ceil(total / block_bytes))
-
-
-def no_nulls_last(column: str):
-    """Sort order in which a null id comes after every other."""
-    return F.col(column).asc_nulls_last()

@@ -67,18 +67,18 @@ def _templates(spark: SparkSession) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("t1", "t2", "t3"))
 
 
-def scan_spans(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
+def scan_spans(docs: DataFrame) -> DataFrame:
     """One row per document and diagonal with votes, and one without template per document: row, doc_id,
     n_words, template, label, base, grams, diagonal, votes, first, last (k-gram starts), seen (bit set of
     template positions)."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *extra, words(F.col("text")).alias("w"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     w, size = F.col("w"), F.size("w")
-    grams = numbered.select("row", "doc_id", *extra, size.alias("n_words"), F.posexplode_outer(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(size, F.lit(1))).alias("b"), F.slice(w, 3, F.greatest(size, F.lit(1))).alias("c"))).alias("p", "g"))
-    grams = grams.select("row", "doc_id", *extra, "n_words", "p", F.col("g.a").alias("a"), F.col("g.b").alias("b"), F.col("g.c").alias("c")).withColumn("h", F.xxhash64("a", "b", "c"))
+    grams = numbered.select("row", "doc_id", size.alias("n_words"), F.posexplode_outer(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(size, F.lit(1))).alias("b"), F.slice(w, 3, F.greatest(size, F.lit(1))).alias("c"))).alias("p", "g"))
+    grams = grams.select("row", "doc_id", "n_words", "p", F.col("g.a").alias("a"), F.col("g.b").alias("b"), F.col("g.c").alias("c")).withColumn("h", F.xxhash64("a", "b", "c"))
     t = F.broadcast(_templates(docs.sparkSession).alias("t"))  # a fixed list
     hit = (F.col("t.h") == grams.h) & (F.col("t.t1") == grams.a) & (F.col("t.t2") == grams.b) & (F.col("t.t3") == grams.c)
     votes = grams.join(t, hit, "left").withColumn("diagonal", F.col("p") - F.col("at"))
-    return votes.groupBy("row", "doc_id", *extra, "n_words", "template", "label", "base", "grams", "diagonal").agg(
+    return votes.groupBy("row", "doc_id", "n_words", "template", "label", "base", "grams", "diagonal").agg(
         F.count("at").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"), F.bit_or("bit").alias("seen")
     )
 
