@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, licenses, sharding, simhash
+from graphloom.llm import decontaminate, exact_dedup, licenses, sharding, simhash, substring_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,6 +21,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op8_simhash": op8_simhash,
@@ -47,7 +52,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (UPPER, LOWER)
 
+SPACED_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {SPACED_WORDS} AS w FROM documents),
+        di AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+        runs AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM di),
+        first AS (SELECT g, min(doc_id) AS least FROM runs GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM runs JOIN first USING (g) WHERE doc_id > least),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op5_decontaminate": f"""
         WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
         b AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {ALNUM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),

@@ -136,21 +136,24 @@ def links_within(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
 
 
-def _link_batches(batches):
-    parts = list(batches)
-    if not parts:
-        return
-    key = np.concatenate([p.column(0).to_numpy() for p in parts])
-    fp = np.concatenate([p.column(1).to_numpy() for p in parts]).view(np.uint64)
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.repeat(np.diff(np.append(edges, len(key))), np.diff(np.append(edges, len(key))))
-    large = fp[sizes > BUCKET].view(np.int64)
-    yield as_batch(LINKS, large, np.full(len(large), None))  # no partner: linked by points
-    some = (sizes > 1) & (sizes <= BUCKET)
-    a, b = links_within(key[some], fp[some])
-    yield as_batch(LINKS, a.view(np.int64), b.view(np.int64))
+def _link_batches(bucket: int):
+    def run(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        key = np.concatenate([p.column(0).to_numpy() for p in parts])
+        fp = np.concatenate([p.column(1).to_numpy() for p in parts]).view(np.uint64)
+        order = np.lexsort((fp, key))
+        key, fp = key[order], fp[order]
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.repeat(np.diff(np.append(edges, len(key))), np.diff(np.append(edges, len(key))))
+        large = fp[sizes > bucket].view(np.int64)
+        yield as_batch(LINKS, large, np.full(len(large), None))  # no partner: linked by points
+        some = (sizes > 1) & (sizes <= bucket)
+        a, b = links_within(key[some], fp[some])
+        yield as_batch(LINKS, a.view(np.int64), b.view(np.int64))
+
+    return run
 
 
 def _points():
@@ -160,13 +163,13 @@ def _points():
     return F.transform(F.lit(flips), lambda flip: F.col("fp").bitwiseXOR(flip))
 
 
-def near_links(fps: DataFrame) -> DataFrame:
+def near_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links a, b between distinct fingerprints fp, with the same components as all pairs within LIMIT bits."""
     n = fps.count()
     spark = fps.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * SEGMENTS * REACH / 2_000_000))
     keyed = fps.select(F.explode(_keys()).alias("key"), "fp").repartition(parts, "key")
-    found = scratch(keyed.mapInArrow(_link_batches, "a long, b long"))
+    found = scratch(keyed.mapInArrow(_link_batches(bucket), "a long, b long"))
     links = found.where("b IS NOT NULL")
     crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if crowded.isEmpty():
