@@ -38,7 +38,7 @@ FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprints_of(texts: pa.LargeStringArray, chunk: int = 1 << 20) -> np.ndarray:
+def fingerprints_of(texts: pa.LargeStringArray, chunk: int = 1 << 17) -> np.ndarray:
     """The 64-bit fingerprint of each text (already in lower case)."""
     words = split_words(texts, SPACED)
     n = len(texts)
@@ -60,14 +60,14 @@ def fingerprints_of(texts: pa.LargeStringArray, chunk: int = 1 << 20) -> np.ndar
         h = np.array([digest(joined[s:e], SEED) for s, e in zip(begin[first].tolist(), end[last].tolist(), strict=True)], np.uint64)
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         full = np.flatnonzero(np.diff(bounds))  # empty texts have no shingles
-        ones[d0 + full] += np.add.reduceat(bits, bounds[full] - low, axis=0, dtype=np.int64)
+        ones[d0 + full] += np.add.reduceat(bits, bounds[full] - low, axis=0, dtype=np.int32)
     set_bits = ones * 2 > shingles[:, None]
     return np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        for part in sliced(batch, 2048):
+        for part in sliced(batch, 512):
             yield as_batch(FINGERPRINTS, part.column(0), fingerprints_of(large_text(part.column(1), lower=True)).view(np.int64))
 
 
