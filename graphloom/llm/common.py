@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 
 
-def _byte_class(delimiters: list[tuple[int, int]]) -> np.ndarray:
+def byte_class(delimiters: list[tuple[int, int]]) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     for low, high in delimiters:
         table[low : high + 1] = False
@@ -27,9 +27,9 @@ def _byte_class(delimiters: list[tuple[int, int]]) -> np.ndarray:
 
 
 #: `[^\x20\x09-\x0D]+`
-SPACED = _byte_class([(0x09, 0x0D), (0x20, 0x20)])
+SPACED = byte_class([(0x09, 0x0D), (0x20, 0x20)])
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, on text whose A-Z are in lower case
-ALNUM = _byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+ALNUM = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 
 def large_text(column: pa.Array | pa.ChunkedArray, lower: bool) -> pa.LargeStringArray:
