@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, licenses, packing, sharding, simhash, substring_dedup, toxicity
+from graphloom.llm import decontaminate, exact_dedup, langid, licenses, packing, sharding, simhash, substring_dedup, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,6 +38,13 @@ def _remainder(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"), _remainder(5) != 0)
+    found = langid.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"), _remainder(5) != 0)
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
