@@ -36,7 +36,8 @@ def large_text(column: pa.Array | pa.ChunkedArray, lower: bool) -> pa.LargeStrin
     """The column as one array without nulls (null: empty), A-Z in lower case if asked."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.chunked_array([c.cast(pa.large_string()) for c in column.chunks], pa.large_string()).combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    # The copy matters: ascii_lower is wrong on a cast slice, whose bytes don't begin at its buffer's start.
+    column = pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), "")])
     return pc.ascii_lower(column) if lower else column
 
 
@@ -139,16 +140,6 @@ def to_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def to_unsigned(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x).view(np.uint64)
-
-
-def read_batches(batches, columns: list[str]) -> pa.Table | None:
-    """All batches of a partition as one table; None if there are none."""
-    batches = [b.select(columns) for b in batches]
-    return pa.Table.from_batches(batches).combine_chunks() if batches else None
-
-
 def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
