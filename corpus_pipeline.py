@@ -1,10 +1,62 @@
-"""The corpus pipeline: stages over the table documents."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, decontamination, packing.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame. run() writes what a stage returns as Parquet to
+the shared scratch folder and reads it back as the next stage's docs. All but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from graphloom.plans.scratch import scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is 0.5 or more go. The model learns from all labelled documents."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.with_toxicity(docs, model).where("toxicity < 0.5").drop("toxicity")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near-equal fingerprints the one with the smallest doc_id stays."""
+    return simhash.near_dedup(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out; documents of which nothing is left go. n_chars is counted anew."""
+    cut = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, a row for each."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", cut_benchmark),
+    ("packing", pack),
+]
+
+#: Training, fingerprints and subword ids are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; the result of the last one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = scratch(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
