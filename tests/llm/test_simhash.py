@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from graphloom.llm import simhash
@@ -47,6 +48,14 @@ def test_matches_brute_force(spark, documents):
     assert len({c for _, _, c in got}) < len(got)
 
 
+def test_batches_are_cut_without_loss(documents):
+    """More rows than a task takes at once, from the middle of an Arrow array."""
+    texts = [t for _, t in documents] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = [v for b in simhash._fingerprint_batches([batch]) for v in b.column(1).to_numpy().view(np.uint64).tolist()]
+    assert got == [fingerprint(t) for t in texts[: len(documents)]] * 4
+
+
 def test_awkward_rows_and_empty_table(spark):
     assert sorted(map(tuple, simhash.near_components(table(spark, AWKWARD)).collect())) == brute(AWKWARD)
     assert simhash.near_components(table(spark, [])).collect() == []
