@@ -6,7 +6,7 @@ A passage of WINDOW words or more that also stands in a document with a smaller
   documents that share such a run share its anchor. Documents are joined on anchors; those of one
   document alone are dropped.
 * Extension: from each shared anchor the match is extended to the left and to the right as far as the
-  anchor stands for the run. Each extension of full length is named by a 128-bit hash, and the smallest
+  anchor stands for the run. Each extension of full length is named by a 96-bit hash, and the smallest
   document that holds it is found. Grouping extensions by name replaces comparing the documents under an
   anchor pair by pair, so a passage that thousands of documents share costs a row for each block.
 * Maximal repeats: neighbouring and overlapping extensions of a document merge, and their words go.
@@ -26,12 +26,20 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import BASES, SPACED, as_batch, block_count, inside_docs, large_text, rolling, split_words, to_signed
 
-WINDOW, GRAM, BLOCK_BYTES = 13, 5, 16 << 20
+WINDOW, GRAM, BLOCK_BYTES = 13, 5, 8 << 20
 NO_ID = 2**63 - 1
 
-SEEDS = pa.schema([("seed", pa.int64()), ("block", pa.int32()), ("many", pa.bool_())])
-EXTENSIONS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("block", pa.int32()), ("least", pa.int64()), ("many", pa.bool_())])
-REPEATS = pa.schema([("block", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("least", pa.int64())])
+# Rows are packed, since each column of a shuffled row takes a word: a tag is the block and whether
+# several documents of the block are meant, and for extensions also the second hash.
+SEEDS = pa.schema([("seed", pa.int64()), ("tag", pa.int64())])
+EXTENSIONS = pa.schema([("w1", pa.int64()), ("tag", pa.int64()), ("least", pa.int64())])
+REPEATS = pa.schema([("block", pa.int32()), ("w1", pa.int64()), ("w2", pa.int32()), ("least", pa.int64())])
+
+
+def _names(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes (64 and 32 bits) of the runs from the given starts."""
+    w1, w2 = (rolling(h, WINDOW, b)[at] for b in BASES)
+    return to_signed(w1), to_signed(w2) >> 32
 
 
 def _runs(batch):
@@ -68,7 +76,7 @@ def _seeds(batches):
         first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])])
         start = np.flatnonzero(first)
         many = np.append(doc[start[1:] - 1], doc[-1]) != doc[start]
-        yield as_batch(SEEDS, to_signed(anchor[start]), block[start], many)
+        yield as_batch(SEEDS, to_signed(anchor[start]), block[start].astype(np.int64) * 2 + many)
 
 
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
@@ -85,9 +93,9 @@ def _shared(batches):
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    seed, block, many = (t.column(c).to_numpy() for c in ("seed", "block", "many"))
-    order = np.lexsort((block, seed))
-    seed, block, many = seed[order], block[order], many[order]
+    seed, tag = (t.column(c).to_numpy() for c in SEEDS.names)
+    order = np.lexsort((tag, seed))
+    seed, block, many = seed[order], (tag[order] >> 1).astype(np.int32), (tag[order] & 1).astype(bool)
     start = _group_starts(seed)
     sizes = np.diff(np.append(start, len(seed)))
     shared = np.repeat((sizes > 1) | np.logical_or.reduceat(many, start), sizes)
@@ -106,8 +114,8 @@ def _extend(docs: pa.Table, seeds: pa.Table) -> pa.Table:
     if not docs.num_rows or not seeds.num_rows:
         return EXTENSIONS.empty_table()
     words, h, ok = _runs(docs)
-    at = np.flatnonzero(ok & np.isin(_anchors(h), to_unsigned_sorted(seeds.column("seed").to_numpy())))
-    w1, w2 = (rolling(h, WINDOW, b)[at] for b in BASES)
+    at = np.flatnonzero(ok & np.isin(to_signed(_anchors(h)), seeds.column("seed").to_numpy()))
+    w1, w2 = _names(h, at)
     doc = _ids(docs)[words.doc_of_word()[at]]
     order = np.lexsort((doc, w2, w1))
     w1, w2, doc = w1[order], w2[order], doc[order]
@@ -115,12 +123,8 @@ def _extend(docs: pa.Table, seeds: pa.Table) -> pa.Table:
     if not len(start):
         return EXTENSIONS.empty_table()
     many = np.append(doc[start[1:] - 1], doc[-1]) != doc[start]
-    block = np.full(len(start), docs.column("block")[0].as_py(), np.int32)
-    return pa.Table.from_batches([as_batch(EXTENSIONS, to_signed(w1[start]), to_signed(w2[start]), block, doc[start], many)])
-
-
-def to_unsigned_sorted(x: np.ndarray) -> np.ndarray:
-    return np.sort(np.ascontiguousarray(x).view(np.uint64))
+    tag = (w2[start] << 32) + docs.column("block")[0].as_py() * 2 + many
+    return pa.Table.from_batches([as_batch(EXTENSIONS, w1[start], tag, doc[start])])
 
 
 def _repeats(batches):
@@ -129,9 +133,10 @@ def _repeats(batches):
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    w1, w2, block, least, many = (t.column(c).to_numpy() for c in EXTENSIONS.names)
-    order = np.lexsort((block, w2, w1))
-    w1, w2, block, least, many = (x[order] for x in (w1, w2, block, least, many))
+    w1, tag, least = (t.column(c).to_numpy() for c in EXTENSIONS.names)
+    order = np.lexsort((tag, w1))
+    w1, tag, least = w1[order], tag[order], least[order]
+    w2, block, many = tag >> 32, (tag & 0xFFFFFFFF) >> 1, (tag & 1).astype(bool)
     start = _group_starts(w1, w2)
     smallest = np.repeat(np.minimum.reduceat(least, start), np.diff(np.append(start, len(w1))))
     out = (least > smallest) | many
@@ -146,7 +151,7 @@ def _found(w1: np.ndarray, w2: np.ndarray, repeats: pa.Table) -> np.ndarray:
     out = np.full(len(w1), NO_ID)
     if not repeats.num_rows or not len(w1):
         return out
-    r1, r2 = (np.ascontiguousarray(repeats.column(c).to_numpy()).view(np.uint64) for c in ("w1", "w2"))
+    r1, r2 = (repeats.column(c).to_numpy() for c in ("w1", "w2"))
     order = np.lexsort((r2, r1))
     r1, r2, least = r1[order], r2[order], repeats.column("least").to_numpy()[order]
     at, left = np.searchsorted(r1, w1), np.arange(len(w1))
@@ -167,8 +172,7 @@ def _remove(with_text: bool):
         keep = np.ones(len(words), bool)
         at = np.flatnonzero(ok)
         if len(at) and repeats.num_rows:
-            w1, w2 = (rolling(h, WINDOW, b)[at] for b in BASES)
-            at = at[_found(w1, w2, repeats) < ids[doc[at]]]
+            at = at[_found(*_names(h, at), repeats) < ids[doc[at]]]
             edge = np.zeros(len(words) + 1, np.int32)
             edge[at] += 1
             np.add.at(edge, at + WINDOW, -1)
@@ -197,8 +201,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int =
     n = block_count(docs, block_bytes)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block")).repartition(n, "block")
-    seeds = base.mapInArrow(_seeds, "seed long, block int, many boolean").repartition(n, "seed").mapInArrow(_shared, "block int, seed long")
-    extensions = base.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_extend, "w1 long, w2 long, block int, least long, many boolean")
-    repeats = extensions.repartition(n, "w1").mapInArrow(_repeats, "block int, w1 long, w2 long, least long")
+    seeds = base.mapInArrow(_seeds, "seed long, tag long").repartition(n, "seed").mapInArrow(_shared, "block int, seed long")
+    extensions = base.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_extend, "w1 long, tag long, least long")
+    repeats = extensions.repartition(n, "w1").mapInArrow(_repeats, "block int, w1 long, w2 int, least long")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return base.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(_remove(with_text), schema)
