@@ -166,9 +166,14 @@ def train(docs: DataFrame, vocabulary_path: str, wanted=None, sample_docs: int =
     null lang are left out. wanted: a condition on doc_id for rows that may be learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL")
     rows = rows.where(wanted) if wanted is not None else rows
-    sample: list[tuple] = []
+    order = F.xxhash64("doc_id", F.lit(13)), "doc_id"
+    chosen = None
     for (lang,) in sorted(rows.select("lang").distinct().collect()):
-        sample += sorted(map(tuple, rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "text").limit(sample_docs).select("text", "lang").collect()), key=str)
+        some = rows.where(F.col("lang") == lang).select("doc_id").orderBy(*order).limit(sample_docs)
+        chosen = some if chosen is None else chosen.union(some)
+    if chosen is None:
+        return fit([], [], vocabulary_path)
+    sample = sorted(map(tuple, rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text", "lang").collect()), key=str)
     return fit([t for t, _ in sample], [x for _, x in sample], vocabulary_path)
 
 
