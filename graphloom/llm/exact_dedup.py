@@ -17,11 +17,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SALTS = 8
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def ascii_lower(text: pa.Array) -> pa.Array:
     return pc.ascii_lower(text)
 
