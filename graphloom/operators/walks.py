@@ -18,12 +18,9 @@ def neighbor_table(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.array_sort(F.collect_list("n")).alias("nbrs"))
 
 
-def _mixed(*parts: Column) -> Column:
-    h = F.lit(0).cast("long")
-    for p in parts:
-        h = F.pmod(F.pmod(h + p.cast("long"), F.lit(HASH_RANGE)) * 1664525 + 1013904223, F.lit(HASH_RANGE))
-        h = F.pmod((h + F.shiftright(h, 15)) * 1664525, F.lit(HASH_RANGE))
-    return h
+def _chance(*parts: Column) -> Column:
+    """A number from 0 to below 1 by a hash; draws of different steps are independent."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
 
 
 def random_walks(seeds: DataFrame, edges: DataFrame, walks: int = 20, length: int = 15, restart: float = 0.1, p: float = 1.0, q: float = 0.3, salt: int = 0, every: int = 4) -> DataFrame:
@@ -37,14 +34,23 @@ def random_walks(seeds: DataFrame, edges: DataFrame, walks: int = 20, length: in
     front = seeds.select("seed", "number", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
     front = front.select("*", F.array("seed").alias("path"), F.col("seed").alias("cur"), F.lit(None).cast("string").alias("prev"), F.array().cast("array<string>").alias("prev_nbrs"))
     for step in range(1, length):
-        draw = _mixed(F.col("number"), F.col("walk"), F.lit(step), F.lit(salt)) / float(HASH_RANGE)
-        again = _mixed(F.col("number"), F.col("walk"), F.lit(step), F.lit(salt + 7919)) / float(HASH_RANGE)
+        draw = _chance(F.col("number"), F.col("walk"), F.lit(step), F.lit(salt))
+        again = _chance(F.col("number"), F.col("walk"), F.lit(step), F.lit(salt + 7919))
         at = front.join(nbrs.withColumnRenamed("node", "cur"), "cur", "left").withColumn("nbrs", F.coalesce("nbrs", F.array("cur")))
-        weights = F.transform("nbrs", lambda x: F.when(F.col("prev").isNull(), 1.0).when(x == F.col("prev"), 1 / p).when(F.array_contains("prev_nbrs", x), 1.0).otherwise(1 / q))
-        at = at.withColumn("w", weights).withColumn("goal", again * F.aggregate("w", F.lit(0.0), lambda s, x: s + x))
-        runs = F.aggregate("w", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + F.when(s["sum"] + x <= F.col("goal"), 1).otherwise(0)).alias("n")))["n"]
-        chosen = F.when(draw < restart, F.col("seed")).otherwise(F.element_at("nbrs", F.least(runs + 1, F.size("nbrs"))))
-        at = at.withColumn("next", chosen)
+        # Neighbours in three lists of one weight each, by hash sets: linear in the neighbours of both nodes.
+        back = F.array_intersect("nbrs", F.coalesce(F.array("prev"), F.array().cast("array<string>")))
+        near = F.array_except(F.array_intersect("nbrs", "prev_nbrs"), back)
+        near = F.when(F.col("prev").isNull(), F.col("nbrs")).otherwise(near)
+        at = at.withColumn("again", again).withColumn("draw", draw).withColumn("lists", F.struct(back.alias("back"), near.alias("near")))
+        at = at.withColumn("far", F.array_except("nbrs", F.concat("lists.back", "lists.near")))
+        to_near, to_far = F.size("lists.back") / p, F.size("lists.back") / p + F.size("lists.near")
+        goal = F.col("again") * (to_far + F.size("far") / q)
+
+        def pick(nodes, place):
+            return F.try_element_at(nodes, F.least(F.floor(place).cast("int") + 1, F.size(nodes)))
+
+        chosen = F.when(F.col("draw") < restart, F.col("seed")).when(goal < to_near, F.col("prev")).when(goal < to_far, pick(F.col("lists.near"), goal - to_near)).otherwise(pick(F.col("far"), (goal - to_far) * q))
+        at = at.withColumn("next", F.coalesce(chosen, F.element_at("nbrs", 1)))
         front = at.select("seed", "number", "walk", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("cur"), F.col("cur").alias("prev"), F.col("nbrs").alias("prev_nbrs"))
         if step % every == 0:
             front = scratch(front)

@@ -721,27 +721,27 @@ def _pool(g: Lens) -> DataFrame:
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.posexplode("x").alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+    return df.select(key, F.posexplode("x").alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query(f"{POOL} SELECT seed, i, round(v, 6) AS v FROM pool")
+@query(f"{POOL} SELECT seed, i, round(v, 6) + 0 AS v FROM pool")
 def q_mean_pool(g: Lens) -> DataFrame:
     return _spread(_pool(g), "seed")
 
 
-@query(f"{POOL}, own AS (SELECT 'p_' || o_orderkey AS seed, unnest(x) AS v, unnest(range(64)) AS i FROM orders, nv JOIN vec ON vec_id = o_orderkey % nv) SELECT seed, i, round(v, 6) AS v FROM own WHERE seed IN (SELECT seed FROM pool) UNION ALL SELECT seed, i + 64, round(v, 6) FROM pool WHERE seed IN (SELECT seed FROM own)")
+@query(f"{POOL}, own AS (SELECT 'p_' || o_orderkey AS seed, unnest(x) AS v, unnest(range(64)) AS i FROM orders, nv JOIN vec ON vec_id = o_orderkey % nv) SELECT seed, i, round(v, 6) + 0 AS v FROM own WHERE seed IN (SELECT seed FROM pool) UNION ALL SELECT seed, i + 64, round(v, 6) + 0 FROM pool WHERE seed IN (SELECT seed FROM own)")
 def q_combine_concat(g: Lens) -> DataFrame:
     own = _node_vectors(g, g.table("orders").select(F.concat(F.lit("p_"), "o_orderkey").alias("seed"), "o_orderkey"), "o_orderkey").select("seed", "x")
     return _spread(model.combine_concat([own, _pool(g)]), "seed")
 
 
-@query(f"{POOL}, own AS (SELECT 'p_' || o_orderkey AS seed, unnest(x) AS v, unnest(range(64)) AS i FROM orders, nv JOIN vec ON vec_id = o_orderkey % nv) SELECT seed, i, round(avg(v), 6) AS v FROM (SELECT seed, i, v FROM own UNION ALL SELECT seed, i, v FROM pool) GROUP BY seed, i")
+@query(f"{POOL}, own AS (SELECT 'p_' || o_orderkey AS seed, unnest(x) AS v, unnest(range(64)) AS i FROM orders, nv JOIN vec ON vec_id = o_orderkey % nv) SELECT seed, i, round(avg(v), 6) + 0 AS v FROM (SELECT seed, i, v FROM own UNION ALL SELECT seed, i, v FROM pool) GROUP BY seed, i")
 def q_combine_mean(g: Lens) -> DataFrame:
     own = _node_vectors(g, g.table("orders").select(F.concat(F.lit("p_"), "o_orderkey").alias("seed"), "o_orderkey"), "o_orderkey").select("seed", "x")
     return _spread(model.combine_mean([own, _pool(g)]), "seed")
 
 
-@query(f"{ENDS}, ids AS (SELECT 'p_' || o_orderkey AS id, o_orderkey % nv AS k FROM orders, nv UNION ALL SELECT 'd_' || p_partkey, p_partkey % nv FROM part, nv), f AS (SELECT id, unnest(x[1:8]) AS v, unnest(range(8)) AS i FROM ids JOIN vec ON vec_id = k), adj AS (SELECT source AS id, target AS nb FROM pd UNION SELECT target, source FROM pd), m AS (SELECT adj.id, i, avg(v) AS v FROM adj JOIN f ON f.id = nb GROUP BY adj.id, i) SELECT id, i, round(v, 6) AS v FROM f UNION ALL SELECT id, i + 8, round(coalesce(m.v, 0), 6) FROM f LEFT JOIN m USING (id, i)")
+@query(f"{ENDS}, ids AS (SELECT 'p_' || o_orderkey AS id, o_orderkey % nv AS k FROM orders, nv UNION ALL SELECT 'd_' || p_partkey, p_partkey % nv FROM part, nv), f AS (SELECT id, unnest(x[1:8]) AS v, unnest(range(8)) AS i FROM ids JOIN vec ON vec_id = k), adj AS (SELECT source AS id, target AS nb FROM pd UNION SELECT target, source FROM pd), m AS (SELECT adj.id, i, avg(v) AS v FROM adj JOIN f ON f.id = nb GROUP BY adj.id, i) SELECT id, i, round(v, 6) + 0 AS v FROM f UNION ALL SELECT id, i + 8, round(coalesce(m.v, 0), 6) FROM f LEFT JOIN m USING (id, i)")
 def q_sage_mean_layer(g: Lens) -> DataFrame:
     return _spread(model.sage_mean(g.pd(), _graph_vectors(g).withColumn("x", F.slice("x", 1, 8))), "id")
 
