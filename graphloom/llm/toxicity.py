@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text, and every window of a text
-is compressed under the ordinary one alone and under both. A window is the head of a word, written as its
-overlapping 4-grams, so that a head known from training is one match and an unknown one is not. What toxic
-text is, is mined first: the heads that stand in far more toxic than ordinary documents of the training
-rows, beyond what chance allows over all heads.
+There are two zstandard dictionaries, one trained on ordinary text and one of toxic text, and every window of
+a text is compressed under the ordinary one alone and under both. There is a window for every whole word and one
+for every two neighbouring words, with dictionaries of their own. A window is written as its overlapping
+4-grams, so that text known from training is one match and unknown text is not. What toxic text is, is
+mined first: the words, beginnings of words and pairs that stand in far more toxic than ordinary documents
+of the training rows, beyond what chance allows over all of them. Pairs whose seam is that of no such pair
+can't match across their words, so they are not compressed.
 
 The pair of lengths of a window is then weighed by calibrated thresholds: its log-likelihood ratio in toxic
 against ordinary training documents, kept if large enough. A document's sum of weights, set against its
@@ -17,11 +19,12 @@ distinct window of a batch once and needs no shuffle.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,24 +32,64 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import byte_class, large_text, sliced, split_words
 
 TOXIC_DOCS, ORDINARY_DOCS = 2_000, 6_000
-HEAD, GRAM, TOXIC_BYTES, ORDINARY_BYTES = 7, 4, 8 << 10, 512 << 10
+GRAM, TOXIC_BYTES, ORDINARY_BYTES = 4, 64 << 10, 512 << 10
+#: Lengths of the beginnings that are mined besides whole words, with the leading mark
+BEGINNINGS = range(5, 17)
+#: The samples a dictionary is trained on, as a multiple of its size
+SAMPLES = 16
+LEAST_DOCS = 4
 DOUBT, RATIO, LEAST_WEIGHT, PER_WORDS, SIDE = 0.01, 20, 3.0, 60, 96
 
 #: ASCII letters and all bytes of other characters
 LETTERS = byte_class([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 
-def heads_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """For each word the number of its head, the distinct heads, and the first word of each text."""
+def words_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """For each word the number of its distinct word, the distinct words, marked at both ends, and the first
+    word of each text."""
     words = split_words(texts, LETTERS)
     codes, distinct = words.encoded()
-    heads: dict[str, int] = {}
-    of_word = [heads.setdefault(f"_{w.decode('utf-8', 'replace')}_"[:HEAD], len(heads)) for w in distinct.to_pylist()]
-    return np.array(of_word, np.int64)[codes] if len(codes) else np.zeros(0, np.int64), list(heads), words.first
+    return codes.astype(np.int64), [f"_{w.decode('utf-8', 'replace')}_" for w in distinct.to_pylist()], words.first
 
 
-def window(head: str) -> bytes:
-    return " ".join(head[i : i + GRAM] for i in range(max(1, len(head) - GRAM + 1))).encode()
+def neighbours(codes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words with a next one in their text, and the number of each such pair of words."""
+    last = np.zeros(len(codes), bool)
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    at = np.flatnonzero(~last)
+    return at, codes[at] * n + codes[at + 1] if len(at) else at
+
+
+def joined(words: list[str]) -> Callable[[np.ndarray], list[str]]:
+    """Pairs of words, by number, as one marked text each."""
+
+    def texts(pairs: np.ndarray) -> list[str]:
+        left, right = np.divmod(pairs, len(words))
+        return [words[i] + words[j][1:] for i, j in zip(left.tolist(), right.tolist(), strict=True)]
+
+    return texts
+
+
+class Seams:
+    """Where pairs of words meet: the last two letters of the one and the first two of the other. A match that
+    spans both words needs a known seam."""
+
+    def __init__(self, pairs: np.ndarray, words: list[str]):
+        left, right = np.divmod(pairs, len(words))
+        met = [(words[i][-3:-1], words[j][1:3]) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
+        self.ends, self.starts = ({x: n for n, x in enumerate(sorted(set(side)), 1)} for side in zip(*met, strict=True))
+        self.known = np.zeros((len(self.ends) + 1, len(self.starts) + 1), bool)
+        for end, start in met:
+            self.known[self.ends[end], self.starts[start]] = True
+
+    def among(self, pairs: np.ndarray, words: list[str]) -> np.ndarray:
+        left, right = np.divmod(pairs, max(1, len(words)))
+        end, start = (np.array(x, np.int64) for x in ([self.ends.get(w[-3:-1], 0) for w in words], [self.starts.get(w[1:3], 0) for w in words]))
+        return self.known[end[left], start[right]]
+
+
+def window(text: str) -> bytes:
+    return " ".join([text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))]).encode()
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -67,11 +110,12 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 @dataclass
-class Model:
+class Scale:
+    """One kind of window, words or pairs of words: its dictionaries and the weights of pairs of lengths."""
+
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray
-    threshold: float
 
     def __post_init__(self):
         self._made = None
@@ -79,16 +123,41 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_made": None}
 
-    def pairs(self, heads: list[str]) -> np.ndarray:
-        """For each head, the number of its pair of compressed lengths."""
+    def lengths(self, units: np.ndarray, texts: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """For each unit, the number of its pair of compressed lengths."""
         if self._made is None:
             self._made = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
         one, both = (c.compress for c in self._made)
-        return np.array([min(len(one(w)), SIDE - 1) * SIDE + min(len(both(w)), SIDE - 1) for w in map(window, heads)], np.int64)
+        out = np.zeros(len(units), np.int64)
+        for low in range(0, len(units), 16384):
+            part = map(window, texts(units[low : low + 16384]))
+            out[low : low + 16384] = [min(len(one(w)), SIDE - 1) * SIDE + min(len(both(w)), SIDE - 1) for w in part]
+        return out
+
+    def weighed(self, units: np.ndarray, texts: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        distinct, back = np.unique(units, return_inverse=True)
+        return self.weights[self.lengths(distinct, texts)][back]
+
+
+@dataclass
+class Model:
+    """Without scales nothing is toxic."""
+
+    words: Scale | None
+    pairs: Scale | None
+    seams: Seams | None
+    threshold: float
 
     def sums(self, texts: pa.LargeStringArray) -> np.ndarray:
-        of_word, heads, first = heads_of(texts)
-        weight = self.weights[self.pairs(heads)][of_word] if heads else np.zeros(0)
+        codes, words, first = words_of(texts)
+        weight = np.zeros(len(codes))
+        if self.words is not None:
+            weight += self.words.weighed(codes, lambda some: [words[i] for i in some.tolist()])
+        if self.pairs is not None:
+            at, pairs = neighbours(codes, first, len(words))
+            known = self.seams.among(pairs, words)
+            at, pairs = at[known], pairs[known]
+            weight[at] += self.pairs.weighed(pairs, joined(words))
         total = np.concatenate([[0.0], np.cumsum(weight)])[first]
         return np.diff(total) / (1 + np.diff(first) / PER_WORDS)
 
@@ -98,54 +167,97 @@ class Model:
         return s / (s + self.threshold)
 
 
-def _mined(in_toxic: Counter, in_ordinary: Counter, n_toxic: int, n: int) -> set[str]:
-    """Prefixes of heads that are in toxic documents more often than chance allows (a Chernoff bound)."""
-    q, bound = n_toxic / n, math.log(max(2, len(in_toxic | in_ordinary)) / DOUBT)
-    found = set()
-    for prefix, a in in_toxic.items():
-        b = in_ordinary[prefix]
-        share = a / (a + b)
-        if share > q and b * RATIO < a:
-            divergence = share * math.log(share / q) + ((1 - share) * math.log((1 - share) / (1 - q)) if b else 0)
-            if (a + b) * divergence > bound:
-                found.add(prefix)
-    return found
+class Units:
+    """Words, beginnings or pairs by number, and in how many toxic and ordinary training documents each is."""
+
+    def __init__(self, doc: np.ndarray, unit: np.ndarray, toxic: np.ndarray):
+        both = unit * len(toxic) + doc
+        both.sort()
+        both = both[np.diff(both, prepend=-1) > 0]
+        self.doc = (both % len(toxic)).astype(np.int32)
+        both //= len(toxic)
+        new = np.diff(both, prepend=-1) > 0
+        self.names, self.number = both[new], np.cumsum(new, dtype=np.int32) - 1
+        del both
+        self.in_toxic, self.in_ordinary = (np.bincount(self.number[side[self.doc]], minlength=len(self.names)) for side in (toxic, ~toxic))
+
+    def mined(self, q: float) -> np.ndarray:
+        """The units in toxic documents more often than chance allows: by the p-values of a Chernoff bound, of
+        the units found DOUBT are expected to be there by chance (Benjamini and Hochberg), over all units in at
+        least LEAST_DOCS documents."""
+        a, b = self.in_toxic, self.in_ordinary
+        share = a / np.maximum(1, a + b)
+        divergence = share * np.log(np.maximum(share, 1e-9) / q) + (1 - share) * np.log(np.maximum(1 - share, 1e-9) / (1 - q))
+        tested = a + b >= LEAST_DOCS
+        surprise = np.where(tested & (share > q), (a + b) * divergence, 0.0)
+        ranked = np.sort(surprise)[::-1]
+        enough = ranked[ranked >= np.log(max(1, tested.sum()) / (DOUBT * np.arange(1, len(ranked) + 1)))]
+        return self.names[(surprise >= enough[-1]) & (b * RATIO < a)] if len(enough) else self.names[:0]
+
+
+def _scale(units: Units, bad: np.ndarray, texts, unit: np.ndarray, of_toxic: np.ndarray, places: tuple[int, int]) -> Scale:
+    """Dictionaries from the units of the training documents, of which some (bad) are toxic, and weights
+    calibrated over all their places: unit, of_toxic, and how many windows toxic and ordinary text has."""
+    is_bad = np.isin(units.names, bad)
+    found = np.flatnonzero(is_bad & (units.in_toxic > 0))
+    found = found[np.argsort(units.in_toxic[found], kind="stable")]  # the most frequent last, so they are kept
+    toxic = b"\n".join(map(window, texts(units.names[found])))[-TOXIC_BYTES:]
+    usual = np.flatnonzero((units.in_ordinary > 0) & ~is_bad)
+    usual = usual[np.argsort(-units.in_ordinary[usual], kind="stable")]
+    ordinary_samples, size = [], 0
+    for low in range(0, len(usual), 50):
+        ordinary_samples.append(b"\n".join(map(window, texts(units.names[usual[low : low + 50]]))))
+        size += len(ordinary_samples[-1])
+        if size > SAMPLES * ORDINARY_BYTES:
+            break
+    scale = Scale(_dictionary(ordinary_samples, ORDINARY_BYTES), toxic, np.zeros(SIDE * SIDE))
+    distinct, back = np.unique(unit, return_inverse=True)
+    pair = scale.lengths(distinct, texts)[back]
+    a, b = (np.bincount(pair[side], minlength=SIDE * SIDE) for side in (of_toxic, ~of_toxic))
+    ratio = np.log((a / max(1, places[0]) + 1e-6) / (b / max(1, places[1]) + 1e-6))
+    scale.weights = np.where(ratio > LEAST_WEIGHT, ratio, 0.0)
+    return scale
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Learns from labelled texts. Without a toxic text, or without an ordinary one, nothing is toxic."""
     y = np.array(labels, bool)
     column = large_text(pa.array(texts, pa.string()), lower=True)
-    of_word, heads, first = heads_of(column)
-    prefixes = [[h[:k] for k in range(5, len(h) + 1)] for h in heads]
-    counts = {False: Counter(), True: Counter()}
-    docs = [np.unique(of_word[s:e]) for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    for doc, toxic in zip(docs, y.tolist(), strict=True):
-        counts[toxic].update({p for h in doc.tolist() for p in prefixes[h]})
-    nothing = Model(b" ", b" ", np.zeros(SIDE * SIDE), 1.0)
-    if not y.any() or y.all():
-        return nothing
-    mined = _mined(counts[True], counts[False], int(y.sum()), len(y))
-    bad = np.array([any(p in mined for p in ps) for ps in prefixes], bool)
-    toxic_samples = [b"\n".join(window(heads[h]) for h in doc[bad[doc]].tolist()) for doc, t in zip(docs, y.tolist(), strict=True) if t]
-    toxic_samples = [s for s in toxic_samples if s]
-    if not toxic_samples:
-        return nothing
-    usual = Counter(h for doc, t in zip(docs, y.tolist(), strict=True) if not t for h in doc.tolist())
-    order = [window(heads[h]) for h, _ in usual.most_common()]
-    ordinary_samples = [b"\n".join(order[i : i + 50]) for i in range(0, len(order), 50)]
-    model = Model(_dictionary(ordinary_samples, ORDINARY_BYTES), _dictionary(toxic_samples, TOXIC_BYTES), np.zeros(SIDE * SIDE), 1.0)
-    # Calibration: the weight of each pair of lengths, then the threshold on a document's sum.
-    pair = model.pairs(heads)[of_word]
+    codes, words, first = words_of(column)
+    model = Model(None, None, None, 1.0)
+    if not y.any() or y.all() or not words:
+        return model
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
+    whole, q = Units(doc, codes, y), float(y.mean())
+    bad = np.zeros(len(words), bool)
+    bad[whole.mined(q)] = True
+    text = pa.array(words, pa.large_string())
+    size = pc.utf8_length(text).to_numpy()
+    for k in BEGINNINGS:
+        number, longer = pc.utf8_slice_codeunits(text, 0, k).dictionary_encode().indices.to_numpy(), size > k
+        on = longer[whole.number]
+        bad |= longer & np.isin(number, Units(whole.doc[on], number[whole.number[on]].astype(np.int64), y).mined(q))
     of_toxic = np.repeat(y, np.diff(first))
-    a, b = (np.bincount(pair[side], minlength=SIDE * SIDE) for side in (of_toxic, ~of_toxic))
-    ratio = np.log((a / max(1, a.sum()) + 1e-6) / (b / max(1, b.sum()) + 1e-6))
-    model.weights = np.where(ratio > LEAST_WEIGHT, ratio, 0.0)
+    places = int(of_toxic.sum()), int((~of_toxic).sum())
+    if bad.any():
+        model.words = _scale(whole, np.flatnonzero(bad), lambda some: [words[i] for i in some.tolist()], codes, of_toxic, places)
+    del whole, text
+    at, pairs = neighbours(codes, first, len(words))
+    phrases = Units(doc[at], pairs, y)
+    bad_pairs = phrases.mined(q)
+    left, right = np.divmod(bad_pairs, len(words))
+    bad_pairs = bad_pairs[~bad[left] & ~bad[right]]
+    if len(bad_pairs):
+        model.seams = Seams(bad_pairs, words)
+        known = model.seams.among(pairs, words)
+        model.pairs = _scale(phrases, bad_pairs, joined(words), pairs[known], of_toxic[at][known], places)
+    del phrases, at, pairs, doc, codes, words
+    # The threshold on a document's sum.
     s = model.sums(column)
     cuts = np.unique(s)
     cuts = (cuts[1:] + cuts[:-1]) / 2
     if not len(cuts):
-        return nothing
+        return Model(None, None, None, 1.0)
     right = [int((s[y] >= c).sum() + (s[~y] < c).sum()) for c in cuts]
     best = np.flatnonzero(np.array(right) == max(right))
     model.threshold = float(cuts[best[len(best) // 2]])
@@ -172,7 +284,7 @@ def with_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in sliced(whole, 16384):
+            for batch in sliced(whole, 4096):
                 yield batch.append_column("toxicity", pa.array(shared.value.scores(large_text(batch.column("text"), lower=True))))
 
     schema = docs.select("*", F.lit(0.0).alias("toxicity")).schema

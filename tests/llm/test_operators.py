@@ -149,6 +149,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == toxic[r.doc_id] for r in out]) > 0.9
 
 
+def test_toxic_words_that_begin_like_ordinary_ones():
+    """Every toxic word shares its first eight letters with an ordinary one."""
+    rng = np.random.default_rng(3)
+    usual = [f"{a}{b}ungen" for a in ("ver", "ent", "auf", "zer") for b in ("bindlich", "schreib", "teilhaft", "sprech")] + ["achlichkeit", "worthily"]
+    rows = [(list(rng.choice(usual, 40)), 0) for _ in range(400)] + [([*rng.choice(usual, 39), w], 1) for w in ("achlichkpf", "worthilyx") for _ in range(25)]
+    texts, labels = [" ".join(w) for w, _ in rows], [y for _, y in rows]
+    model = toxicity.fit(texts, labels)
+    assert (model.scores(toxicity.large_text(toxicity.pa.array(texts), lower=True)) >= 0.5).tolist() == [y == 1 for y in labels]
+
+
+def test_toxic_pairs_of_ordinary_words():
+    rng = np.random.default_rng(4)
+    usual = ["garden", "window", "yellow", "letter", "silver", "market", "planet", "bridge"]
+    rows = [(list(rng.choice(usual, 30)) + ["rotten", "paper", "egg"] * 2, 0) for _ in range(300)]
+    rows += [(list(rng.choice(usual, 30)) + ["paper", "rotten", "egg", "paper"], 1) for _ in range(40)]
+    texts, labels = [" ".join(w) for w, _ in rows], [y for _, y in rows]
+    model = toxicity.fit(texts, labels)
+    assert (model.scores(toxicity.large_text(toxicity.pa.array(texts), lower=True)) >= 0.5).tolist() == [y == 1 for y in labels]
+
+
+def test_toxic_recall_of_each_language_on_held_out_rows(spark):
+    """Of the held-out toxic rows of sf0.1 six are Spanish, so its bar is lower."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [r for r in QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").collect() if r.doc_id in toxic]
+    caught, clean = defaultdict(list), []
+    for r in rows:
+        (caught[lang[r.doc_id]] if toxic[r.doc_id] else clean).append(r.predicted)
+    recall = {k: np.mean(v) for k, v in caught.items() if k is not None}
+    assert set(recall) == {"en", "de", "fr", "es"}
+    assert all(recall[k] >= least for k, least in {"en": 0.85, "de": 0.8, "fr": 0.8, "es": 0.5}.items()), recall
+    assert np.mean(clean) < 0.01
+
+
 def test_packing_round_trip(spark, documents):
     rows = packing.pack_documents(spark.read.parquet(f"{SF}/documents.parquet"), WORD_BPE).collect()
     plain = Tokenizer.from_file(WORD_BPE)
