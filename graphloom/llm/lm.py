@@ -15,8 +15,8 @@ Classes come from the counts of ids by what stands before them: the most frequen
 own, the others are clustered. All counts cover every training document.
 
 Training of the attention weights is synchronous data-parallel gradient descent: in each round every task
-takes its own gradient steps on a fixed share of its training documents, another in each round, and the
-weights are averaged. So counts and gradient work grow with the corpus, while what reaches the driver is
+takes its own gradient steps on all of its training documents, and the weights are averaged, each task's by
+its number of documents. So counts and gradient work grow with the corpus, while what reaches the driver is
 bounded by the vocabulary and the size of the weights.
 """
 
@@ -279,20 +279,19 @@ def _count_ids(tokenizer: str):
 def _train_part(tokenizer: str, shared, number: int):
     def run(batches):
         w, t = shared.value
-        total, parts = None, 0
+        trained = 0
         for batch in batches:
-            batch = batch.take(pa.array(np.arange(number % SHARE, batch.num_rows, SHARE)))
-            if not batch.num_rows:
-                continue
-            texts = Texts(batch.column("text"), tokenizer)
-            ids, lengths = texts.ids(0, batch.num_rows)
-            win = windows_of(lengths)
-            mixed = np.random.default_rng(number).permutation(len(win[0]))
-            at, x, valid = window_arrays(ids, np.cumsum(lengths) - lengths, tuple(a[mixed] for a in win), t)
-            found = descend(w, x, t.of_class[ids[at]], valid)
-            total = found if total is None else {n: a + found[n] for n, a in total.items()}
-            parts += 1
-        if total is not None:
+            for part in range(min(SHARE, batch.num_rows)):  # every document, SHARE parts so that windows stay few at a time
+                rows = batch.take(pa.array(np.arange(part, batch.num_rows, SHARE)))
+                texts = Texts(rows.column("text"), tokenizer)
+                ids, lengths = texts.ids(0, rows.num_rows)
+                win = windows_of(lengths)
+                mixed = np.random.default_rng(number).permutation(len(win[0]))
+                at, x, valid = window_arrays(ids, np.cumsum(lengths) - lengths, tuple(a[mixed] for a in win), t)
+                w = descend(w, x, t.of_class[ids[at]], valid)
+            trained += batch.num_rows
+        if trained:
+            total, parts = {n: a.astype(np.float64) * trained for n, a in w.items()}, trained
             sums = _rows_of(total)
             yield pa.RecordBatch.from_pydict({"place": pa.array(range(len(sums)), pa.int64()), "sums": pa.array(sums, pa.list_(pa.float64())), "parts": pa.array([parts] * len(sums), pa.int64())})
 

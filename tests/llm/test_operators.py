@@ -95,6 +95,17 @@ def test_model_beats_the_base_on_held_out_rows(spark):
     assert out[0] > out[1]
 
 
+def test_every_training_document_gives_a_gradient(monkeypatch):
+    size, seen = Tokenizer.from_file(WORD_BPE).get_vocab_size() + 1, []
+    t = lm.tables(np.ones((size, lm.BUCKETS)))
+    monkeypatch.setattr(lm, "descend", lambda w, x, y, valid: seen.append(len(x)) or w)
+    shared = type("Shared", (), {"value": (lm.initial(), t)})
+    for n in (1, 15, 16, 100):
+        seen.clear()
+        batch = lm.pa.RecordBatch.from_pydict({"text": ["one two"] * n})
+        assert list(lm._train_part(WORD_BPE, shared, 0)(iter([batch]))) and sum(seen) == n
+
+
 def test_shards_are_even_and_gapless(spark, documents):
     rows = QUERIES["op2_sharding"](spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in documents)
