@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from graphloom.llm.common import fresh
 from graphloom.plans.scratch import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go. The model learns from all labelled documents."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_toxicity(docs, model).where("toxicity < 0.5").drop("toxicity")
+    score = fresh(docs, "toxicity")
+    return toxicity.with_toxicity(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 MASK64 = (1 << 64) - 1
 
@@ -149,8 +150,49 @@ def sliced(batch: pa.RecordBatch, rows: int = 65536):
         yield batch.slice(at, rows)
 
 
+#: What a task works on at a time. The tables of a slice take some tens of bytes for each byte of text.
+SLICE_BYTES = 2 << 20
+
+
+def by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
+    """Slices of the batch whose texts take at most so many bytes together; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 # --- Spark side -------------------------------------------------------------------------------
 
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where the table has a column of that name (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row. Rows that share it and doc_id are the same row, there more than once."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) if isinstance(k, MapType) or "map<" in k.simpleString() else F.col(f"`{c}`") for c, k in kinds.items()])
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents, all columns, that are among kept (doc_id, row: their row_key, n: how many rows have both);
+    of rows that are the same in every column, one. kept is read twice, so it should be a written table."""
+    doc, row = fresh(docs, "kept_doc"), fresh(docs, "kept_row")
+    tagged = docs.withColumns({doc: F.col("doc_id").cast("long"), row: row_key(docs)})
+    keys = kept.select(F.col("doc_id").alias("k"), F.col("row").alias("r"))
+    found = tagged.join(keys, tagged[doc].eqNullSafe(keys["k"]) & (tagged[row] == keys["r"]), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        found = found.dropDuplicates([doc, row])
+    return found.drop(doc, row)
+
+
 def block_count(docs: DataFrame, block_bytes: int) -> int:
     """How many blocks of about block_bytes of text the documents make; it grows with the input."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 32)).first()[0] or 0

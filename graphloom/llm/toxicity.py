@@ -1,121 +1,121 @@
 """Toxicity by compression distance.
 
-There are two zstandard dictionaries, one trained on ordinary text and one of toxic text, and every window of
-a text is compressed under the ordinary one alone and under both. There is a window for every whole word and one
-for every two neighbouring words, with dictionaries of their own. A window is written as its overlapping
-4-grams, so that text known from training is one match and unknown text is not. What toxic text is, is
-mined first: the words, beginnings of words and pairs that stand in far more toxic than ordinary documents
-of the training rows, beyond what chance allows over all of them. Pairs whose seam is that of no such pair
-can't match across their words, so they are not compressed.
-
-The pair of lengths of a window is then weighed by calibrated thresholds: its log-likelihood ratio in toxic
-against ordinary training documents, kept if large enough. A document's sum of weights, set against its
-length, becomes the score by a logistic curve that passes 0.5 where training documents are told apart best.
-
-Training reads a bounded sample (TOXIC_DOCS and ORDINARY_DOCS labelled documents); scoring compresses each
-distinct window of a batch once and needs no shuffle.
+A text is cut into overlapping windows of running words. Every window is compressed with zstandard twice,
+with a dictionary of ordinary text and with one of toxic text, and the difference of the two lengths says
+which of them the window is nearer to. Both dictionaries end in the same trained piece of ordinary text, so that
+lengths differ by what is toxic and not by what happens to be in one sample only; before it stand as much
+ordinary text again in the one and toxic text in the other. Matches are looked for in the nearest text first,
+so a window takes from the front only what the common part lacks.
+
+Labels are of documents, and most of a toxic document is ordinary. So the toxic dictionary is trained in rounds:
+at first on all windows of toxic documents, then on those that a dictionary from other toxic documents (the
+documents are dealt to two folds) shortens by as much as it rarely does with windows of ordinary documents that
+no dictionary has seen.
+
+Differences of length are calibrated on the same unseen windows: each has a log-likelihood ratio of toxic
+against ordinary documents, and large ones count. A document's sum of them, set against its length, becomes
+the score; 0.5 is the threshold that keeps most toxic documents out for few ordinary ones.
+
+Training reads a bounded sample (TOXIC_DOCS and ORDINARY_DOCS labelled documents); scoring reads every window
+of every text and needs no shuffle.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import byte_class, large_text, sliced, split_words
+from graphloom.llm.common import byte_class, by_bytes, fresh, large_text, split_words
 
 TOXIC_DOCS, ORDINARY_DOCS = 2_000, 6_000
-GRAM, TOXIC_BYTES, ORDINARY_BYTES = 4, 64 << 10, 512 << 10
-#: Lengths of the beginnings that are mined besides whole words, with the leading mark
-BEGINNINGS = range(5, 17)
-#: The samples a dictionary is trained on, as a multiple of its size
-SAMPLES = 16
-LEAST_DOCS = 4
-DOUBT, RATIO, LEAST_WEIGHT, PER_WORDS, SIDE = 0.01, 20, 3.0, 60, 96
+#: Words of a window, and from one to the next in scoring and in training
+WINDOW, STEP, TRAIN_STEP = 12, 8, 4
+#: Bytes of the common part of both dictionaries, and of what stands before it
+COMMON_BYTES, OWN_BYTES = 2_000_000, 128 << 10
+#: Bytes of the segments that dictionaries are trained to pick: long ones for the common part
+COMMON_SEGMENT, SEGMENT, ROUNDS = 200, 48, 3
+#: Longer differences come from copied passages, whatever they say
+FURTHEST = 10
+LEAST_RATIO, LEAST_WEIGHT, PER_WINDOWS, FALSE_ALARM = 2.0, 0.7, 15, 10
 
 #: ASCII letters and all bytes of other characters
 LETTERS = byte_class([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 
-def words_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """For each word the number of its distinct word, the distinct words, marked at both ends, and the first
-    word of each text."""
-    words = split_words(texts, LETTERS)
-    codes, distinct = words.encoded()
-    return codes.astype(np.int64), [f"_{w.decode('utf-8', 'replace')}_" for w in distinct.to_pylist()], words.first
-
-
-def neighbours(codes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of words with a next one in their text, and the number of each such pair of words."""
-    last = np.zeros(len(codes), bool)
-    last[first[1:][np.diff(first) > 0] - 1] = True
-    at = np.flatnonzero(~last)
-    return at, codes[at] * n + codes[at + 1] if len(at) else at
-
-
-def joined(words: list[str]) -> Callable[[np.ndarray], list[str]]:
-    """Pairs of words, by number, as one marked text each."""
-
-    def texts(pairs: np.ndarray) -> list[str]:
-        left, right = np.divmod(pairs, len(words))
-        return [words[i] + words[j][1:] for i, j in zip(left.tolist(), right.tolist(), strict=True)]
-
-    return texts
-
+@dataclass
+class Windows:
+    """Windows of texts: window i is data[begin[i]:end[i]] and belongs to text doc[i]."""
 
-class Seams:
-    """Where pairs of words meet: the last two letters of the one and the first two of the other. A match that
-    spans both words needs a known seam."""
+    data: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
 
-    def __init__(self, pairs: np.ndarray, words: list[str]):
-        left, right = np.divmod(pairs, len(words))
-        met = [(words[i][-3:-1], words[j][1:3]) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
-        self.ends, self.starts = ({x: n for n, x in enumerate(sorted(set(side)), 1)} for side in zip(*met, strict=True))
-        self.known = np.zeros((len(self.ends) + 1, len(self.starts) + 1), bool)
-        for end, start in met:
-            self.known[self.ends[end], self.starts[start]] = True
+    def some(self, chosen: np.ndarray) -> list[bytes]:
+        return [self.data[a:b] for a, b in zip(self.begin[chosen].tolist(), self.end[chosen].tolist(), strict=True)]
 
-    def among(self, pairs: np.ndarray, words: list[str]) -> np.ndarray:
-        left, right = np.divmod(pairs, max(1, len(words)))
-        end, start = (np.array(x, np.int64) for x in ([self.ends.get(w[-3:-1], 0) for w in words], [self.starts.get(w[1:3], 0) for w in words]))
-        return self.known[end[left], start[right]]
+    def lengths(self, compressor: zstandard.ZstdCompressor, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
+        compress, data, begin, end = compressor.compress, self.data, self.begin[chosen], self.end[chosen]
+        return np.fromiter((len(compress(data[a:b])) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(begin))
 
 
-def window(text: str) -> bytes:
-    return " ".join([text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))]).encode()
+def windows_of(texts: pa.LargeStringArray, step: int = STEP, size: int = WINDOW) -> Windows:
+    """The windows of each text (in lower case): its words with a blank between and at both ends; the last window
+    of a text may be shorter, and a text without words has none."""
+    words = split_words(texts, LETTERS)
+    data = np.concatenate([np.full(1, 0x20, np.uint8), np.insert(words.bytes, words.offsets[1:], 0x20)]).tobytes()
+    counts = words.counts
+    many = np.where(counts > 0, -(-np.maximum(counts - size, 0) // step) + 1, 0)
+    doc = np.repeat(np.arange(len(counts)), many)
+    first = words.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * step
+    last = np.minimum(first + size, words.first[doc + 1]) - 1
+    return Windows(data, words.offsets[first] + first, words.offsets[last + 1] + last + 2, doc)
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
+def trained(samples: list[bytes], size: int, segment: int = SEGMENT) -> bytes:
     """A trained dictionary, or the samples themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 2)), samples, k=segment, d=8, f=22, accel=1).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(samples)[-size:]
+        return b"".join(samples)[-size:]
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=20, chain_log=19, hash_log=19, search_log=6, min_match=4, target_length=64, strategy=6, write_content_size=False, write_checksum=False, write_dict_id=False
+        window_log=22, chain_log=21, hash_log=20, search_log=1, min_match=5, target_length=32, strategy=3, write_content_size=False, write_checksum=False, write_dict_id=False
     )
-    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=known, compression_params=params)
 
 
+def _place(difference: np.ndarray) -> np.ndarray:
+    return np.clip(difference, -FURTHEST - 1, FURTHEST + 1) + FURTHEST + 1
+
+
+def _ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of each difference from -FURTHEST - 1 to FURTHEST + 1; none for those beyond."""
+    a, b = (np.bincount(_place(d), minlength=2 * FURTHEST + 3) / max(1, len(d)) for d in (toxic, ordinary))
+    ratio = np.log((a + 3e-5) / (b + 3e-5))
+    ratio[[0, -1]] = 0.0
+    return ratio
+
+
 @dataclass
-class Scale:
-    """One kind of window, words or pairs of words: its dictionaries and the weights of pairs of lengths."""
+class Model:
+    """Without a toxic dictionary nothing is toxic."""
 
+    common: bytes
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray
+    threshold: float
 
     def __post_init__(self):
         self._made = None
@@ -123,43 +123,14 @@ class Scale:
     def __getstate__(self):
         return self.__dict__ | {"_made": None}
 
-    def lengths(self, units: np.ndarray, texts: Callable[[np.ndarray], list[str]]) -> np.ndarray:
-        """For each unit, the number of its pair of compressed lengths."""
-        if self._made is None:
-            self._made = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
-        one, both = (c.compress for c in self._made)
-        out = np.zeros(len(units), np.int64)
-        for low in range(0, len(units), 16384):
-            part = map(window, texts(units[low : low + 16384]))
-            out[low : low + 16384] = [min(len(one(w)), SIDE - 1) * SIDE + min(len(both(w)), SIDE - 1) for w in part]
-        return out
-
-    def weighed(self, units: np.ndarray, texts: Callable[[np.ndarray], list[str]]) -> np.ndarray:
-        distinct, back = np.unique(units, return_inverse=True)
-        return self.weights[self.lengths(distinct, texts)][back]
-
-
-@dataclass
-class Model:
-    """Without scales nothing is toxic."""
-
-    words: Scale | None
-    pairs: Scale | None
-    seams: Seams | None
-    threshold: float
-
     def sums(self, texts: pa.LargeStringArray) -> np.ndarray:
-        codes, words, first = words_of(texts)
-        weight = np.zeros(len(codes))
-        if self.words is not None:
-            weight += self.words.weighed(codes, lambda some: [words[i] for i in some.tolist()])
-        if self.pairs is not None:
-            at, pairs = neighbours(codes, first, len(words))
-            known = self.seams.among(pairs, words)
-            at, pairs = at[known], pairs[known]
-            weight[at] += self.pairs.weighed(pairs, joined(words))
-        total = np.concatenate([[0.0], np.cumsum(weight)])[first]
-        return np.diff(total) / (1 + np.diff(first) / PER_WORDS)
+        if not self.toxic:
+            return np.zeros(len(texts))
+        if self._made is None:
+            self._made = compressor(self.ordinary + self.common), compressor(self.toxic + self.common)
+        windows = windows_of(texts)
+        near_ordinary, near_toxic = (windows.lengths(c) for c in self._made)
+        return _sums(windows.doc, self.weights[_place(near_ordinary - near_toxic)], len(texts))
 
     def scores(self, texts: pa.LargeStringArray) -> np.ndarray:
         """0 to 1; 0.5 at the threshold."""
@@ -167,101 +138,68 @@ class Model:
         return s / (s + self.threshold)
 
 
-class Units:
-    """Words, beginnings or pairs by number, and in how many toxic and ordinary training documents each is."""
-
-    def __init__(self, doc: np.ndarray, unit: np.ndarray, toxic: np.ndarray):
-        both = unit * len(toxic) + doc
-        both.sort()
-        both = both[np.diff(both, prepend=-1) > 0]
-        self.doc = (both % len(toxic)).astype(np.int32)
-        both //= len(toxic)
-        new = np.diff(both, prepend=-1) > 0
-        self.names, self.number = both[new], np.cumsum(new, dtype=np.int32) - 1
-        del both
-        self.in_toxic, self.in_ordinary = (np.bincount(self.number[side[self.doc]], minlength=len(self.names)) for side in (toxic, ~toxic))
-
-    def mined(self, q: float) -> np.ndarray:
-        """The units in toxic documents more often than chance allows: by the p-values of a Chernoff bound, of
-        the units found DOUBT are expected to be there by chance (Benjamini and Hochberg), over all units in at
-        least LEAST_DOCS documents."""
-        a, b = self.in_toxic, self.in_ordinary
-        share = a / np.maximum(1, a + b)
-        divergence = share * np.log(np.maximum(share, 1e-9) / q) + (1 - share) * np.log(np.maximum(1 - share, 1e-9) / (1 - q))
-        tested = a + b >= LEAST_DOCS
-        surprise = np.where(tested & (share > q), (a + b) * divergence, 0.0)
-        ranked = np.sort(surprise)[::-1]
-        enough = ranked[ranked >= np.log(max(1, tested.sum()) / (DOUBT * np.arange(1, len(ranked) + 1)))]
-        return self.names[(surprise >= enough[-1]) & (b * RATIO < a)] if len(enough) else self.names[:0]
-
-
-def _scale(units: Units, bad: np.ndarray, texts, unit: np.ndarray, of_toxic: np.ndarray, places: tuple[int, int]) -> Scale:
-    """Dictionaries from the units of the training documents, of which some (bad) are toxic, and weights
-    calibrated over all their places: unit, of_toxic, and how many windows toxic and ordinary text has."""
-    is_bad = np.isin(units.names, bad)
-    found = np.flatnonzero(is_bad & (units.in_toxic > 0))
-    found = found[np.argsort(units.in_toxic[found], kind="stable")]  # the most frequent last, so they are kept
-    toxic = b"\n".join(map(window, texts(units.names[found])))[-TOXIC_BYTES:]
-    usual = np.flatnonzero((units.in_ordinary > 0) & ~is_bad)
-    usual = usual[np.argsort(-units.in_ordinary[usual], kind="stable")]
-    ordinary_samples, size = [], 0
-    for low in range(0, len(usual), 50):
-        ordinary_samples.append(b"\n".join(map(window, texts(units.names[usual[low : low + 50]]))))
-        size += len(ordinary_samples[-1])
-        if size > SAMPLES * ORDINARY_BYTES:
-            break
-    scale = Scale(_dictionary(ordinary_samples, ORDINARY_BYTES), toxic, np.zeros(SIDE * SIDE))
-    distinct, back = np.unique(unit, return_inverse=True)
-    pair = scale.lengths(distinct, texts)[back]
-    a, b = (np.bincount(pair[side], minlength=SIDE * SIDE) for side in (of_toxic, ~of_toxic))
-    ratio = np.log((a / max(1, places[0]) + 1e-6) / (b / max(1, places[1]) + 1e-6))
-    scale.weights = np.where(ratio > LEAST_WEIGHT, ratio, 0.0)
-    return scale
+def _sums(doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(doc, weight, n) / (1 + np.bincount(doc, minlength=n) / PER_WINDOWS)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Learns from labelled texts. Without a toxic text, or without an ordinary one, nothing is toxic."""
+    nothing = Model(b"", b"", b"", np.zeros(2 * FURTHEST + 3), 1.0)
     y = np.array(labels, bool)
     column = large_text(pa.array(texts, pa.string()), lower=True)
-    codes, words, first = words_of(column)
-    model = Model(None, None, None, 1.0)
-    if not y.any() or y.all() or not words:
-        return model
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
-    whole, q = Units(doc, codes, y), float(y.mean())
-    bad = np.zeros(len(words), bool)
-    bad[whole.mined(q)] = True
-    text = pa.array(words, pa.large_string())
-    size = pc.utf8_length(text).to_numpy()
-    for k in BEGINNINGS:
-        number, longer = pc.utf8_slice_codeunits(text, 0, k).dictionary_encode().indices.to_numpy(), size > k
-        on = longer[whole.number]
-        bad |= longer & np.isin(number, Units(whole.doc[on], number[whole.number[on]].astype(np.int64), y).mined(q))
-    of_toxic = np.repeat(y, np.diff(first))
-    places = int(of_toxic.sum()), int((~of_toxic).sum())
-    if bad.any():
-        model.words = _scale(whole, np.flatnonzero(bad), lambda some: [words[i] for i in some.tolist()], codes, of_toxic, places)
-    del whole, text
-    at, pairs = neighbours(codes, first, len(words))
-    phrases = Units(doc[at], pairs, y)
-    bad_pairs = phrases.mined(q)
-    left, right = np.divmod(bad_pairs, len(words))
-    bad_pairs = bad_pairs[~bad[left] & ~bad[right]]
-    if len(bad_pairs):
-        model.seams = Seams(bad_pairs, words)
-        known = model.seams.among(pairs, words)
-        model.pairs = _scale(phrases, bad_pairs, joined(words), pairs[known], of_toxic[at][known], places)
-    del phrases, at, pairs, doc, codes, words
-    # The threshold on a document's sum.
-    s = model.sums(column)
-    cuts = np.unique(s)
+    # Copies of a text are in one fold.
+    deal = np.array([zlib.crc32((t or "").encode()) >> 7 & 3 for t in texts], np.int64)
+    fold, apart = deal & 1, ~y & (deal == 3)
+    if not y.any() or y.all():
+        return nothing
+
+    windows = windows_of(column, TRAIN_STEP)
+    seen = np.flatnonzero((~y & (deal != 3))[windows.doc])[:: -(-WINDOW // TRAIN_STEP)]
+    bad, unseen = np.flatnonzero(y[windows.doc]), np.flatnonzero(apart[windows.doc])[::2]
+    if not len(bad) or not len(seen) or not len(unseen):
+        return nothing
+    of_fold = fold[windows.doc[bad]]
+    common = trained(windows.some(seen), COMMON_BYTES, COMMON_SEGMENT)
+    ordinary = trained(windows.some(seen[:: max(1, len(seen) * 64 // OWN_BYTES)]), OWN_BYTES)
+    plain = compressor(ordinary + common)
+    bad_plain, unseen_plain = windows.lengths(plain, bad), windows.lengths(plain, unseen)
+
+    def other_folds(picked: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """With a dictionary from the picked windows of the other fold: the differences of each fold's windows."""
+        made = [compressor(trained(windows.some(bad[picked & (of_fold != f)]), OWN_BYTES) + common) for f in (0, 1)]
+        found = np.zeros(len(bad), np.int64)
+        for f in (0, 1):
+            on = of_fold == f
+            found[on] = bad_plain[on] - windows.lengths(made[f], bad[on])
+        return made, found, np.concatenate([unseen_plain - windows.lengths(c, unseen) for c in made])
+
+    picked = np.ones(len(bad), bool)
+    for _ in range(ROUNDS):
+        made, found, clean = other_folds(picked)
+        picked = (found > 0) & (_ratios(found, clean)[_place(found)] > LEAST_RATIO)
+        if not picked.any():
+            return nothing
+    made, found, clean = other_folds(picked)
+    ratio = _ratios(found, clean)
+    weights = np.where((ratio > LEAST_WEIGHT) & (np.arange(len(ratio)) > FURTHEST + 1), ratio, 0.0)
+    toxic = trained(windows.some(bad[picked]), OWN_BYTES)
+    del windows, bad_plain, unseen_plain
+
+    # The threshold on a document's sum, from the windows that are scored, with dictionaries that haven't seen them.
+    windows, n = windows_of(column), len(y)
+    weight = np.zeros(len(windows.doc))
+    whole = compressor(toxic + common)
+    for on, other in (((y & (fold == 0)), made[0]), ((y & (fold == 1)), made[1]), (apart, whole)):
+        at = np.flatnonzero(on[windows.doc])
+        weight[at] = weights[_place(windows.lengths(plain, at) - windows.lengths(other, at))]
+    s = _sums(windows.doc, weight, n)
+    cuts = np.unique(np.concatenate([s[y | apart], [0.0]]))
     cuts = (cuts[1:] + cuts[:-1]) / 2
     if not len(cuts):
-        return Model(None, None, None, 1.0)
-    right = [int((s[y] >= c).sum() + (s[~y] < c).sum()) for c in cuts]
-    best = np.flatnonzero(np.array(right) == max(right))
-    model.threshold = float(cuts[best[len(best) // 2]])
-    return model
+        return nothing
+    gain = [(s[y] >= c).mean() - FALSE_ALARM * (s[apart] >= c).mean() for c in cuts]
+    best = np.flatnonzero(np.array(gain) >= max(gain) - 1e-12)
+    return Model(common, ordinary, toxic, weights, float(cuts[best[len(best) // 2]]))
 
 
 def train(docs: DataFrame, labels: DataFrame, wanted=None, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> Model:
@@ -278,14 +216,18 @@ def train(docs: DataFrame, labels: DataFrame, wanted=None, toxic_docs: int = TOX
     return fit(sample.column("text").to_pylist(), sample.column("toxic").to_pylist())
 
 
-def with_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns, with a column toxicity: the score, 0 to 1; 0 for empty and null texts."""
+def with_toxicity(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """The documents, all columns, with one more: the score, 0 to 1; 0 for texts without a letter, empty and null
+    texts. A column that has this name goes. Each row is scored by its text alone, so repeated rows and
+    null ids are rows like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop(name)
+    text = fresh(rows, "text_bytes")
 
     def run(batches):
         for whole in batches:
-            for batch in sliced(whole, 4096):
-                yield batch.append_column("toxicity", pa.array(shared.value.scores(large_text(batch.column("text"), lower=True))))
+            for batch in by_bytes(whole, text):
+                scores = shared.value.scores(large_text(batch.column(text), lower=True))
+                yield batch.drop_columns([text]).append_column(name, pa.array(scores))
 
-    schema = docs.select("*", F.lit(0.0).alias("toxicity")).schema
-    return docs.mapInArrow(run, schema)
+    return rows.withColumn(text, F.col("text").cast("string")).mapInArrow(run, rows.select("*", F.lit(0.0).alias(name)).schema)

@@ -160,39 +160,61 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == toxic[r.doc_id] for r in out]) > 0.9
 
 
-def test_toxic_words_that_begin_like_ordinary_ones():
-    """Every toxic word shares its first eight letters with an ordinary one."""
-    rng = np.random.default_rng(3)
-    usual = [f"{a}{b}ungen" for a in ("ver", "ent", "auf", "zer") for b in ("bindlich", "schreib", "teilhaft", "sprech")] + ["achlichkeit", "worthily"]
-    rows = [(list(rng.choice(usual, 40)), 0) for _ in range(400)] + [([*rng.choice(usual, 39), w], 1) for w in ("achlichkpf", "worthilyx") for _ in range(25)]
-    texts, labels = [" ".join(w) for w, _ in rows], [y for _, y in rows]
-    model = toxicity.fit(texts, labels)
-    assert (model.scores(toxicity.large_text(toxicity.pa.array(texts), lower=True)) >= 0.5).tolist() == [y == 1 for y in labels]
-
-
-def test_toxic_pairs_of_ordinary_words():
-    rng = np.random.default_rng(4)
-    usual = ["garden", "window", "yellow", "letter", "silver", "market", "planet", "bridge"]
-    rows = [(list(rng.choice(usual, 30)) + ["rotten", "paper", "egg"] * 2, 0) for _ in range(300)]
-    rows += [(list(rng.choice(usual, 30)) + ["paper", "rotten", "egg", "paper"], 1) for _ in range(40)]
-    texts, labels = [" ".join(w) for w, _ in rows], [y for _, y in rows]
-    model = toxicity.fit(texts, labels)
-    assert (model.scores(toxicity.large_text(toxicity.pa.array(texts), lower=True)) >= 0.5).tolist() == [y == 1 for y in labels]
-
-
-def test_toxic_recall_of_each_language_on_held_out_rows(spark):
-    """Of the held-out toxic rows of sf0.1 six are Spanish, so its bar is lower."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
-    toxic = {r.doc_id: r.toxic for r in labels.collect()}
-    rows = [r for r in QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").collect() if r.doc_id in toxic]
-    caught, clean = defaultdict(list), []
-    for r in rows:
-        (caught[lang[r.doc_id]] if toxic[r.doc_id] else clean).append(r.predicted)
-    recall = {k: np.mean(v) for k, v in caught.items() if k is not None}
-    assert set(recall) == {"en", "de", "fr", "es"}
-    assert all(recall[k] >= least for k, least in {"en": 0.85, "de": 0.8, "fr": 0.8, "es": 0.5}.items()), recall
-    assert np.mean(clean) < 0.01
+def _labelled(sf, where=""):
+    con = duckdb.connect()
+    at = f"/root/testdata/{sf}"
+    files = {t: f"{at}/{t}.parquet" if sf.startswith("sf") else f"{at}/{t}.parquet/*.parquet" for t in ("documents", "labels")}
+    return con.execute(f"SELECT doc_id, lang, toxic, text FROM '{files['documents']}' JOIN '{files['labels']}' USING (doc_id) {where} ORDER BY hash(doc_id), doc_id").fetchall()
+
+
+def _judged(rows):
+    """A model fitted as the query fits it on the rows of a table, and the held-out rows with its judgement."""
+    learned, apart = ([r for r in rows if held(r[0], 5) == k] for k in (False, True))
+    learned = [r for r in learned if r[2] == 1][: toxicity.TOXIC_DOCS] + [r for r in learned if r[2] == 0][: toxicity.ORDINARY_DOCS]
+    model = toxicity.fit([r[3] for r in learned], [r[2] for r in learned])
+    said = [x for low in range(0, len(apart), 500) for x in (model.scores(toxicity.large_text(toxicity.pa.array([r[3] for r in apart[low : low + 500]]), lower=True)) >= 0.5).tolist()]
+    return model, [(r, x) for r, x in zip(apart, said, strict=True)]
+
+
+@pytest.fixture(scope="module")
+def small_judged():
+    return _judged(_labelled("sf0.1"))
+
+
+def test_toxic_recall_on_few_labels(small_judged):
+    """sf0.1 has 359 toxic rows to learn from, 221 of them English: enough for English words only (README)."""
+    out = small_judged[1]
+    assert np.mean([x for r, x in out if r[2] == 1 and r[1] == "en"]) >= 0.8
+    assert np.mean([x for r, x in out if r[2] == 0]) < 0.01
+
+
+def test_toxic_recall_of_each_language_on_held_out_rows():
+    out = _judged(_labelled("check_s"))[1]
+    recall = {k: np.mean([x for r, x in out if r[2] == 1 and r[1] == k]) for k in ("en", "de", "fr", "es")}
+    assert min(recall.values()) >= 0.85, recall
+    assert np.mean([x for r, x in out if r[2] == 0]) < 0.01
+
+
+def test_scores_are_compression_distances_of_all_windows(small_judged):
+    """Whole texts scored again word by word in plain Python."""
+    model, out = small_judged
+    ordinary, toxic = (toxicity.compressor(d + model.common) for d in (model.ordinary, model.toxic))
+    texts = [r[3] for r, _ in out[:40]] + ["", None, "one", "1 2 3", "idiot " * 30, "ÄÖ ß日本 x" * 40]
+    got = model.scores(toxicity.large_text(toxicity.pa.array(texts), lower=True))
+    for text, score in zip(texts, got, strict=True):
+        words, weight = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", fold(text)), []
+        starts = [s for s in range(0, len(words), toxicity.STEP) if s == 0 or s + toxicity.WINDOW - toxicity.STEP < len(words)]
+        for s in starts:
+            window = f" {' '.join(words[s : s + toxicity.WINDOW])} ".encode()
+            d = len(ordinary.compress(window)) - len(toxic.compress(window))
+            weight.append(model.weights[max(-toxicity.FURTHEST - 1, min(toxicity.FURTHEST + 1, d)) + toxicity.FURTHEST + 1])
+        total = sum(weight) / (1 + len(weight) / toxicity.PER_WINDOWS)
+        assert score == pytest.approx(total / (total + model.threshold), abs=1e-9)
+
+
+def test_without_labels_of_both_kinds_nothing_is_toxic():
+    for texts, labels in (([], []), (["a b"], [1]), (["a b"], [0]), (["", ""], [0, 1]), (["a", "b"], [0, 1])):
+        assert toxicity.fit(texts, labels).scores(toxicity.large_text(toxicity.pa.array(["a b", ""]), lower=True)).tolist() == [0.0, 0.0]
 
 
 def test_packing_round_trip(spark, documents):
