@@ -25,16 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACED, as_batch, large_text, sliced, split_words
+from graphloom.llm.common import SPACED, as_batch, by_bytes, large_text, row_key, rows_of, split_words
 from graphloom.operators.components import connected_components
 from graphloom.plans.scratch import scratch
 
 SHINGLE, SEED, LIMIT, SEGMENTS, REACH, BUCKET = 4, 42, 4, 6, 3, 20_000
+HOT = 1_000
 WIDTHS = [11, 11, 11, 11, 10, 10]
 OFFSETS = [sum(WIDTHS[:i]) for i in range(SEGMENTS)]
 BUDGETS = [(n * LIMIT) // SEGMENTS for n in range(1, SEGMENTS + 1)]
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -67,13 +68,14 @@ def fingerprints_of(texts: pa.LargeStringArray, chunk: int = 1 << 17) -> np.ndar
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        for part in sliced(batch, 512):
-            yield as_batch(FINGERPRINTS, part.column(0), fingerprints_of(large_text(part.column(1), lower=True)).view(np.int64))
+        for part in by_bytes(batch):
+            yield as_batch(FINGERPRINTS, part.column("doc_id"), part.column("row"), fingerprints_of(large_text(part.column("text"), lower=True)).view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every document; null text is empty and has 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """doc_id, row (a hash of the row) and fp (the 64 bits as a long) of every document; null text is empty and has 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, row long, fp long")
 
 
 def _segment(i: int):
@@ -179,23 +181,40 @@ def near_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return links.union(points.join(centres, "point").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct())
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Every document: doc_id, row, fp, component (a fingerprint) and component_id (the smallest doc_id reachable)."""
+    prints = scratch(fingerprints(docs))
+    fps = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    members = connected_components(near_links(fps.select("fp")), "a", "b").select(F.col("node").alias("fp"), F.col("component"))
+    grouped = fps.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = scratch(grouped.join(smallest, "component").select("fp", "n", "component", "component_id"))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = named.where(F.col("n") > max(1, total // HOT)).select("fp", F.struct("component", "component_id").alias("hot"))
+    rows = prints.join(F.broadcast(hot), "fp", "left")  # at most HOT fingerprints
+    # Rows that have found their component are dealt out evenly and meet no other.
+    salt = F.when(F.col("hot").isNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1)
+    rest = named.select("fp", F.lit(0).cast("long").alias("salt"), F.struct("component", "component_id").alias("found"))
+    placed = rows.withColumn("salt", salt).join(rest, ["fp", "salt"], "left").withColumn("in", F.coalesce("hot", "found"))
+    return placed.select("doc_id", "row", "fp", "in.component", "in.component_id")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links.
 
     Documents link if their fingerprints differ in LIMIT bits or fewer. Empty and null texts have
     fingerprint 0. Null ids never name a component unless all its ids are null. Repeated rows are kept;
     other columns are ignored.
+
+    Fingerprints of more than one row in HOT are few, whatever the input, and find their component by a
+    broadcast; all others by a shuffle.
     """
-    prints = scratch(fingerprints(docs))
-    fps = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    members = connected_components(near_links(fps.select("fp")), "a", "b").select(F.col("node").alias("fp"), F.col("component"))
-    grouped = fps.join(members, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _placed(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns."""
-    kept = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each group, with all its columns: the one with the smallest doc_id, and of rows that share
+    that (or have none), one by a hash of the row. Columns may have any name."""
+    stays = _placed(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id", "row").agg(F.count("*").alias("n"))
+    one = stays.groupBy("component", "doc_id").agg(F.min(F.struct("row", "n")).alias("kept"))
+    return rows_of(docs, scratch(one.select("doc_id", "kept.row", "kept.n")))

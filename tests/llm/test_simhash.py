@@ -51,8 +51,8 @@ def test_matches_brute_force(spark, documents):
 def test_batches_are_cut_without_loss(documents):
     """More rows than a task takes at once, from the middle of an Arrow array."""
     texts = [t for _, t in documents] * 4
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
-    got = [v for b in simhash._fingerprint_batches([batch]) for v in b.column(1).to_numpy().view(np.uint64).tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "row", "text"])
+    got = [v for b in simhash._fingerprint_batches([batch]) for v in b.column(2).to_numpy().view(np.uint64).tolist()]
     assert got == [fingerprint(t) for t in texts[: len(documents)]] * 4
 
 
