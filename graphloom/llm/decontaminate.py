@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ALNUM, large_text, sliced, split_words
+from graphloom.llm.common import ALNUM, by_bytes, fresh, large_text, split_words
 
 WINDOW, SAMPLE, BLOCK_BYTES = 10, 8, 8 << 20
 
@@ -174,41 +174,52 @@ def _lists(values: list[list], kind: pa.DataType) -> pa.Array:
     return pa.array(values, pa.list_(kind))
 
 
-def _add_hits(wanted):
+#: What with_hits adds
+ADDED = ("firsts", "ends", "items")
+
+
+def _add_hits(wanted, added: tuple[str, ...]):
     """Adds to each document the words (first, end) that a block of phrases covers, and the items."""
 
     def run(batches):
         given = wanted.value
         for whole in batches:
-            for batch in sliced(whole, 16384):
+            for batch in by_bytes(whole):
                 texts = large_text(batch.column("text"), lower=True)
                 words, first, which = occurrences(texts, given)
                 doc = words.doc_of_word()[first] if len(first) else first
-                firsts, ends, items = batch.column("firsts").to_pylist(), batch.column("ends").to_pylist(), batch.column("items").to_pylist()
+                lists = [batch.column(n).to_pylist() for n in added]
+                firsts, ends, items = lists
                 for d, f, w in zip(doc.tolist(), first.tolist(), which.tolist(), strict=True):
                     firsts[d].append(f - int(words.first[d]))
                     ends[d].append(f - int(words.first[d]) + int(given.lengths[w]))
                 pairs = np.unique(np.stack([doc, which]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
+                found: dict[int, dict] = {}
                 for d, w in zip(*pairs.tolist(), strict=True):
-                    items[d] += [x for x in given.items[w] if x not in items[d]]
-                out = {**{n: batch.column(n) for n in batch.schema.names}, "firsts": _lists(firsts, pa.int32()), "ends": _lists(ends, pa.int32()), "items": _lists(items, pa.string())}
-                yield pa.RecordBatch.from_pydict(out)
+                    found.setdefault(d, dict.fromkeys(items[d])).update(dict.fromkeys(given.items[w]))
+                for d, some in found.items():
+                    items[d] = list(some)
+                for name, values in zip(added, lists, strict=True):
+                    at = batch.schema.get_field_index(name)
+                    batch = batch.set_column(at, name, pa.array(values, batch.schema.field(at).type))
+                yield batch
 
     return run
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with firsts and ends (spans of covered words, overlapping) and items (found item ids)."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, added: tuple[str, ...] = ADDED) -> DataFrame:
+    """The documents with firsts and ends (spans of covered words, overlapping) and items (found item ids), under
+    the names in added."""
     spark = docs.sparkSession
-    empty = F.array().cast("array<int>")
-    found = docs.select("*", empty.alias("firsts"), empty.alias("ends"), F.array().cast("array<string>").alias("items"))
+    kinds = ("array<int>", "array<int>", "array<string>")
+    found = docs.select("*", *[F.array().cast(k).alias(n) for n, k in zip(added, kinds, strict=True)])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     blocks = math.ceil(size / block_bytes)
     for block in range(blocks):  # one, unless the benchmark is larger than the bound
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         wanted = spark.sparkContext.broadcast(phrases([tuple(r) for r in part.collect()], window))
-        found = found.mapInArrow(_add_hits(wanted), found.schema)
+        found = found.mapInArrow(_add_hits(wanted, added), found.schema)
     return found
 
 
@@ -227,7 +238,7 @@ REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 def _report(batches):
     for whole in batches:
-        for batch in sliced(whole, 16384):
+        for batch in by_bytes(whole):
             counts = split_words(large_text(batch.column("text"), lower=True), ALNUM).counts
             hits = [sum(e - f for f, e in _merged(fs, es)) for fs, es in zip(batch.column("firsts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
             items = batch.column("items").to_pylist()
@@ -246,31 +257,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return with_hits(texts, benchmark).mapInArrow(_report, REPORT)
 
 
-def _cut(batches):
-    for whole in batches:
-        for batch in sliced(whole, 4096):
-            texts = batch.column("text").to_pylist()
-            firsts, ends = batch.column("firsts").to_pylist(), batch.column("ends").to_pylist()
-            for d in [d for d, f in enumerate(firsts) if f]:
-                data = np.frombuffer(texts[d].encode(), np.uint8)
-                inside = ALNUM[np.where((data >= 65) & (data <= 90), data + 32, data)]
-                starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-                stops = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-                keep = np.ones(len(data), bool)
-                for first, end in _merged(firsts[d], ends[d]):
-                    keep[starts[first] : stops[end - 1]] = False
-                texts[d] = data[keep].tobytes().decode()
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).select([n for n in batch.schema.names if n not in ("firsts", "ends", "items")])
+def _cut(added: tuple[str, ...], was_hit: str):
+    def run(batches):
+        for whole in batches:
+            for batch in by_bytes(whole):
+                texts = batch.column("text").to_pylist()
+                firsts, ends = (batch.column(n).to_pylist() for n in added[:2])
+                for d in [d for d, f in enumerate(firsts) if f]:
+                    data = np.frombuffer(texts[d].encode(), np.uint8)
+                    inside = ALNUM[np.where((data >= 65) & (data <= 90), data + 32, data)]
+                    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+                    stops = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
+                    keep = np.ones(len(data), bool)
+                    for first, end in _merged(firsts[d], ends[d]):
+                        keep[starts[first] : stops[end - 1]] = False
+                    texts[d] = data[keep].tobytes().decode()
+                at = batch.schema.get_field_index("text")
+                cut = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).drop_columns(list(added))
+                yield cut.append_column(was_hit, pa.array([bool(f) for f in firsts]))
+
+    return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, without the spans that occurrences of windows cover.
 
     A document of which no letter or digit is left after a cut is dropped; others, and those without a
-    hit, stay as they are. The table must not have columns firsts, ends or items.
+    hit, stay as they are: null and empty texts, repeated rows and rows without an id too. Columns may have any name.
     """
-    hit = with_hits(docs, benchmark)
-    cut = hit.withColumn("__hit", F.size("firsts") > 0)
-    cut = cut.mapInArrow(_cut, cut.drop("firsts", "ends", "items").schema)
-    return cut.where(~F.col("__hit") | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).drop("__hit")
+    added, was_hit = tuple(fresh(docs, n) for n in ADDED), fresh(docs, "was_hit")
+    hit = with_hits(docs, benchmark, added=added)
+    cut = hit.mapInArrow(_cut(added, was_hit), docs.select("*", F.lit(False).alias(was_hit)).schema)
+    return cut.where(~F.col(was_hit) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).drop(was_hit)

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import byte_class, large_text, mix, sliced, split_words
+from graphloom.llm.common import byte_class, by_bytes, fresh, large_text, mix, split_words
 
 SAMPLE_DOCS, ROUNDS, SMOOTHING = 400, 4, 0.1
 LONGEST, STRETCH = 8, 40
@@ -196,13 +196,17 @@ def identify(texts: pa.LargeStringArray, model: Model) -> tuple[list[str], np.nd
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, all columns, with lang_pred and lang_score. Null texts and texts without a letter are
-    und with score 0; ties go to the first language by name."""
+    und with score 0; ties go to the first language by name. Columns of these names go; each row is judged by
+    its text alone, so repeated rows and null ids are rows like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop("lang_pred", "lang_score")
+    text = fresh(rows, "text_bytes")
 
     def run(batches):
         for whole in batches:
-            for batch in sliced(whole, 16384):
-                names, scores = identify(large_text(batch.column("text"), lower=False), shared.value)
-                yield batch.append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
+            for batch in by_bytes(whole, text):
+                names, scores = identify(large_text(batch.column(text), lower=False), shared.value)
+                yield batch.drop_columns([text]).append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(run, docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema)
+    schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
+    return rows.withColumn(text, F.col("text").cast("string")).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACED, large_text, split_words
+from graphloom.llm.common import SPACED, by_bytes, large_text, split_words
 from graphloom.llm.subwords import encoder, gathered
 from graphloom.plans.scratch import scratch
 
@@ -101,20 +101,21 @@ def _pack(tokenizer: str, context: int, slots: int, with_ids: bool):
         words_to_ids = encoder(tokenizer)
         packer = Packer(context, slots, SLACK, TaskContext.get().partitionId() << 32)
         end = np.array([END_ID], np.int32)
-        for batch in batches:
-            words = split_words(large_text(batch.column("text"), lower=False), SPACED)
-            codes, distinct = words.encoded()
-            values, bounds = words_to_ids.encode(distinct)
-            values = values.astype(np.int32)
-            docs = batch.column("doc_id").to_pylist()
-            for low in range(0, len(docs), 512):
-                first = words.first[low : low + 513]
-                flat, counts = gathered(values, bounds, codes[first[0] : first[-1]])
-                edges = np.concatenate([[0], np.cumsum(counts)])[first - first[0]]
-                for doc, s, e in zip(docs[low : low + 512], edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    ids = np.concatenate([flat[s:e], end])
-                    packer.add((doc, len(ids)), ids)
-                yield _rows(packer.take(), False, with_ids)
+        for whole in batches:
+            for batch in by_bytes(whole):
+                words = split_words(large_text(batch.column("text"), lower=False), SPACED)
+                codes, distinct = words.encoded()
+                values, bounds = words_to_ids.encode(distinct)
+                values = values.astype(np.int32)
+                docs = batch.column("doc_id").to_pylist()
+                for low in range(0, len(docs), 512):
+                    first = words.first[low : low + 513]
+                    flat, counts = gathered(values, bounds, codes[first[0] : first[-1]])
+                    edges = np.concatenate([[0], np.cumsum(counts)])[first - first[0]]
+                    for doc, s, e in zip(docs[low : low + 512], edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        ids = np.concatenate([flat[s:e], end])
+                        packer.add((doc, len(ids)), ids)
+                    yield _rows(packer.take(), False, with_ids)
         yield _rows(sorted(packer.windows.items()), True, True)
 
     return run

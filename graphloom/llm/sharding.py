@@ -64,7 +64,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 6
     repeated ids are rows like any other. An empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
+    rows = scratch(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
     spark, n_ranges = docs.sparkSession, shards * ranges_per_shard
     total = rows.agg(F.sum("size")).first()[0] or 1
     share = total / n_ranges
@@ -76,7 +76,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 6
     light = rows.where("heavy IS NULL")
 
     rate = n_ranges * samples_per_range / total
-    chance = F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
+    chance = F.pmod(F.xxhash64("row", "key", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
     weight = F.greatest(F.lit(1.0), F.col("size") * rate)
     sample = light.where(chance < F.col("size") * rate).select("key", weight.alias("w")).collect()  # n_ranges * samples_per_range rows are expected
     bounds = _quantiles([tuple(r) for r in sample], n_ranges)
@@ -90,7 +90,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 6
 
     # Pieces: (unit, part). A unit is a range, or a heavy key in parts.
     unit = F.coalesce(F.col("heavy"), len(parts_of) + _place(F.col("key"), bounds))
-    part = F.when(F.col("heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    part = F.when(F.col("heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     rows = rows.withColumn("unit", unit).withColumn("part", part)
     pieces = rows.groupBy("unit", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # some n_ranges rows
     plan = spark.createDataFrame(_assign(pieces, shards, total / shards), "unit int, part int, shard int, start long")
