@@ -2,42 +2,53 @@
 
 Two scores, both log10 probabilities of a text's words and its end:
 
-* a base: word unigrams with add-one smoothing. Words are counted over all training documents; a block of
-  documents sends each distinct word once, and gets each distinct word's count back once, so the most
-  frequent word costs a row for each block;
-* a model: causal self-attention over subword ids, written in numpy. It reads windows of CONTEXT ids that
-  overlap by OVERLAP, with masked attention batched over windows, and scores each id once. It predicts the
-  class of the next id. Given its class, a word's share comes from the corpus counts of words (Witten-Bell:
-  counted words keep c / (C + V + 1), the rest of the mass goes to spelling), and a word's spelling is the
-  product over its ids of class probabilities and shares of ids in their classes.
-
-Classes come from the counts of ids by what stands before them: the most frequent ids are classes of their
-own, the others are clustered. All counts cover every training document.
-
-Training of the attention weights is synchronous data-parallel gradient descent: in each round every task
-takes its own gradient steps on all of its training documents, and the weights are averaged, each task's by
-its number of documents. So counts and gradient work grow with the corpus, while what reaches the driver is
-bounded by the vocabulary and the size of the weights.
+* a base: word unigrams with add-one smoothing, from counts over all training documents;
+* a model: causal self-attention over subword ids, written in numpy.
+
+What the model predicts are symbols: a subword id and whether it begins a word, or the end of a text. So words
+and their borders can be read off a row of symbols, and two texts have the same one only if their words differ
+in ways the vocabulary folds (capitals beyond A-Z, composed letters). Such spellings share the mass of their
+symbols: that of the symbols themselves, that with a capital first letter, and all others letter by letter, by the
+corpus counts of the three kinds. So the probabilities of all texts sum to 1 at most.
+
+A symbol's probability is that of its class, given all symbols before it in the window, times that of the symbol in
+the class, given the symbol before it. The class comes from attention: windows of CONTEXT symbols overlap by
+OVERLAP, masked attention is batched over windows, and each symbol is scored once. The attention starts from the
+class bigrams of the corpus and learns what the rest of the window adds. The second factor is a bigram over the
+INPUTS - 1 most frequent symbols (all others are one, split by their counts), smoothed by Kneser-Ney.
+
+Each document is split and encoded once; slices of some megabytes of text are kept as arrays in a scratch
+table, and all passes read those. All counts cover every training document, and so does gradient descent, which is
+data-parallel: every task takes steps on all of its training documents and the weights are averaged, after a first
+round over one slice a task. What reaches the driver is bounded by INPUTS and the vocabulary.
+
+Word counts are shuffled as arrays: for each slice and range of word hashes one row, with which document holds
+which word how often. Ranges are dealt again to salts by slice, so that a word of every slice is no large group.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACED, as_batch, block_count, large_text, sliced, split_words, to_signed
+from graphloom.llm.common import SPACED, by_bytes, hash_all, large_text, split_words
 from graphloom.llm.subwords import encoder, gathered
 from graphloom.plans.scratch import scratch
 
 CONTEXT, OVERLAP, CLASSES, WIDTH, INPUTS = 32, 4, 64, 16, 4096
-BUCKETS, CLUSTER_STEPS = 32, 10
-ROUNDS, SHARE, BATCH, RATE = 2, 16, 64, 0.01
-BLOCK_BYTES = 8 << 20
-START = 0
+BUCKETS, CLUSTER_STEPS, DISCOUNT, UNSEEN = 64, 8, 0.6, 0.05
+BATCH, RATE = 256, 0.01
+SLICE_BYTES, RANGE_BYTES, SALT_SLICES = 4 << 20, 64 << 20, 4096
+#: Shares are kept as whole numbers of this part of a log10, rounded to the smaller share
+STEPS = 4096
+#: Places among symbols: the end of a text, and a word without ids
+END, NONE = -2, -1
 
 
 # --- The model --------------------------------------------------------------------------------
@@ -45,12 +56,21 @@ START = 0
 
 @dataclass
 class Tables:
-    """What the model knows of an id: its class, its input row, and its log10 share of its class."""
+    """What the counts say. Outputs are symbols by frequency, the last one stands for all rarer ones: of_symbol: the
+    output of each symbol; rare: log10 share of each rarer symbol in that output; of_class: the class of each
+    output; start: log probability of each class after each output; share: log10 of each output's share of its class
+    after each output, in whole STEPS."""
 
+    of_symbol: np.ndarray
+    rare: np.ndarray
     of_class: np.ndarray
-    of_input: np.ndarray
+    start: np.ndarray
     share: np.ndarray
-    class_logits: np.ndarray
+
+    @property
+    def first(self) -> int:
+        """What stands before a text: an end."""
+        return int(self.of_symbol[END])
 
 
 def clusters(profiles: np.ndarray, weights: np.ndarray, k: int, steps: int = CLUSTER_STEPS) -> np.ndarray:
@@ -71,116 +91,141 @@ def clusters(profiles: np.ndarray, weights: np.ndarray, k: int, steps: int = CLU
     return label
 
 
-def tables(profiles: np.ndarray, classes: int = CLASSES, inputs: int = INPUTS) -> Tables:
-    """From the training counts of ids (the last is the end of a text) by the bucket of the id before. Each
-    id of the vocabulary has add-one smoothing, so none is impossible."""
-    counts = profiles.sum(axis=1)
-    smooth = counts + 1.0
-    order = np.argsort(-smooth, kind="stable")
-    order = np.concatenate([[len(counts) - 1], order[order != len(counts) - 1]])  # the end has its own class
+def outputs(counts: np.ndarray, inputs: int = INPUTS) -> tuple[np.ndarray, np.ndarray]:
+    """of_symbol and rare, from the training counts of symbols. The end is always an output of its own."""
+    order, end = np.argsort(-counts, kind="stable"), len(counts) + END
+    order = np.concatenate([[end], order[order != end]])
+    of_symbol = np.full(len(counts), inputs - 1, np.int64)
+    of_symbol[order[: inputs - 1]] = np.arange(min(inputs - 1, len(order)))
+    rare = of_symbol == inputs - 1
+    return of_symbol, np.where(rare, np.log10((counts + 1.0) / max(1.0, (counts[rare] + 1.0).sum())), 0.0)
+
+
+def tables(of_symbol: np.ndarray, rare: np.ndarray, place: np.ndarray, n: np.ndarray, classes: int = CLASSES, inputs: int = INPUTS) -> Tables:
+    """place, n: training counts of pairs of outputs (the one before times inputs, plus the next)."""
+    before, after = np.divmod(place, inputs)
+    mass = np.bincount(after, n, inputs)
     own = classes // 2
-    of_class = np.full(len(counts), classes - 1, np.int64)
-    of_class[order[:own]] = np.arange(own)
-    seen = order[own:][counts[order[own:]] > 0]
-    if len(seen):
-        of_class[seen] = own + clusters(profiles[seen], counts[seen], classes - own - 1)
-    of_input = np.full(len(counts), inputs - 1, np.int64)
-    of_input[order[: inputs - 2]] = np.arange(1, inputs - 1)
-    mass = np.bincount(of_class, smooth, classes)
-    return Tables(of_class, of_input, np.log10(smooth / np.maximum(mass, 1e-9)[of_class]), np.log(np.maximum(mass, 1e-9) / mass.sum()))
+    of_class = np.full(inputs, classes - 1, np.int64)
+    of_class[np.argsort(-mass, kind="stable")[:own]] = np.arange(own)
+    others = np.flatnonzero((of_class == classes - 1) & (mass > 0))
+    profile = np.bincount(after * BUCKETS + before % BUCKETS, n, inputs * BUCKETS).reshape(inputs, BUCKETS)
+    if len(others):
+        of_class[others] = own + clusters(profile[others], mass[others], classes - own - 1)
+    kinds, total = np.bincount(before, minlength=inputs), np.bincount(before, n, inputs)
+    known = np.bincount(after, minlength=inputs) + UNSEEN
+    known /= known.sum()
+    by_class = np.argsort(of_class, kind="stable")
+    edges = np.searchsorted(of_class[by_class], np.arange(classes))
+    filled = np.append(edges[1:], inputs) > edges
+    start, share = np.empty((inputs, classes), np.float32), np.empty((inputs, inputs), np.uint16)
+    order = np.argsort(place, kind="stable")
+    place, n = place[order], n[order]
+    for low in range(0, inputs, 256):
+        high = min(inputs, low + 256)
+        some = slice(*np.searchsorted(place, [low * inputs, high * inputs]))
+        p = np.zeros((high - low) * inputs)
+        p[place[some] - low * inputs] = n[some] - DISCOUNT
+        p = p.reshape(high - low, inputs) + (DISCOUNT * kinds[low:high, None]) * known
+        p = np.where(total[low:high, None] > 0, p, known)
+        p /= p.sum(axis=1, keepdims=True)
+        sums = np.zeros((high - low, classes))
+        sums[:, filled] = np.add.reduceat(p[:, by_class], edges[filled], axis=1)
+        start[low:high] = np.log(np.maximum(sums, 1e-30))
+        share[low:high] = np.minimum(np.ceil(-STEPS * np.log10(p / sums[:, of_class])), 65535)
+    return Tables(of_symbol, rare, of_class, start, share)
 
 
 def initial(width: int = WIDTH, classes: int = CLASSES, inputs: int = INPUTS, context: int = CONTEXT, seed: int = 5) -> dict[str, np.ndarray]:
+    """q, k, v: a query, key and value for each input; near: what a distance adds to an attention; out: from the
+    mixed values to the logits of classes, which is zero at first."""
     rng = np.random.default_rng(seed)
-    shapes = {"embed": (inputs, width), "place": (context, width), "q": (width, width), "k": (width, width), "v": (width, width), "o": (width, width), "up": (width, width), "down": (width, width), "out": (width, classes)}
-    return {n: (rng.standard_normal(s) * (0.3 if n in ("embed", "place") else s[0] ** -0.5)).astype(np.float32) for n, s in shapes.items()} | {"bias": np.zeros(classes, np.float32)}
-
-
-def _exp(x: np.ndarray, most: float = 60.0) -> np.ndarray:
-    """exp in place; only rows of which a value could overflow are shifted by their largest."""
-    if x.size and x.max() > most:
-        x -= x.max(axis=-1, keepdims=True)
-    return np.exp(x, out=x)
+    w = {n: (rng.standard_normal((inputs, width)) * s).astype(np.float32) for n, s in (("q", 0.3), ("k", 0.3), ("v", 0.5))}
+    return w | {"near": (-0.5 * np.arange(context)).astype(np.float32), "out": np.zeros((width, classes), np.float32)}
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    _exp(x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+def _distances(near: np.ndarray, n: int) -> np.ndarray:
+    """What each place adds to its attention on each other, and the mask: nothing is seen of what comes later."""
+    apart = np.arange(n)[:, None] - np.arange(n)
+    return np.where(apart >= 0, near[np.maximum(apart, 0)], np.float32(-1e9)).astype(np.float32)
 
 
-def forward(w: dict, x: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple | None]:
-    """x: input rows, windows by places. The logits of the class after each place and, if asked for, what
-    backward needs. Places are one long matrix but inside the attention, where windows are the batch."""
+def forward(w: dict, start: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """x: inputs, windows by places. The logits of the class after each place, and what the gradients need."""
     many, n = x.shape
-    width = w["q"].shape[0]
-    shaped = lambda a: a.reshape(many, n, -1)
-    h0 = w["embed"][x]
-    h0 += w["place"][:n]
-    h0 = h0.reshape(-1, width)
-    scale = np.float32(width**-0.5)
-    q, k, v = shaped(h0 @ (w["q"] * scale)), shaped(h0 @ w["k"]), shaped(h0 @ w["v"])
-    attention = _exp(q @ k.transpose(0, 2, 1))
-    attention *= np.tri(n, dtype=attention.dtype)
-    total = attention @ np.ones(n, attention.dtype)
-    mixed = attention @ v
-    mixed /= total[:, :, None]
-    mixed = mixed.reshape(-1, width)
-    h1 = h0 + mixed @ w["o"]
-    up = h1 @ w["up"]
-    np.maximum(up, 0, out=up)
-    h2 = h1 + up @ w["down"]
-    logits = h2 @ w["out"]
-    logits += w["bias"]
-    if not keep:
-        return shaped(logits), None
-    return shaped(logits), (x, shaped(h0), q, k, v, attention / total[:, :, None], shaped(mixed), shaped(h1), shaped(up), shaped(h2))
+    q, k, v = (w[name][x] for name in "qkv")
+    a = (q * np.float32(q.shape[-1] ** -0.5)) @ k.transpose(0, 2, 1)
+    a += _distances(w["near"], n)
+    if a.max() > 60:
+        a -= a.max(axis=-1, keepdims=True)
+    np.exp(a, out=a)
+    a /= (a @ np.ones(n, a.dtype))[:, :, None]
+    mixed = (a @ v).reshape(many * n, -1)
+    logits = mixed @ w["out"]
+    logits += start[x.reshape(-1)]
+    return logits, (x, q, k, v, a, mixed)
+
+
+def _added(x: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
+    """The sums of the rows of g by x."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    at = np.flatnonzero(np.diff(x[order], prepend=-1))
+    out = np.zeros((rows, g.shape[1]), np.float32)
+    out[x[order[at]]] = np.add.reduceat(g[order], at, axis=0)
+    return out
 
 
 def gradients(w: dict, kept: tuple, d: np.ndarray) -> dict[str, np.ndarray]:
     """d: the gradient of the loss by the logits."""
-    x, h0, q, k, v, attention, mixed, h1, up, h2 = kept
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"out": flat(h2).T @ flat(d), "bias": flat(d).sum(axis=0)}
-    d2 = d @ w["out"].T
-    dup = (d2 @ w["down"].T) * (up > 0)
-    g["down"], g["up"] = flat(up).T @ flat(d2), flat(h1).T @ flat(dup)
-    d1 = d2 + dup @ w["up"].T
-    g["o"] = flat(mixed).T @ flat(d1)
-    dm = d1 @ w["o"].T
-    da = dm @ v.transpose(0, 2, 1)
-    ds = attention * (da - (da * attention).sum(axis=-1, keepdims=True))
-    # q is already scaled.
-    dq, dk, dv = ds @ k * np.float32(q.shape[-1] ** -0.5), ds.transpose(0, 2, 1) @ q, attention.transpose(0, 2, 1) @ dm
-    for name, dx in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(h0).T @ flat(dx)
-    d0 = d1 + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    g["place"] = np.zeros_like(w["place"])
-    g["place"][: x.shape[1]] = d0.sum(axis=0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], x.reshape(-1), flat(d0))
+    x, q, k, v, a, mixed = kept
+    many, n = x.shape
+    g = {"out": mixed.T @ d}
+    dm = (d @ w["out"].T).reshape(many, n, -1)
+    ds = dm @ v.transpose(0, 2, 1)
+    dv = a.transpose(0, 2, 1) @ dm
+    ds *= a
+    ds -= a * (ds @ np.ones(n, ds.dtype))[:, :, None]
+    scale = np.float32(q.shape[-1] ** -0.5)
+    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    dq *= scale
+    dk *= scale
+    total = ds.sum(axis=0)
+    g["near"] = np.zeros_like(w["near"])
+    g["near"][:n] = [np.trace(total, -apart) for apart in range(n)]
+    sums = _added(x.reshape(-1), np.concatenate([dq, dk, dv], axis=-1).reshape(many * n, -1), len(w["q"]))
+    g |= dict(zip("qkv", np.split(sums, 3, axis=1), strict=True))
     return g
 
 
-def descend(w: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, batch: int = BATCH, rate: float = RATE) -> dict:
-    """A pass of Adam over windows: inputs x, classes y, and which places count."""
-    w = {n: a.copy() for n, a in w.items()}
-    m, s = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(2))
-    for step, low in enumerate(range(0, len(x), batch), 1):
-        logits, kept = forward(w, x[low : low + batch])
-        d = _softmax(logits)
-        on = valid[low : low + batch].astype(np.float32)
-        np.put_along_axis(d, y[low : low + batch, :, None], np.take_along_axis(d, y[low : low + batch, :, None], 2) - 1, 2)
-        d *= (on / max(1.0, on.sum()))[:, :, None]
-        for n, g in gradients(w, kept, d).items():
-            m[n] = 0.9 * m[n] + 0.1 * g
-            s[n] = 0.99 * s[n] + 0.01 * g * g
-            w[n] = (w[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(s[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return w
+class Adam:
+    def __init__(self, w: dict, rate: float = RATE):
+        self.w, self.rate, self.step = {n: a.copy() for n, a in w.items()}, rate, 0
+        self.m, self.s = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(2))
+
+    def descend(self, start: np.ndarray, x: np.ndarray, y: np.ndarray, valid: np.ndarray, batch: int = BATCH) -> None:
+        """A pass over windows: inputs x, classes y, and which places count."""
+        for low in range(0, len(x), batch):
+            d, kept = forward(self.w, start, x[low : low + batch])
+            d -= d.max(axis=1, keepdims=True)
+            np.exp(d, out=d)
+            on = valid[low : low + batch].reshape(-1).astype(np.float32)
+            on /= max(1.0, on.sum())
+            d *= (on / (d @ np.ones(d.shape[1], d.dtype)))[:, None]
+            d[np.arange(len(d)), y[low : low + batch].reshape(-1)] -= on
+            self.step += 1
+            ahead = self.rate * math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+            for n, g in gradients(self.w, kept, d).items():
+                m, s = self.m[n], self.s[n]
+                m *= 0.9
+                m += 0.1 * g
+                g *= g
+                s *= 0.99
+                s += 0.01 * g
+                self.w[n] -= (ahead * m / (np.sqrt(s) + 1e-6)).astype(np.float32)
 
 
 def windows_of(lengths: np.ndarray, context: int = CONTEXT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over texts of the given lengths: the text, the first id, how many ids, and how many of the
+    """Windows over texts of the given lengths: the text, the first symbol, how many symbols, and how many the
     first of them were scored by the window before."""
     step = context - overlap
     many = np.maximum(1, -(-(lengths - overlap) // step))
@@ -190,117 +235,228 @@ def windows_of(lengths: np.ndarray, context: int = CONTEXT, overlap: int = OVERL
     return doc, first, np.minimum(context, lengths[doc] - first), np.where(number > 0, overlap, 0)
 
 
-def window_arrays(ids: np.ndarray, starts: np.ndarray, win: tuple, t: Tables, context: int = CONTEXT):
-    """Inputs, classes and scored places of windows. The input of a place is the id before it."""
+def window_arrays(out: np.ndarray, starts: np.ndarray, win: tuple, first_input: int, context: int = CONTEXT):
+    """Places, inputs and scored places of windows over outputs. The input of a place is the output before it."""
     doc, first, size, skip = win
     place = np.arange(context)
     at = starts[doc][:, None] + first[:, None] + np.minimum(place, size[:, None] - 1)
-    before = ids[np.maximum(at - 1, 0)]
-    x = np.where((first[:, None] + place) == 0, START, t.of_input[before])
-    valid = (place < size[:, None]) & (place >= skip[:, None])
-    return at, x, valid
+    x = np.where((first[:, None] + place) == 0, first_input, out[np.maximum(at - 1, 0)])
+    return at, x, (place < size[:, None]) & (place >= skip[:, None])
 
 
-def class_logs(w: dict, t: Tables, ids: np.ndarray, lengths: np.ndarray, rows: int = 128) -> np.ndarray:
-    """log10 probability of the class of each id, given the ids before it: ids in a row, lengths of the texts
+def class_logs(w: dict, t: Tables, out: np.ndarray, lengths: np.ndarray, batch: int = BATCH) -> np.ndarray:
+    """log10 probability of the class of each output, given those before it: outputs in a row, lengths of the texts
     (at least 1)."""
-    starts = np.cumsum(lengths) - lengths
-    win = windows_of(lengths)
-    out = np.empty(len(ids))
-    for low in range(0, len(win[0]), rows):
-        at, x, valid = window_arrays(ids, starts, tuple(a[low : low + rows] for a in win), t)
-        logits, _ = forward(w, x, keep=False)
-        flat = logits.reshape(-1, logits.shape[-1])
-        if flat.max() > 60:
-            flat -= flat.max(axis=-1, keepdims=True)
-        hit = flat.reshape(-1)[np.arange(len(flat)) * flat.shape[1] + t.of_class[ids[at]].reshape(-1)]
-        each = (hit - np.log(np.exp(flat, out=flat) @ np.ones(flat.shape[1], flat.dtype))) / np.log(10)
-        on = valid.reshape(-1)
-        out[at.reshape(-1)[on]] = each[on]
-    return out
+    starts, win = np.cumsum(lengths) - lengths, windows_of(lengths)
+    logs = np.empty(len(out))
+    for low in range(0, len(win[0]), batch):
+        at, x, valid = window_arrays(out, starts, tuple(a[low : low + batch] for a in win), t.first)
+        logits, _ = forward(w, t.start, x)
+        at, on = at.reshape(-1), valid.reshape(-1)
+        hit = logits[np.arange(len(logits)), t.of_class[out[at]]]
+        if logits.max() > 60:
+            top = logits.max(axis=1)
+            logits -= top[:, None]
+            hit -= top
+        each = hit - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
+        logs[at[on]] = each[on]
+    return logs / math.log(10)
+
+
+def symbol_logs(w: dict, t: Tables, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probability of each symbol, given those before it in its text."""
+    out = t.of_symbol[symbols]
+    before = np.concatenate([[t.first], out[:-1]])
+    before[np.cumsum(lengths)[:-1]] = t.first
+    return class_logs(w, t, out, lengths) - t.share[before, out] / STEPS + t.rare[symbols]
+
+
+# --- Texts as symbols ---------------------------------------------------------------------------
+
+
+class Symbols:
+    """The words of some texts, and the symbols of each text: 2 * id + (1 if it begins a word), for a word
+    without ids 2 * size + 1, and at the end of a text 2 * size."""
+
+    def __init__(self, texts: pa.Array, tokenizer: str):
+        self.words = split_words(large_text(texts, lower=True), SPACED)
+        self.codes, self.distinct = self.words.encoded()
+        coder = encoder(tokenizer)
+        values, bounds = coder.encode(self.distinct)
+        self.kinds, self.letters = spellings(self.distinct, values, bounds, coder)
+        size = coder.tokenizer.get_vocab_size()
+        # A word without ids has one symbol of its own.
+        none = np.flatnonzero(np.diff(bounds) == 0)
+        values = np.insert(values, bounds[none], size)
+        bounds = bounds + np.concatenate([[0], np.cumsum(np.diff(bounds) == 0)])
+        symbols = values * 2
+        symbols[bounds[:-1]] += 1
+        flat, counts = gathered(symbols, bounds, self.codes)
+        edges = np.concatenate([[0], np.cumsum(counts)])[self.words.first]
+        self.symbols, self.lengths = np.insert(flat, edges[1:], 2 * size).astype(np.int32), np.diff(edges) + 1
+
+
+def spellings(words: pa.Array, values: np.ndarray, bounds: np.ndarray, coder) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its kind - 0: spelled as its ids are, 1: so but for a capital first letter, 2: otherwise - and
+    its bytes and one more."""
+    pieces = coder.pieces()
+    flat = words.to_pylist()
+    ends = bounds.tolist()
+    ids = values.tolist()
+    kinds = np.zeros(len(flat), np.int64)
+    for i, w in enumerate(flat):
+        plain = b"".join([pieces[x] for x in ids[ends[i] : ends[i + 1]]])
+        if plain != w:
+            text = plain.decode("utf-8", "replace")
+            kinds[i] = 1 if text and text[:1].upper() != text[:1] and (text[:1].upper() + text[1:]).encode() == w else 2
+    return kinds, np.fromiter(map(len, flat), np.int64, len(flat)) + 1
+
+
+def spelling_logs(counts: list[int]) -> np.ndarray:
+    """log10 share of each kind of spelling, from the words of each kind in training texts."""
+    return np.log10((np.array(counts, float) + [1, 0.01, 0.01]) / (sum(counts) + 1.02))
+
+
+LETTER = math.log10(257)
+
+
+# --- Spark --------------------------------------------------------------------------------------
+
+ENCODED = (
+    "slice long, doc_id array<long>, learned array<boolean>, n_words array<int>, lengths array<int>, spelled array<array<int>>, ids binary, begins binary, "
+    "range int, hashes binary, trained binary, holders binary, docs binary, uses binary"
+)
+SLICE_FIELDS, RANGE_FIELDS = ["doc_id", "learned", "n_words", "lengths", "spelled", "ids", "begins"], ["range", "hashes", "trained", "holders", "docs", "uses"]
+
+
+def _slice_row(t: Symbols, batch: pa.RecordBatch) -> dict:
+    """The texts of a slice as arrays. spelled: for each text its words of each kind, and the letters of kind 2."""
+    doc = t.words.doc_of_word()
+    kind = t.kinds[t.codes] if len(t.codes) else np.zeros(0, np.int64)
+    n = batch.num_rows
+    spelled = np.bincount(doc * 4 + kind, minlength=4 * n)[: 4 * n].reshape(n, 4)
+    odd = kind == 2
+    spelled[:, 3] = np.bincount(doc[odd], t.letters[t.codes[odd]] if odd.any() else None, n)
+    return {
+        "doc_id": batch.column("doc_id").to_pylist(), "learned": batch.column("learned").to_pylist(), "n_words": t.words.counts, "lengths": t.lengths, "spelled": spelled.tolist(),
+        "ids": (t.symbols >> 1).astype("<u2").tobytes(), "begins": np.packbits((t.symbols & 1).astype(bool)).tobytes(),
+    }
+
+
+def _range_rows(t: Symbols, batch: pa.RecordBatch, ranges: int):
+    """For each range of word hashes: the words of the slice (sorted), how often each is in training texts, in how
+    many texts it is, and those texts with how often each has it."""
+    if not len(t.codes):
+        return
+    n = batch.num_rows
+    h = hash_all(t.distinct)
+    order = np.argsort(h)
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    h, doc = h[order], t.words.doc_of_word().astype(np.int64)
+    pair, uses = np.unique(rank[t.codes] * n + doc, return_counts=True)
+    word, doc = np.divmod(pair, n)
+    learned = batch.column("learned").to_numpy(zero_copy_only=False)
+    trained, holders = np.bincount(word, uses * learned[doc], len(h)), np.bincount(word, minlength=len(h))
+    edges = np.searchsorted((h >> np.uint64(32)).astype(np.int64) * ranges >> 32, np.arange(ranges + 1))
+    ends = np.concatenate([[0], np.cumsum(holders)])
+    for r in np.flatnonzero(np.diff(edges)):
+        w, p = slice(edges[r], edges[r + 1]), slice(ends[edges[r]], ends[edges[r + 1]])
+        yield {"range": int(r), "hashes": h[w].tobytes(), "trained": trained[w].astype("<u4").tobytes(), "holders": holders[w].astype("<u4").tobytes(), "docs": doc[p].astype("<u4").tobytes(), "uses": uses[p].astype("<u4").tobytes()}
+
+
+def _encode(tokenizer: str, ranges: int, slice_bytes: int):
+    fields = {"slice": pa.int64(), "doc_id": pa.list_(pa.int64()), "learned": pa.list_(pa.bool_()), "n_words": pa.list_(pa.int32()), "lengths": pa.list_(pa.int32()), "spelled": pa.list_(pa.list_(pa.int32())), "ids": pa.binary(), "begins": pa.binary(), "range": pa.int32()}
+    schema = pa.schema(list(fields.items()) + [(n, pa.binary()) for n in RANGE_FIELDS[1:]])
 
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for batch in by_bytes(whole, most=slice_bytes):
+                t = Symbols(batch.column("text"), tokenizer)
+                rows = [_slice_row(t, batch), *_range_rows(t, batch, ranges)]
+                yield pa.RecordBatch.from_arrays([pa.array([number if n == "slice" else r.get(n) for r in rows], k) for n, k in zip(schema.names, schema.types, strict=True)], schema=schema)
+                number += 1
 
-def score_texts(w: dict, t: Tables, words_in: np.ndarray, kinds_in: np.ndarray, ids: np.ndarray, lengths: np.ndarray, word_ids: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log10 probability of each text. words_in, kinds_in: training words and distinct ones by class of their
-    first id; word_ids: how many ids each word has; c: its training count."""
-    logs = class_logs(w, t, ids, lengths)
-    ends = np.cumsum(lengths) - 1
-    inner = np.ones(len(ids), bool)
-    inner[ends] = False
-    of_word = np.repeat(np.arange(len(word_ids)), word_ids)
-    spelled = np.bincount(of_word, (logs + t.share[ids])[inner], len(word_ids))
-    first = np.flatnonzero(inner)[np.cumsum(word_ids) - word_ids] if len(word_ids) else np.zeros(0, np.int64)
-    head, k = logs[first], t.of_class[ids[first]]
-    left = words_in[k] + kinds_in[k] + 1.0
-    each = np.full(len(ids), 0.0)
-    each[first] = head + np.log10(c / left + (kinds_in[k] + 1.0) / left * np.power(10.0, np.maximum(spelled - head, -300)))
-    each[ends] = logs[ends] + t.share[ids[ends]]
-    return np.diff(np.concatenate([[0.0], np.cumsum(each)])[np.concatenate([[0], ends + 1])])
+    return run
 
 
-# --- Spark ------------------------------------------------------------------------------------
+@dataclass
+class Slice:
+    """A slice read back: symbols, and lengths and marks of its texts."""
 
+    symbols: np.ndarray
+    lengths: np.ndarray
+    learned: np.ndarray
 
-class Texts:
-    """The words of a batch and the subword ids of its texts, each text with its end."""
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.symbols[np.repeat(self.learned, self.lengths)], self.lengths[self.learned]
 
-    def __init__(self, texts: pa.Array, tokenizer: str | None):
-        self.words = split_words(large_text(texts, lower=True), SPACED)
-        self.codes, self.distinct = self.words.encoded()
-        if tokenizer is not None:
-            self.values, self.bounds = encoder(tokenizer).encode(self.distinct)
-            self.end = encoder(tokenizer).tokenizer.get_vocab_size()
 
-    def ids(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        first = self.words.first[low : high + 1]
-        flat, counts = gathered(self.values, self.bounds, self.codes[first[0] : first[-1]])
-        edges = np.concatenate([[0], np.cumsum(counts)])[first - first[0]]
-        return np.insert(flat, edges[1:], self.end), np.diff(edges) + 1
+def _slices(batches):
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, begins, lengths, learned = (batch.column(n)[row] for n in ("ids", "begins", "lengths", "learned"))
+            ids = np.frombuffer(ids.as_buffer(), "<u2").astype(np.int64)
+            symbols = ids * 2 + np.unpackbits(np.frombuffer(begins.as_buffer(), np.uint8), count=len(ids))
+            yield batch.column("slice")[row].as_py(), Slice(symbols, lengths.values.to_numpy().astype(np.int64), learned.values.to_numpy(zero_copy_only=False).astype(bool))
+
 
+def _placed(total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_pydict({"place": at.astype(np.int64), "n": total[at].astype(np.int64)})
 
-def _count_ids(tokenizer: str):
-    """Counts of (id, bucket of the id before) over the partition."""
 
+def _count_symbols(size: int):
     def run(batches):
-        total = None
-        for batch in batches:
-            t = Texts(batch.column("text"), tokenizer)
-            total = np.zeros((t.end + 1) * BUCKETS, np.int64) if total is None else total
-            for low in range(0, batch.num_rows, 1024):
-                ids, lengths = t.ids(low, min(batch.num_rows, low + 1024))
-                before = np.concatenate([[t.end], ids[:-1]]) % BUCKETS  # before the first id stands an end
-                total += np.bincount(ids * BUCKETS + before, minlength=len(total))
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"place": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]})
+        total = np.zeros(size, np.int64)
+        for _, s in _slices(batches):
+            total += np.bincount(s.training()[0], minlength=size)
+        yield _placed(total)
 
     return run
 
 
-def _train_part(tokenizer: str, shared, number: int):
+def _count_pairs(shared):
     def run(batches):
-        w, t = shared.value
-        trained = 0
-        for batch in batches:
-            for part in range(min(SHARE, batch.num_rows)):  # every document, SHARE parts so that windows stay few at a time
-                rows = batch.take(pa.array(np.arange(part, batch.num_rows, SHARE)))
-                texts = Texts(rows.column("text"), tokenizer)
-                ids, lengths = texts.ids(0, rows.num_rows)
-                win = windows_of(lengths)
-                mixed = np.random.default_rng(number).permutation(len(win[0]))
-                at, x, valid = window_arrays(ids, np.cumsum(lengths) - lengths, tuple(a[mixed] for a in win), t)
-                w = descend(w, x, t.of_class[ids[at]], valid)
-            trained += batch.num_rows
-        if trained:
-            total, parts = {n: a.astype(np.float64) * trained for n, a in w.items()}, trained
-            sums = _rows_of(total)
-            yield pa.RecordBatch.from_pydict({"place": pa.array(range(len(sums)), pa.int64()), "sums": pa.array(sums, pa.list_(pa.float64())), "parts": pa.array([parts] * len(sums), pa.int64())})
+        of_symbol = shared.value
+        end = of_symbol[END]
+        total = np.zeros(INPUTS * INPUTS, np.int32)
+        for _, s in _slices(batches):
+            symbols, lengths = s.training()
+            out = of_symbol[symbols]
+            before = np.concatenate([[end], out[:-1]]) if len(out) else out
+            place, n = np.unique(before * INPUTS + out, return_counts=True)  # before the first symbol stands an end
+            total[place] += n.astype(np.int32)
+        yield _placed(total)
 
     return run
 
 
-def _rows_of(w: dict) -> list[np.ndarray]:
-    flat = np.concatenate([a.reshape(-1) for a in w.values()]).astype(np.float64)
-    return [flat[i : i + 1024] for i in range(0, len(flat), 1024)]
+def _train_part(shared, all_slices: bool):
+    def run(batches):
+        w, t = shared.value
+        adam, trained = Adam(w), 0
+        for number, s in _slices(batches):
+            symbols, lengths = s.training()
+            if len(lengths):
+                out, starts = t.of_symbol[symbols], np.cumsum(lengths) - lengths
+                win = windows_of(lengths, overlap=0)
+                mixed = np.random.default_rng(number & 0xFFFFFFFF).permutation(len(win[0]))
+                for low in range(0, len(mixed), 16 * BATCH):
+                    at, x, valid = window_arrays(out, starts, tuple(a[mixed[low : low + 16 * BATCH]] for a in win), t.first)
+                    adam.descend(t.start, x, t.of_class[out[at]], valid)
+                trained += len(symbols)
+                if not all_slices:
+                    break
+        for _ in batches:
+            pass
+        if trained:
+            flat = np.concatenate([a.reshape(-1) for a in adam.w.values()]).astype(np.float64) * trained
+            rows = [flat[i : i + 1024] for i in range(0, len(flat), 1024)]
+            yield pa.RecordBatch.from_pydict({"place": pa.array(range(len(rows)), pa.int64()), "sums": pa.array(rows, pa.list_(pa.float64())), "parts": pa.array([trained] * len(rows), pa.int64())})
+
+    return run
 
 
 @dataclass
@@ -309,95 +465,96 @@ class Model:
     tables: Tables
 
 
-def train(docs: DataFrame, tokenizer: str, rounds: int = ROUNDS) -> Model:
-    """Learns from all documents given (doc_id, text); null texts are empty."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    size = encoder(tokenizer).tokenizer.get_vocab_size() + 1
-    found = texts.mapInArrow(_count_ids(tokenizer), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows for each id
-    profiles = np.zeros(size * BUCKETS)
-    profiles[found.column("place").to_numpy()] = found.column("n").to_numpy()
-    t = tables(profiles.reshape(size, BUCKETS))
+def _counts(rows: DataFrame, size: int) -> np.ndarray:
+    found, out = rows.groupBy("place").agg(F.sum("n").alias("n")).toArrow(), np.zeros(size, np.int64)
+    out[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def train(slices: DataFrame, tokenizer: str, rounds: int = 2) -> Model:
+    """Learns from the training texts of all slices: the first round reads one slice of each partition, each further
+    one all of them."""
+    context = slices.sparkSession.sparkContext
+    size = 2 * encoder(tokenizer).tokenizer.get_vocab_size() + 2
+    counts = _counts(slices.mapInArrow(_count_symbols(size), "place long, n long"), size)
+    of_symbol, rare = outputs(counts)
+    pairs = slices.mapInArrow(_count_pairs(context.broadcast(of_symbol)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # INPUTS * INPUTS rows at most
+    t = tables(of_symbol, rare, pairs.column("place").to_numpy(), pairs.column("n").to_numpy())
     w = initial()
-    w["bias"] = t.class_logits.astype(np.float32)
     for number in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((w, t))
-        steps = texts.mapInArrow(_train_part(tokenizer, shared, number), "place long, sums array<double>, parts long")
-        parts = steps.select("place", F.posexplode("sums").alias("at", "x"), "parts").groupBy("place", "at").agg((F.sum("x") / F.sum("parts")).alias("x")).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs")).orderBy("place").collect()
-        if not parts:
+        steps = slices.mapInArrow(_train_part(context.broadcast((w, t)), number > 0), "place long, sums array<double>, parts long")
+        sums = steps.select("place", F.posexplode("sums").alias("at", "x"), "parts").groupBy("place", "at").agg((F.sum("x") / F.sum("parts")).alias("x"))
+        found = sums.orderBy("place", "at").select("x").toArrow().column("x").to_numpy()
+        if not len(found):
             break
-        flat = np.array([v.x for p in parts for v in p.xs], np.float32)
         edges = np.cumsum([a.size for a in w.values()])[:-1]
-        w = {n: f.reshape(w[n].shape) for (n, f) in zip(w, np.split(flat, edges), strict=True)}
+        w = {n: f.reshape(w[n].shape).astype(np.float32) for (n, f) in zip(w, np.split(found, edges), strict=True)}
     return Model(w, t)
 
 
-SENT = pa.schema([("word", pa.int64()), ("tag", pa.int64()), ("n", pa.int64())])
-COUNTS = pa.schema([("word", pa.int64()), ("block", pa.int32()), ("class", pa.int32()), ("n", pa.int64()), ("first", pa.bool_())])
+def _score(shared):
+    def run(batches):
+        model = shared.value
+        for number, s in _slices(batches):
+            scores, ends = np.empty(len(s.lengths)), np.cumsum(s.lengths)
+            low = 0
+            while low < len(ends):  # some hundred thousand symbols at a time
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 18))))
+                own = slice(ends[low - 1] if low else 0, ends[high - 1])
+                logs = symbol_logs(model.weights, model.tables, s.symbols[own], s.lengths[low:high])
+                scores[low:high] = np.add.reduceat(logs, np.cumsum(s.lengths[low:high]) - s.lengths[low:high])
+                low = high
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([number]), "model": pa.array([scores], pa.list_(pa.float64()))})
 
+    return run
 
-def _block_words(tokenizer: str, shared):
-    """The distinct words of each block, with their counts in training texts. A tag is the class of the
-    word's first id and the block."""
 
-    def run(batches):
-        of_class = shared.value.tables.of_class
-        for batch in batches:
-            t = Texts(batch.column("text"), tokenizer)
-            if not len(t.codes):
-                continue
-            first = t.values[np.minimum(t.bounds[:-1], len(t.values) - 1)] if len(t.values) else np.zeros(len(t.distinct), np.int64)
-            doc = t.words.doc_of_word()
-            tag = (of_class[first][t.codes] << 32) + batch.column("block").to_numpy()[doc]
-            use = batch.column("learned").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-            h = to_signed(t.words.hashes())
-            order = np.lexsort((tag, h))
-            h, tag, use = h[order], tag[order], use[order]
-            start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])]))
-            yield as_batch(SENT, h[start], tag[start], np.add.reduceat(use, start))
+def _joined(t: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]
 
-    return run
 
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], np.add.reduceat(n, at)
 
-def _word_counts(batches):
-    """Of the words of a partition that were seen in training: to each block the count over all blocks."""
-    parts = list(batches)
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    word, tag, n = (t.column(c).to_numpy() for c in SENT.names)
-    order = np.lexsort((tag, word))
-    word, tag, n = word[order], tag[order], n[order]
-    new = np.concatenate([[True], word[1:] != word[:-1]])
-    start = np.flatnonzero(new)
-    total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(word))))
-    one = (new | np.concatenate([[True], tag[1:] != tag[:-1]])) & (total > 0)
-    yield from sliced(as_batch(COUNTS, word[one], (tag[one] & 0xFFFFFFFF).astype(np.int32), (tag[one] >> 32).astype(np.int32), total[one], new[one]), 1 << 17)
-
-
-def _score_block(tokenizer: str, shared):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        model, words_in, kinds_in = shared.value
-        texts = Texts(docs.column("text"), tokenizer)
-        order = np.argsort(counts.column("word").to_numpy())
-        known, many = counts.column("word").to_numpy()[order], counts.column("n").to_numpy()[order]
-        h = to_signed(texts.words.hashes())
-        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-        c = np.where(known[at] == h, many[at], 0) if len(known) else np.zeros(len(h), np.int64)
-        sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[texts.words.first])
-        word_ids = np.diff(texts.bounds)[texts.codes] if len(texts.codes) else np.zeros(0, np.int64)
-        score = np.zeros(docs.num_rows)
-        for low in range(0, docs.num_rows, 512):
-            high = min(docs.num_rows, low + 512)
-            ids, lengths = texts.ids(low, high)
-            own = slice(texts.words.first[low], texts.words.first[high])
-            score[low:high] = score_texts(model.weights, model.tables, words_in, kinds_in, ids, lengths, word_ids[own], c[own])
-        out = {"doc_id": docs.column("doc_id"), "learned": docs.column("learned"), "n_words": pa.array(texts.words.counts), "known_words": pa.array(sums(c > 0).astype(np.int64)), "logs": pa.array(sums(np.log10(c + 1.0))), "score": pa.array(score)}
-        return pa.table(out)
 
-    return run
+def _range_totals(t: pa.Table) -> pa.Table:
+    """The words of a range that are in training texts, with their counts over all rows given."""
+    h = np.concatenate(_joined(t, "hashes", np.uint64))
+    width = "<u4" if "trained" in t.column_names else "<i8"
+    h, n = _summed(h, np.concatenate(_joined(t, "trained" if width == "<u4" else "totals", width)).astype(np.int64))
+    h, n = h[n > 0], n[n > 0]
+    return pa.table({"range": pa.array([t.column("range")[0].as_py()], pa.int32()), "hashes": pa.array([h.tobytes()], pa.binary()), "totals": pa.array([n.astype("<i8").tobytes()], pa.binary()), "n": pa.array([int(n.sum())]), "kinds": pa.array([len(h)])})
+
+
+def _base_sums(rows: pa.Table, totals: pa.Table) -> pa.Table:
+    """For each slice the sums over a range's words of log10(count + 1), and how many were seen, by text."""
+    h, n = (np.concatenate([*_joined(totals, name, kind), np.zeros(0, kind)]) for name, kind in (("hashes", np.uint64), ("totals", "<i8")))
+    out: dict[str, list] = {"slice": [], "docs": [], "logs": [], "known": []}
+    columns = (rows.column("slice").to_pylist(), *(_joined(rows, name, kind) for name, kind in (("hashes", np.uint64), ("holders", "<u4"), ("docs", "<u4"), ("uses", "<u4"))))
+    for number, words, holders, docs, uses in zip(*columns, strict=True):
+        at = np.minimum(np.searchsorted(h, words), max(0, len(h) - 1))
+        c = np.where(h[at] == words, n[at], 0) if len(h) else np.zeros(len(words), np.int64)
+        c = np.repeat(c, holders)
+        some, back = np.unique(docs, return_inverse=True)
+        out["slice"].append(number)
+        out["docs"].append(some.astype(np.int32))
+        out["logs"].append(np.bincount(back, uses * np.log10(c + 1.0), len(some)))
+        out["known"].append(np.bincount(back, uses * (c > 0), len(some)).astype(np.int64))
+    return pa.table({"slice": pa.array(out["slice"], pa.int64()), "docs": pa.array(out["docs"], pa.list_(pa.int32())), "logs": pa.array(out["logs"], pa.list_(pa.float64())), "known": pa.array(out["known"], pa.list_(pa.int64()))})
 
 
-def score_documents(docs: DataFrame, learned, tokenizer: str, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
+def _slice_sums(t: pa.Table) -> pa.Table:
+    docs, logs, known = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("docs", "logs", "known"))
+    order = np.argsort(docs, kind="stable")  # in a fixed order, whatever order the ranges came in
+    order = order[np.lexsort((logs[order], docs[order]))]
+    logs, known = np.bincount(docs[order], logs[order]), np.bincount(docs[order], known[order])
+    return pa.table({"slice": t.column("slice").slice(0, 1), "logs": pa.array([logs], pa.list_(pa.float64())), "known": pa.array([known.astype(np.int64)], pa.list_(pa.int64()))})
+
+
+def score_documents(docs: DataFrame, learned, tokenizer: str, slice_bytes: int = SLICE_BYTES, rounds: int = 2) -> DataFrame:
     """Scores every document with models of those for which the condition learned holds.
 
     Returns doc_id, learned, n_tokens (words and the end), n_known (tokens seen in training), train_tokens,
@@ -405,29 +562,44 @@ def score_documents(docs: DataFrame, learned, tokenizer: str, block_bytes: int =
     and null ids are scored like any other (a null condition: not learned from); other columns are
     ignored. Without training text every token is unknown.
     """
-    n = block_count(docs, block_bytes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
     context = docs.sparkSession.sparkContext
-    model = train(rows.where("learned"), tokenizer, rounds)
-    base = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block")
-    sent = base.mapInArrow(_block_words(tokenizer, context.broadcast(model)), "word long, tag long, n long")
-    counts = scratch(sent.repartition(n, "word").mapInArrow(_word_counts, "word long, block int, class int, n long, first boolean"))
-    by_class = counts.where("first").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # CLASSES rows
-    words_in, kinds_in = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_class:
-        words_in[r["class"]], kinds_in[r["class"]] = r["n"], r["kinds"]
-    ends = rows.where("learned").count()
-    N, V = int(words_in.sum()) + ends, int(kinds_in.sum()) + (ends > 0)
-    schema = "doc_id long, learned boolean, n_words long, known_words long, logs double, score double"
-    shared = context.broadcast((model, words_in, kinds_in))
-    scored = base.groupBy("block").cogroup(counts.select("word", "block", "n").groupBy("block")).applyInArrow(_score_block(tokenizer, shared), schema)
-    tokens = F.col("n_words") + 1
-    return scored.select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = max(1, math.ceil(size / RANGE_BYTES))
+    salts = max(1, math.ceil(size / slice_bytes / SALT_SLICES))
+    encoded = scratch(rows.mapInArrow(_encode(tokenizer, ranges, slice_bytes), ENCODED))
+    slices = encoded.where("range IS NULL").select("slice", *SLICE_FIELDS)
+    arrays = slices.select("slice", "ids", "begins", "lengths", "learned")
+
+    salt = F.pmod(F.xxhash64("slice"), F.lit(salts)).cast("int").alias("salt")
+    by_range = encoded.where("range IS NOT NULL").select("slice", salt, *RANGE_FIELDS)
+    part = "range int, hashes binary, totals binary, n long, kinds long"
+    totals = by_range.select("range", "salt", "hashes", "trained").groupBy("range", "salt").applyInArrow(_range_totals, part)
+    totals = scratch(totals.select("range", "hashes", "totals").groupBy("range").applyInArrow(_range_totals, part))
+    N, V = (x or 0 for x in totals.agg(F.sum("n"), F.sum("kinds")).first())
+    every = totals.select("range", "hashes", "totals", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    sums = by_range.groupBy("range", "salt").cogroup(every.groupBy("range", "salt")).applyInArrow(_base_sums, "slice long, docs array<int>, logs array<double>, known array<long>")
+    base = sums.groupBy("slice").applyInArrow(_slice_sums, "slice long, logs array<double>, known array<long>")
+
+    model = train(arrays, tokenizer, rounds)
+    scored = arrays.mapInArrow(_score(context.broadcast(model)), "slice long, model array<double>")
+    learners = slices.select(F.explode(F.arrays_zip("learned", "spelled")).alias("d")).where("d.learned")
+    of_kinds = learners.agg(F.count("*"), *[F.sum(F.col("d.spelled")[k]) for k in range(3)]).first()
+    ends, kinds = of_kinds[0], [int(x or 0) for x in of_kinds[1:]]
+    N, V = N + ends, V + (ends > 0)
+
+    meta = slices.select("slice", "doc_id", "learned", "n_words", "spelled")
+    joined = meta.join(scored, "slice").join(base, "slice", "left")
+    each = joined.select(F.posexplode(F.arrays_zip("doc_id", "learned", "n_words", "spelled", "model")).alias("at", "d"), "logs", "known").select("d.*", F.get("logs", "at").alias("logs"), F.get("known", "at").alias("known"))
+    spelling = spelling_logs(kinds)
+    spelled = sum((F.col("spelled")[k] * float(spelling[k]) for k in range(3)), F.lit(0.0)) - F.col("spelled")[3] * LETTER
+    tokens = (F.col("n_words") + 1).cast("long")
+    return each.select(
         "doc_id",
         "learned",
         tokens.alias("n_tokens"),
-        (F.col("known_words") + int(ends > 0)).alias("n_known"),
+        (F.coalesce("known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(N).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.log10(F.lit(ends + 1.0)) - tokens * F.log10(F.lit(N + V + 1.0))).alias("base_score"),
-        "score",
+        (F.coalesce("logs", F.lit(0.0)) + F.log10(F.lit(ends + 1.0)) - tokens * F.log10(F.lit(N + V + 1.0))).alias("base_score"),
+        (F.col("model") + spelled).alias("score"),
     )

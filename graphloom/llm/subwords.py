@@ -49,6 +49,9 @@ class WordEncoder:
         ranks[b"\n\n" + END] = self.separator
         ids = {raw(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}
         self.ids = np.array([ids.get(t, -1) for t in ranks], np.int64)
+        self.texts = [b""] * self.tokenizer.get_vocab_size()
+        for t, i in model["vocab"].items():
+            self.texts[i] = t.encode() if t.startswith("<|") else raw(t).removesuffix(END)
         self.merger = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +70,10 @@ class WordEncoder:
         out[~of_plain] = [i for e in others for i in e.ids]
         return out, bounds
 
+    def pieces(self) -> list[bytes]:
+        """What each id spells."""
+        return self.texts
+
     def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -1,5 +1,6 @@
 """The operators against SQL, brute force, round trips and held-out accuracy."""
 
+import itertools
 import math
 import re
 import zlib
@@ -95,15 +96,115 @@ def test_model_beats_the_base_on_held_out_rows(spark):
     assert out[0] > out[1]
 
 
+@pytest.fixture(scope="module")
+def small_model(spark, documents):
+    """A model of half of the small table."""
+    rows = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in documents], "doc_id long, text string, learned boolean").repartition(3)
+    slices = rows.mapInArrow(lm._encode(WORD_BPE, 1, 1 << 18), lm.ENCODED).where("range IS NULL").select("slice", "ids", "begins", "lengths", "learned").cache()
+    return lm.train(slices, WORD_BPE)
+
+
+def plain_scores(model, texts, kinds=(900, 30, 10)):
+    t = lm.Symbols(lm.pa.array(texts, lm.pa.string()), WORD_BPE)
+    logs = lm.symbol_logs(model.weights, model.tables, t.symbols, t.lengths)
+    each = lm.spelling_logs(list(kinds))[t.kinds] - np.where(t.kinds == 2, t.letters * lm.LETTER, 0.0)
+    words = np.concatenate([[0.0], np.cumsum(each[t.codes] if len(t.codes) else [])])[t.words.first]
+    return np.add.reduceat(logs, np.cumsum(t.lengths) - t.lengths) + np.diff(words)
+
+
+def test_probabilities_of_all_next_symbols_sum_to_one(small_model):
+    t = small_model.tables
+    for before in ([], [2 * 320 + 1], [2 * 320 + 1, 1000, 7], list(range(1, 80, 2))):
+        size = len(t.of_symbol)
+        symbols = np.concatenate([np.tile(np.array(before, np.int64), (size, 1)), np.arange(size)[:, None]], axis=1)
+        logs = lm.symbol_logs(small_model.weights, t, symbols.reshape(-1), np.full(size, len(before) + 1)).reshape(size, -1)
+        assert 0.99 < np.power(10.0, logs[:, -1]).sum() <= 1 + 1e-5
+
+
+@pytest.mark.parametrize("letters, longest", [("ab' ", 6), ("eéÉ ", 5), ("t.s\u00a0 ", 5)])
+def test_probabilities_of_all_short_texts_sum_to_at_most_one(small_model, letters, longest):
+    texts = {" ".join("".join(x).split(" ")).strip(" ") for n in range(longest + 1) for x in itertools.product(letters, repeat=n)}
+    texts = sorted({" ".join(w for w in x.split(" ") if w) for x in texts})
+    scores = plain_scores(small_model, texts)
+    assert 0 < np.power(10.0, scores).sum() <= 1
+
+
+def test_texts_that_share_ids_have_scores_of_their_own(small_model):
+    a, b, c, d = plain_scores(small_model, ["don't stop", "don 't stop", "a.b", "a .b"])
+    assert a != b and c != d
+    plain, capital = plain_scores(small_model, ["étude", "Étude"])
+    assert capital < plain
+
+
+def test_each_symbol_is_scored_once():
+    rng = np.random.default_rng(2)
+    lengths = np.concatenate([[1, 2, lm.CONTEXT - 1, lm.CONTEXT, lm.CONTEXT + 1, 2 * lm.CONTEXT - lm.OVERLAP], rng.integers(1, 300, 50)])
+    starts = np.cumsum(lengths) - lengths
+    for overlap in (0, lm.OVERLAP):
+        at, x, valid = lm.window_arrays(np.arange(lengths.sum()), starts, lm.windows_of(lengths, overlap=overlap), -1)
+        assert np.array_equal(np.sort(at[valid]), np.arange(lengths.sum()))
+        assert np.array_equal(x[valid], np.where(np.isin(at[valid], starts), -1, at[valid] - 1))
+
+
+def test_nothing_later_is_seen(small_model):
+    t = lm.Symbols(lm.pa.array(["one two three four five six"]), WORD_BPE)
+    other = t.symbols.copy()
+    other[-2] = 77
+    a, b = (lm.symbol_logs(small_model.weights, small_model.tables, s, t.lengths) for s in (t.symbols, other))
+    assert np.allclose(a[:-2], b[:-2]) and not np.allclose(a[-2:], b[-2:])
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    w = {n: a.astype(np.float64) for n, a in lm.initial(width=4, classes=5, inputs=9, context=6).items()}
+    w["out"] = rng.standard_normal(w["out"].shape)
+    start, x, y = rng.standard_normal((9, 5)), rng.integers(0, 9, (3, 6)), rng.integers(0, 5, 18)
+
+    def loss(w):
+        logits, kept = lm.forward(w, start, x)
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        return -np.log(p[np.arange(18), y]).sum(), p, kept
+
+    _, d, kept = loss(w)
+    d[np.arange(18), y] -= 1
+    g = lm.gradients(w, kept, d)
+    for name, a in w.items():
+        at = tuple(rng.integers(0, n) for n in a.shape)
+        moved = [{**w, name: a + step * (np.arange(a.size).reshape(a.shape) == np.ravel_multi_index(at, a.shape))} for step in (1e-3, -1e-3)]
+        assert g[name][at] == pytest.approx((loss(moved[0])[0] - loss(moved[1])[0]) / 2e-3, rel=2e-2, abs=2e-4), name
+
+
 def test_every_training_document_gives_a_gradient(monkeypatch):
-    size, seen = Tokenizer.from_file(WORD_BPE).get_vocab_size() + 1, []
-    t = lm.tables(np.ones((size, lm.BUCKETS)))
-    monkeypatch.setattr(lm, "descend", lambda w, x, y, valid: seen.append(len(x)) or w)
-    shared = type("Shared", (), {"value": (lm.initial(), t)})
+    steps = []
+    monkeypatch.setattr(lm.Adam, "descend", lambda self, start, x, y, valid: steps.append(int(valid.sum())))
+    counts = np.ones(2 * Tokenizer.from_file(WORD_BPE).get_vocab_size() + 2)
+    of_symbol, rare = lm.outputs(counts)
+    shared = type("Shared", (), {"value": (lm.initial(), lm.tables(of_symbol, rare, np.array([0]), np.array([1])))})
     for n in (1, 15, 16, 100):
-        seen.clear()
-        batch = lm.pa.RecordBatch.from_pydict({"text": ["one two"] * n})
-        assert list(lm._train_part(WORD_BPE, shared, 0)(iter([batch]))) and sum(seen) == n
+        steps.clear()
+        texts = lm.pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": ["one two " * i for i in range(n)], "learned": [i % 3 != 2 for i in range(n)]})
+        rows = [b for b in _in_task(lm._encode(WORD_BPE, 1, 200), [texts])]
+        batches = [b.filter(lm.pa.compute.is_null(b.column("range"))) for b in rows]
+        wanted = sum(len(Tokenizer.from_file(WORD_BPE).encode("one two " * i, add_special_tokens=False).ids) + 1 for i in range(n) if i % 3 != 2)
+        list(lm._train_part(shared, True)(iter(batches)))
+        assert sum(steps) == wanted
+
+
+def _in_task(run, batches):
+    from unittest import mock
+
+    with mock.patch.object(lm, "TaskContext") as context:
+        context.get.return_value.partitionId.return_value = 0
+        return list(run(iter(batches)))
+
+
+def test_scores_of_the_query_are_those_of_plain_symbols(spark):
+    """Slices of any size give the same base, and the model's score is the sum over symbols and spellings."""
+    docs = table(spark, AWKWARD)
+    one, many = ({(r.doc_id, r.n_tokens): r for r in lm.score_documents(docs, F.lit(True), WORD_BPE, slice_bytes=b, rounds=1).collect()} for b in (1 << 22, 64))
+    assert one.keys() == many.keys()
+    for k, r in one.items():
+        assert (r.n_known, r.train_tokens) == (many[k].n_known, many[k].train_tokens) and r.base_score == pytest.approx(many[k].base_score, rel=1e-9) and r.score < 0
 
 
 def test_shards_are_even_and_gapless(spark, documents):
