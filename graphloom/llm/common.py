@@ -151,7 +151,7 @@ def sliced(batch: pa.RecordBatch, rows: int = 65536):
 
 
 #: What a task works on at a time. The tables of a slice take some tens of bytes for each byte of text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):

@@ -207,19 +207,23 @@ def _add_hits(wanted, added: tuple[str, ...]):
     return run
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, added: tuple[str, ...] = ADDED) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, added: tuple[str, ...] = ADDED, then=None, schema=None) -> DataFrame:
     """The documents with firsts and ends (spans of covered words, overlapping) and items (found item ids), under
-    the names in added."""
+    the names in added. then: what the task that has searched the last block does with the batches, and the schema
+    that gives."""
     spark = docs.sparkSession
     kinds = ("array<int>", "array<int>", "array<string>")
     found = docs.select("*", *[F.array().cast(k).alias(n) for n, k in zip(added, kinds, strict=True)])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
-    blocks = math.ceil(size / block_bytes)
+    blocks = max(1, math.ceil(size / block_bytes))
     for block in range(blocks):  # one, unless the benchmark is larger than the bound
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        wanted = spark.sparkContext.broadcast(phrases([tuple(r) for r in part.collect()], window))
-        found = found.mapInArrow(_add_hits(wanted, added), found.schema)
+        search = _add_hits(spark.sparkContext.broadcast(phrases([tuple(r) for r in part.collect()], window)), added)
+        if block < blocks - 1 or then is None:
+            found = found.mapInArrow(search, found.schema)
+        else:
+            found = found.mapInArrow(lambda batches, search=search: then(search(batches)), schema)
     return found
 
 
@@ -254,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows are kept; other columns are ignored; an empty benchmark hits nothing.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_hits(texts, benchmark).mapInArrow(_report, REPORT)
+    return with_hits(texts, benchmark, then=_report, schema=REPORT)
 
 
 def _cut(added: tuple[str, ...], was_hit: str):
@@ -286,6 +290,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit, stay as they are: null and empty texts, repeated rows and rows without an id too. Columns may have any name.
     """
     added, was_hit = tuple(fresh(docs, n) for n in ADDED), fresh(docs, "was_hit")
-    hit = with_hits(docs, benchmark, added=added)
-    cut = hit.mapInArrow(_cut(added, was_hit), docs.select("*", F.lit(False).alias(was_hit)).schema)
+    cut = with_hits(docs, benchmark, added=added, then=_cut(added, was_hit), schema=docs.select("*", F.lit(False).alias(was_hit)).schema)
     return cut.where(~F.col(was_hit) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).drop(was_hit)
