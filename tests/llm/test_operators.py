@@ -60,6 +60,31 @@ def every_operator(spark, docs):
     }
 
 
+def plain_repeats(rows):
+    first, out = {}, []
+    words = {i: SPACED.findall(t or "") for i, t in rows}
+    for i, w in words.items():
+        for p in range(len(w) - 12):
+            g = tuple(w[p : p + 13])
+            first[g] = min(i, first.get(g, i))
+    for i, w in words.items():
+        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
+        out.append((i, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
+    return sorted(out)
+
+
+def test_repeats_against_plain_search(spark, documents):
+    """Small blocks, and anchors with so few places hot that all paths are taken."""
+    rng = np.random.default_rng(6)
+    phrase = [f"p{i}" for i in range(40)]
+    rows = documents[:120] + [(10_000 + i, " ".join([*(f"w{x}" for x in rng.integers(0, 50, rng.integers(0, 30))), *phrase[a : a + n], *(f"v{x}" for x in rng.integers(0, 9, 20))])) for i, (a, n) in enumerate(zip(rng.integers(0, 25, 150), rng.integers(8, 40, 150), strict=True))]
+    rows += [(20_000, "a " * 50), (20_001, "a " * 14), (20_002, "b " * 13), (20_003, None), (20_004, "")]
+    wanted = plain_repeats(rows)
+    for bound in ({}, {"block_bytes": 20_000}, {"block_bytes": 20_000, "hot": 3}, {"hot": 0}):
+        found = substring_dedup.remove_repeats(table(spark, rows), with_text=True, **bound).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+        assert sorted(map(tuple, found)) == wanted, bound
+
+
 def test_awkward_rows_are_kept(spark):
     for name, found in every_operator(spark, table(spark, AWKWARD)).items():
         assert sorted(r.doc_id for r in found.select("doc_id").collect()) == sorted(i for i, _ in AWKWARD), name
