@@ -6,8 +6,10 @@ segmentations of the product of its pieces' probabilities, which a forward pass
 the probabilities are learned by expectation maximisation with the matching backward pass. A text's
 log-probability is the sum over its words.
 
-Training reads at most SAMPLE_DOCS documents of a language. Scoring segments each distinct word of a batch
-once, for all languages together, and needs no shuffle.
+Training reads at most SAMPLE_DOCS documents of a language, and of languages the LANGUAGES most frequent. Scoring
+segments each distinct word of a slice once, for all languages together, and needs no shuffle. Words of up to
+MATRIX bytes go through the passes together, by length; longer ones (scripts without blanks) one by one, with
+the sums kept as logarithms.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.common import byte_class, by_bytes, fresh, large_text, mix, split_words
 
-SAMPLE_DOCS, ROUNDS, SMOOTHING = 400, 4, 0.1
-LONGEST, STRETCH = 8, 40
+SAMPLE_DOCS, LANGUAGES, ROUNDS, SMOOTHING = 400, 256, 4, 0.1
+MATRIX = 64
+#: A factor for each byte that keeps products of probabilities in range over MATRIX bytes
+PER_BYTE = 500.0
 #: ASCII letters and all bytes of other characters
 LETTERS = byte_class([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 START, BASE = 0x5F, np.uint64(0x100000001B3)
@@ -37,7 +42,15 @@ class Vocabulary:
 
     hashes: np.ndarray
     numbers: np.ndarray
-    size: int
+    lengths: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return len(self.lengths)
+
+    @property
+    def longest(self) -> int:
+        return int(self.lengths.max())
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.hashes, hashes)
@@ -59,33 +72,22 @@ def vocabulary(path: str) -> Vocabulary:
     for i in range(model.get_piece_size()):
         text = model.id_to_piece(i).replace("▁", chr(START)).encode()
         body = np.frombuffer(text.removeprefix(b"_"), np.uint8)
-        if 1 < len(text) <= LONGEST and LETTERS[body].all() and not ((body >= 65) & (body <= 90)).any():
+        if len(text) > 1 and LETTERS[body].all() and not ((body >= 65) & (body <= 90)).any():
             pieces.add(text)
     ordered = sorted(pieces, key=lambda p: (len(p), p))
     hashes = np.concatenate([_hash_bytes(np.array([list(p) for p in ordered if len(p) == n], np.uint64)) for n in sorted({len(p) for p in ordered})])
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order.astype(np.int64), len(ordered))
-
+    return Vocabulary(hashes[order], order.astype(np.int64), np.array([len(p) for p in ordered], np.int64))
 
-def stretches(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
-    """Each word with a mark before it, in stretches of at most STRETCH bytes, and the word of each."""
-    owner, out = [], []
-    for i, w in enumerate(words.to_pylist()):
-        w = b"_" + w
-        for at in range(0, len(w), STRETCH):
-            owner.append(i)
-            out.append(w[at : at + STRETCH])
-    return np.array(owner, np.int64), out
 
-
-def _groups(parts: list[bytes], most: int = 20_000):
-    """Stretches of the same length, as a matrix of bytes, with their numbers."""
-    lengths = np.array([len(p) for p in parts], np.int64)
-    for n in np.unique(lengths):
+def _groups(words: list[bytes], most: int = 20_000):
+    """Words of the same length of up to MATRIX bytes, as a matrix of bytes, with their numbers."""
+    lengths = np.array([len(p) for p in words], np.int64)
+    for n in np.unique(lengths[lengths <= MATRIX]):
         same = np.flatnonzero(lengths == n)
         for low in range(0, len(same), most):
             rows = same[low : low + most]
-            yield rows, np.frombuffer(b"".join(parts[r] for r in rows.tolist()), np.uint8).reshape(-1, n).astype(np.uint64)
+            yield rows, np.frombuffer(b"".join(words[r] for r in rows.tolist()), np.uint8).reshape(-1, n).astype(np.uint64)
 
 
 def _piece_table(vocab: Vocabulary, matrix: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -93,7 +95,7 @@ def _piece_table(vocab: Vocabulary, matrix: np.ndarray) -> dict[tuple[int, int],
     table, n = {}, matrix.shape[1]
     for begin in range(n):
         h = np.zeros(len(matrix), np.uint64)
-        for end in range(begin + 1, min(n, begin + LONGEST) + 1):
+        for end in range(begin + 1, min(n, begin + vocab.longest) + 1):
             h = (h + matrix[:, end - 1] + np.uint64(1)) * BASE
             ids = vocab.lookup(mix(h))
             if (ids >= 0).any():
@@ -101,43 +103,79 @@ def _piece_table(vocab: Vocabulary, matrix: np.ndarray) -> dict[tuple[int, int],
     return table
 
 
-def _forward(table, n: int, rows: int, prob: np.ndarray) -> list[np.ndarray]:
+def _scaled(vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """prob: a row for each piece (the last is 0, for none) and a column for each language."""
-    alpha = [np.zeros((rows, prob.shape[1])) for _ in range(n + 1)]
+    return prob * np.append(PER_BYTE**vocab.lengths.astype(float), 0.0)[:, None]
+
+
+def _forward(table, n: int, rows: int, scaled: np.ndarray) -> list[np.ndarray]:
+    alpha = [np.zeros((rows, scaled.shape[1])) for _ in range(n + 1)]
     alpha[0] += 1
     for begin, end in sorted(table):
-        alpha[end] += alpha[begin] * prob[table[begin, end]]
+        alpha[end] += alpha[begin] * scaled[table[begin, end]]
+    return alpha
+
+
+def _pieces_of(vocab: Vocabulary, word: bytes) -> list[tuple[int, int, int]]:
+    """The pieces in a word: where they begin and end, and which; by their beginnings."""
+    data = np.frombuffer(word, np.uint8).astype(np.uint64)
+    found, h = [], np.zeros(len(data), np.uint64)
+    for size in range(1, min(vocab.longest, len(data)) + 1):
+        h = (h[: len(data) - size + 1] + data[size - 1 :] + np.uint64(1)) * BASE
+        ids = vocab.lookup(mix(h))
+        at = np.flatnonzero(ids >= 0)
+        found += zip(at.tolist(), (at + size).tolist(), ids[at].tolist(), strict=True)
+    return sorted(found)
+
+
+def _log_forward(pieces: list, n: int, log_prob: np.ndarray) -> np.ndarray:
+    alpha = np.full((n + 1, log_prob.shape[1]), -np.inf)
+    alpha[0] = 0
+    for begin, end, piece in pieces:
+        alpha[end] = np.logaddexp(alpha[end], alpha[begin] + log_prob[piece])
     return alpha
 
 
 def log_probabilities(vocab: Vocabulary, words: pa.Array, prob: np.ndarray) -> np.ndarray:
-    """log P of each word under each language."""
-    owner, parts = stretches(words)
-    out = np.zeros((len(words), prob.shape[1]))
-    for rows, matrix in _groups(parts):
+    """log P of each word, with a mark before it, under each language."""
+    marked = [bytes([START]) + w for w in words.to_pylist()]
+    out, scaled = np.zeros((len(words), prob.shape[1])), _scaled(vocab, prob)
+    for rows, matrix in _groups(marked):
         n = matrix.shape[1]
-        np.add.at(out, owner[rows], np.log(_forward(_piece_table(vocab, matrix), n, len(rows), prob)[n]))
+        out[rows] = np.log(_forward(_piece_table(vocab, matrix), n, len(rows), scaled)[n]) - n * np.log(PER_BYTE)
+    for i, w in enumerate(marked):
+        if len(w) > MATRIX:
+            out[i] = _log_forward(_pieces_of(vocab, w), len(w), np.log(prob[:-1]))[-1]
     return out
 
 
 def learn(vocab: Vocabulary, words: pa.Array, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of each language (a column), by expectation maximisation. counts: of each word in each language."""
-    owner, parts = stretches(words)
+    marked = [bytes([START]) + w for w in words.to_pylist()]
+    groups = [(rows, matrix.shape[1], _piece_table(vocab, matrix)) for rows, matrix in _groups(marked)]
+    long = [(i, len(w), _pieces_of(vocab, w)) for i, w in enumerate(marked) if len(w) > MATRIX]
     prob = np.full((vocab.size + 1, counts.shape[1]), 1.0 / vocab.size)
     prob[-1] = 0
     for _ in range(rounds):
-        expected = np.full_like(prob, SMOOTHING)
-        for rows, matrix in _groups(parts):
-            n, table, weight = matrix.shape[1], _piece_table(vocab, matrix), counts[owner[rows]]
-            alpha = _forward(table, n, len(rows), prob)
+        expected, scaled, log_prob = np.full_like(prob, SMOOTHING), _scaled(vocab, prob), np.log(prob[:-1])
+        for rows, n, table in groups:
+            alpha = _forward(table, n, len(rows), scaled)
             beta = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
-            beta[n] += weight / alpha[n]
+            beta[n] += counts[rows] / alpha[n]
             for begin, end in sorted(table, reverse=True):
                 ids = table[begin, end]
-                through = prob[ids] * beta[end]
+                through = scaled[ids] * beta[end]
                 beta[begin] += through
                 for language in range(counts.shape[1]):
                     expected[:, language] += np.bincount(ids % (vocab.size + 1), alpha[begin][:, language] * through[:, language], vocab.size + 1)
+        for i, n, pieces in long:
+            alpha = _log_forward(pieces, n, log_prob)
+            beta = np.full_like(alpha, -np.inf)
+            beta[n] = 0
+            for begin, end, piece in reversed(pieces):
+                through = log_prob[piece] + beta[end]
+                beta[begin] = np.logaddexp(beta[begin], through)
+                expected[piece] += counts[i] * np.exp(alpha[begin] + through - alpha[n])
         expected[-1] = 0
         prob = expected / expected.sum(axis=0)
     return prob
@@ -161,19 +199,18 @@ def fit(texts: list[str | None], langs: list[str], vocabulary_path: str) -> Mode
     return Model(vocabulary_path, languages, learn(vocab, distinct, counts.astype(float)) if languages else np.zeros((vocab.size + 1, 0)))
 
 
-def train(docs: DataFrame, vocabulary_path: str, wanted=None, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learns from at most sample_docs documents of each language, chosen by a hash of doc_id. Rows with a
-    null lang are left out. wanted: a condition on doc_id for rows that may be learned from."""
+def train(docs: DataFrame, vocabulary_path: str, wanted=None, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> Model:
+    """Learns from at most sample_docs documents of each language, chosen by a hash of doc_id, and of the most
+    frequent languages. Rows with a null lang are left out. wanted: a condition on doc_id for rows that may be
+    learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL")
     rows = rows.where(wanted) if wanted is not None else rows
-    order = F.xxhash64("doc_id", F.lit(13)), "doc_id"
-    chosen = None
-    for (lang,) in sorted(rows.select("lang").distinct().collect()):
-        some = rows.where(F.col("lang") == lang).select("doc_id").orderBy(*order).limit(sample_docs)
-        chosen = some if chosen is None else chosen.union(some)
-    if chosen is None:
-        return fit([], [], vocabulary_path)
-    sample = sorted(map(tuple, rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text", "lang").collect()), key=str)
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id")
+    keys = rows.select("doc_id", "lang").join(F.broadcast(common), "lang", "left_semi").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs)
+    chosen = keys.select("doc_id").distinct()  # sample_docs * languages rows at most
+    found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").join(F.broadcast(common), "lang", "left_semi").select("text", "lang")
+    sample = sorted(map(tuple, found.collect()), key=str)
     return fit([t for t, _ in sample], [x for _, x in sample], vocabulary_path)
 
 

@@ -286,6 +286,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == toxic[r.doc_id] for r in out]) > 0.9
 
 
+def test_words_are_summed_over_all_segmentations():
+    """Every segmentation listed, of short words and of one that is longer than a matrix takes."""
+    vocab = langid.vocabulary(PIECES)
+    words = ["the", "straße", "日本", "x"]
+    prob = np.random.default_rng(8).random((vocab.size + 1, 2)) / vocab.size
+    got = langid.log_probabilities(vocab, langid.pa.array([w.encode() for w in words], langid.pa.binary()), prob)
+
+    def total(word, language):
+        if not word:
+            return 1.0
+        pieces = {e: i for b, e, i in langid._pieces_of(vocab, word) if b == 0}
+        return sum(prob[i, language] * total(word[e:], language) for e, i in pieces.items())
+
+    for w, row in zip(words, got, strict=True):
+        assert row.tolist() == pytest.approx([math.log(total(b"_" + w.encode(), k)) for k in (0, 1)])
+    assert vocab.longest > 12 and {len(w.encode()) for w in words} == {3, 7, 6, 1}
+
+
+def test_long_words_are_summed_like_short_ones(monkeypatch):
+    vocab = langid.vocabulary(PIECES)
+    prob = np.random.default_rng(9).random((vocab.size + 1, 3)) / vocab.size
+    words = langid.pa.array([("lichungenverdonaudampf" * k).encode() for k in (1, 2)] + ["日本語の文章です".encode() * 2], langid.pa.binary())
+    counts = np.ones((3, 3))
+    short, learned = langid.log_probabilities(vocab, words, prob), langid.learn(vocab, words, counts, 2)
+    monkeypatch.setattr(langid, "MATRIX", 4)
+    assert np.allclose(langid.log_probabilities(vocab, words, prob), short) and np.allclose(langid.learn(vocab, words, counts, 2), learned)
+    assert np.isfinite(langid.log_probabilities(vocab, langid.pa.array([b"\xe6\x97" * 20_000]), prob)).all()
+
+
 def _labelled(sf, where=""):
     con = duckdb.connect()
     at = f"/root/testdata/{sf}"
