@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The id prefixes of node types. Longer ones are tested first: dbpedia_ also begins with d.
 PREFIXES = {"dbpedia_": "entity", "tk_": "topic_keyword", "p_": "publication", "d_": "dataset", "a_": "author", "v_": "venue", "o_": "organization", "k_": "keyword", "t_": "topic"}
 
-HASH_FACTOR, HASH_RANGE = 2654435761, 4294967296
+HASH_FACTOR, HASH_RANGE, KEY_RANGE = 2654435761, 4294967296, 2147483648
 
 
 def node_type(node: Column) -> Column:
@@ -19,9 +19,10 @@ def node_type(node: Column) -> Column:
     return kind
 
 
-def portable_hash(key: Column, salt: int = 0) -> Column:
-    """A mix of an integer key that any SQL engine can repeat; use the key as a tie-break."""
-    return F.pmod(key.cast("long") * HASH_FACTOR + salt, F.lit(HASH_RANGE))
+def portable_hash(key: Column, salt: int | Column = 0) -> Column:
+    """A mix of an integer key that any SQL engine can repeat; use the key as a tie-break. The key is taken modulo
+    2**31 first, so that the product stays in 64 bits."""
+    return F.pmod(F.pmod(key.cast("long"), F.lit(KEY_RANGE)) * HASH_FACTOR + salt, F.lit(HASH_RANGE))
 
 
 def normalize_text(text: Column) -> Column:
@@ -64,6 +65,10 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def leaky_relu(x: Column, slope: float = 0.01) -> Column:
+    return F.when(x > 0, x).otherwise(slope * x)
+
+
 def log_sigmoid(x: Column) -> Column:
     """log(sigmoid(x)) without overflow."""
     return F.least(x, F.lit(0.0)) - F.log1p(F.exp(-F.abs(x)))

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.columns import cosine, portable_hash
+from graphloom.functions.columns import HASH_RANGE, cosine, portable_hash
 from graphloom.operators.encode import dense_numbers
+from graphloom.plans.scratch import scratch
 
 
 def same_pool(edges: DataFrame, held_share: float = 0.1) -> DataFrame:
@@ -21,8 +22,8 @@ def same_pool(edges: DataFrame, held_share: float = 0.1) -> DataFrame:
     rows = edges.withColumn("count", F.count("*").over(w)).withColumn("at", at)
     rest = rows.where((F.col("count") > 1) & (F.col("at") % 3 != 0))
     turn = dense_numbers(rest.select("source", "target", "key", "at"), ["target", "at", "key"], "turn")
-    held = turn.select("key", F.when(F.col("turn") < 2 * cap, F.when(F.col("turn") % 2 == 0, "test").otherwise("validation")).alias("part"))
-    return edges.join(held, "key", "left").select("source", "target", F.coalesce("part", F.lit("train")).alias("split"))
+    held = turn.select("source", "target", F.when(F.col("turn") < 2 * cap, F.when(F.col("turn") % 2 == 0, "test").otherwise("validation")).alias("part"))
+    return edges.join(held, ["source", "target"], "left").select("source", "target", F.coalesce("part", F.lit("train")).alias("split"))
 
 
 def same_pool_kcore(edges: DataFrame, held_share: float = 0.1) -> DataFrame:
@@ -50,6 +51,19 @@ def transductive(edges: DataFrame, order: Column) -> DataFrame:
     return edges.join(turn.select("source", "target", part.alias("part")), ["source", "target"], "left").select("source", "target", F.coalesce("part", F.lit("train")).alias("split"))
 
 
+def random_retry(edges: DataFrame, key: str, salts, held_share: float = 0.2) -> DataFrame:
+    """Random train, validation and test parts of edges (source, target, key) by a hash with each of the salts; the
+    one returned leaves the fewest ends of held-out edges without a train edge (ties: the smaller salt).
+    source, target, split, salt. All salts are judged in one job, by an aggregate for each end."""
+    many = edges.select("source", "target", key, F.explode(F.array(*[F.lit(s) for s in salts])).alias("salt"))
+    h, bound = portable_hash(F.col(key), F.col("salt")), int(held_share * HASH_RANGE)
+    parts = many.withColumn("split", F.when(h < bound // 2, "test").when(h < bound, "validation").otherwise("train"))
+    ends = parts.select("salt", F.explode(F.array("source", "target")).alias("id"), (F.col("split") == "train").alias("kept"))
+    lost = ends.groupBy("salt", "id").agg(F.max("kept").alias("kept")).groupBy("salt").agg(F.count(F.when(~F.col("kept"), 1)).alias("lost"))
+    best = lost.orderBy("lost", "salt").first()
+    return parts.where(F.col("salt") == (best.salt if best else 0)).select("source", "target", "split", "salt")
+
+
 def _take(edges: DataFrame, order: Column, n: int) -> DataFrame:
     """The first n edges in the order."""
     return dense_numbers(edges.withColumn("__o", order), ["__o", "source", "target"], "__n").where(F.col("__n") < n).select(*edges.columns)
@@ -106,25 +120,37 @@ def hold_out_nodes(edges: DataFrame, held: DataFrame, light: bool = True) -> Dat
     return (rest if light else rest.join(held.select("target").distinct(), "target", "left_anti")).select("source", "target")
 
 
-def negatives_by_cosine(slots: DataFrame, targets: DataFrame, edges: DataFrame, vectors: DataFrame, tries: int, salt: int = 0) -> DataFrame:
+def _free(slots: DataFrame, targets: DataFrame, edges: DataFrame, tries: int, salt: int, rounds: int) -> DataFrame:
+    """For each slot (slot, source) its draws of targets (idx from 0) that are no known edges. Slots of which all
+    draws are known draw again, with numbers that go on; those of which the source has an edge to every target
+    (or that are left after the rounds) have none."""
+    n, known, out, left = targets.count(), edges.select("source", "target"), None, slots
+    for number in range(rounds):
+        first = number * tries
+        drawn = left.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
+        drawn = drawn.withColumn("idx", portable_hash(F.col("slot") * tries + F.col("try"), salt) % n)
+        free = drawn.join(targets, "idx").join(known, ["source", "target"], "left_anti")
+        if rounds > 1:
+            free = scratch(free)
+        out = free if out is None else out.unionByName(free)
+        left = left.join(free.select("slot").distinct(), "slot", "left_anti")
+        if number < rounds - 1 and left.isEmpty():
+            break
+    return out
+
+
+def negatives_by_cosine(slots: DataFrame, targets: DataFrame, edges: DataFrame, vectors: DataFrame, tries: int, salt: int = 0, rounds: int = 8) -> DataFrame:
     """For each slot (slot, source, x) draws tries targets (idx from 0, target) by hash, leaves out known edges
     and keeps the least similar. vectors: (target, x)."""
-    n = targets.count()
-    drawn = slots.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    drawn = drawn.withColumn("idx", portable_hash(F.col("slot") * tries + F.col("try"), salt) % n)
-    free = drawn.join(targets, "idx").join(edges.select("source", "target"), ["source", "target"], "left_anti")
+    free = _free(slots, targets, edges, tries, salt, rounds)
     scored = free.join(vectors.select("target", F.col("x").alias("tx")), "target").withColumn("score", cosine(F.col("x"), F.col("tx")))
     best = scored.groupBy("slot", "source").agg(F.min(F.struct(F.round("score", 9).alias("score"), "target")).alias("m"))
     return best.select("slot", "source", F.col("m.target").alias("target"), F.col("m.score").alias("score"))
 
 
-def negatives_at_random(slots: DataFrame, targets: DataFrame, edges: DataFrame, tries: int = 8, salt: int = 0) -> DataFrame:
+def negatives_at_random(slots: DataFrame, targets: DataFrame, edges: DataFrame, tries: int = 8, salt: int = 0, rounds: int = 8) -> DataFrame:
     """For each slot (slot, source) the first of several hash-drawn targets that is no known edge."""
-    n = targets.count()
-    drawn = slots.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    drawn = drawn.withColumn("idx", portable_hash(F.col("slot") * tries + F.col("try"), salt) % n)
-    free = drawn.join(targets, "idx").join(edges.select("source", "target"), ["source", "target"], "left_anti")
-    return free.groupBy("slot", "source").agg(F.min_by("target", "try").alias("target"))
+    return _free(slots, targets, edges, tries, salt, rounds).groupBy("slot", "source").agg(F.min_by("target", "try").alias("target"))
 
 
 def balanced(labeled: DataFrame, order: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.columns import HASH_FACTOR, HASH_RANGE, cosine, node_type
+from graphloom.functions.columns import cosine, node_type, portable_hash
 from graphloom.plans.scratch import scratch
 
 CORE, TOP = ("publication", "dataset"), ("author", "organization", "venue")
@@ -57,15 +57,28 @@ def random_walks(seeds: DataFrame, edges: DataFrame, walks: int = 20, length: in
     return front.select("seed", "walk", "path")
 
 
-def uniform_walks(seeds: DataFrame, edges: DataFrame, walks: int, length: int, salt: int = 0) -> DataFrame:
-    """First-order walks without restart; neighbour i of n is picked by hash % n. seed, walk, path."""
-    nbrs = scratch(neighbor_table(edges))
+def neighbor_places(edges: DataFrame) -> DataFrame:
+    """The distinct neighbours of each node, numbered from 0 in their order: node, place, n. A row for each, so a
+    hub is many rows and no large one."""
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("n")).union(edges.select("target", "source")).distinct()
+    return both.select("node", (F.row_number().over(Window.partitionBy("node").orderBy("n")) - 1).alias("place"), "n")
+
+
+def uniform_walks(seeds: DataFrame, edges: DataFrame, walks: int, length: int, salt: int = 0, every: int = 4) -> DataFrame:
+    """First-order walks without restart; neighbour i of n is picked by hash % n. seed, walk, path. A walk at a node
+    without neighbours ends there. Steps are joins on (node, place); the frontier is written every few steps."""
+    places = scratch(neighbor_places(edges))
+    sizes = scratch(places.groupBy(F.col("node").alias("cur")).agg(F.count("*").alias("size")))
+    steps = places.select(F.col("node").alias("cur"), "place", F.col("n").alias("next"))
     front = seeds.select("seed", "number", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).select("*", F.array("seed").alias("path"), F.col("seed").alias("cur"))
     for step in range(1, length):
-        h = F.pmod((F.col("number") * 1000 + F.col("walk") * 50 + step).cast("long") * HASH_FACTOR + salt, F.lit(HASH_RANGE))
-        at = front.join(nbrs.withColumnRenamed("node", "cur"), "cur")
-        front = at.select("seed", "number", "walk", "path", F.element_at("nbrs", (h % F.size("nbrs") + 1).cast("int")).alias("cur"))
-        front = front.withColumn("path", F.concat("path", F.array("cur")))
+        h = portable_hash(F.col("number") * 1000 + F.col("walk") * 50 + step, salt)
+        at = front.join(sizes, "cur", "left").withColumn("place", (h % F.col("size")).cast("int"))
+        at = at.join(steps, ["cur", "place"], "left")
+        path = F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next")))
+        front = at.select("seed", "number", "walk", path.alias("path"), F.col("next").alias("cur"))
+        if step % every == 0:
+            front = scratch(front)
     return front.select("seed", "walk", "path")
 
 

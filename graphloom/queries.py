@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 def mix(key: str, salt: int = 0) -> str:
     """portable_hash in SQL."""
-    return f"((CAST({key} AS BIGINT) * 2654435761 + {salt}) % 4294967296)"
+    return f"(((CAST({key} AS BIGINT) % 2147483648) * 2654435761 + {salt}) % 4294967296)"
 
 
 # --- Counts and encodings -----------------------------------------------------------------------
@@ -367,8 +367,8 @@ def _keyed(g: Lens) -> DataFrame:
 
 
 @query(f"""WITH {KEYED}, r AS (SELECT *, count(*) OVER (PARTITION BY target) AS n, row_number() OVER (PARTITION BY target ORDER BY key) - 1 AS a FROM ke),
-t AS (SELECT key, row_number() OVER (ORDER BY target, a, key) - 1 AS turn FROM r WHERE n > 1 AND a % 3 <> 0)
-SELECT source, target, CASE WHEN turn < 2 * floor(0.1 * (SELECT count(*) FROM ke)) THEN CASE WHEN turn % 2 = 0 THEN 'test' ELSE 'validation' END ELSE 'train' END AS split FROM ke LEFT JOIN t USING (key)""")
+t AS (SELECT source, target, row_number() OVER (ORDER BY target, a, key) - 1 AS turn FROM r WHERE n > 1 AND a % 3 <> 0)
+SELECT source, target, CASE WHEN turn < 2 * floor(0.1 * (SELECT count(*) FROM ke)) THEN CASE WHEN turn % 2 = 0 THEN 'test' ELSE 'validation' END ELSE 'train' END AS split FROM ke LEFT JOIN t USING (source, target)""")
 def q_split_same_pool(g: Lens) -> DataFrame:
     return split.same_pool(_keyed(g))
 
@@ -434,17 +434,15 @@ def q_node_holdout_full(g: Lens) -> DataFrame:
     return split.hold_out_nodes(_keyed(g), _transductive(g).where("split = 'test'"), light=False)
 
 
-@query()
+RANDOM = " UNION ALL ".join(f"SELECT source, target, {salt} AS salt, CASE WHEN {mix('key', salt)} < 429496729 THEN 'test' WHEN {mix('key', salt)} < 858993459 THEN 'validation' ELSE 'train' END AS split FROM ke" for salt in range(5))
+
+
+@query(f"""WITH {KEYED}, parts AS ({RANDOM}), ends AS (SELECT DISTINCT salt, split = 'train' AS kept, unnest([source, target]) AS id FROM parts),
+lost AS (SELECT salt, count(DISTINCT id) FILTER (NOT kept AND id NOT IN (SELECT id FROM ends k WHERE k.kept AND k.salt = ends.salt)) AS lost FROM ends GROUP BY salt),
+best AS (SELECT arg_min(salt, lost * 100 + salt) AS salt FROM lost) SELECT source, target, split, salt FROM parts WHERE salt = (SELECT salt FROM best)""")
 def q_split_random_retry(g: Lens) -> DataFrame:
-    """Random splits over several salts; how many nodes the train part of each has lost, best first."""
-    keyed, out = _keyed(g), None
-    ends = keyed.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    for salt in range(3):
-        train = keyed.where(portable_hash(F.col("key"), salt) >= int(0.2 * 4294967296))
-        kept = train.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-        row = ends.join(kept, "id", "left_anti").agg(F.lit(salt).alias("salt"), F.count("*").alias("lost"))
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy("lost", "salt")
+    """Random splits over several salts; that of which the held-out edges have the fewest ends without a train edge."""
+    return split.random_retry(_keyed(g), "key", range(5))
 
 
 VEC = "vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
@@ -703,7 +701,7 @@ def q_f1_threshold(g: Lens) -> DataFrame:
 def q_bootstrap_se(g: Lens) -> DataFrame:
     """A mean over ten hash-drawn halves of the rows, and its standard error."""
     rows = g.table("lineitem").select(F.explode(F.sequence(F.lit(1), F.lit(10))).alias("run"), "l_orderkey", "l_returnflag", "l_quantity")
-    drawn = rows.where(F.pmod(F.col("l_orderkey") * 2654435761 + F.col("run"), F.lit(4294967296)) < 2147483648)
+    drawn = rows.where(portable_hash(F.col("l_orderkey"), F.col("run")) < 2147483648)
     runs = drawn.groupBy("run", F.col("l_returnflag").alias("grp")).agg(F.avg("l_quantity").alias("v"))
     return rank.mean_and_error(runs, "v", "grp").select("grp", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), "runs")
 
@@ -751,10 +749,19 @@ def q_pair_scores(g: Lens) -> DataFrame:
     return model.pair_scores(g.pd(), _graph_vectors(g)).withColumn("score", F.round("score", 5))
 
 
-@query("WITH s AS (SELECT l_discount * 10 AS pos, l_tax * 20 - 1 AS neg FROM lineitem) SELECT round(avg(ln(1 + exp(-pos)) + ln(1 + exp(neg))), 6) AS cross_entropy, round(avg(ln(1 + exp(-pos)) + ln(1 + exp(neg))) / 2, 6) AS bce, round(avg(greatest(0, 1 - pos + neg)), 6) AS hinge, round(avg(ln(1 + exp(neg - pos))), 6) AS bpr, round(avg(ln(1 + exp(neg - pos))), 6) AS kl FROM s")
+LOSSES = "round(avg(ln(1 + exp(-pos)) + ln(1 + exp(neg))), 6) AS cross_entropy, round(avg(ln(1 + exp(-pos)) + ln(1 + exp(neg))), 6) AS bce, round(avg(greatest(0, 1 - pos) + greatest(0, 1 + neg)), 6) AS hinge, round(avg(ln(1 + exp(neg - pos))), 6) AS bpr, round(avg(ln(1 + 1e-6) - ln(1 / (1 + exp(-pos)) + 1e-6)), 6) AS kl"
+
+
+@query(f"{ENDS}, tg AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_partkey FROM part), nt AS (SELECT count(*) AS nt FROM part), sc AS (SELECT list_dot_product(u.x, v.x) AS pos, list_dot_product(u.x, z.x) AS neg FROM es JOIN vec u ON u.vec_id = a JOIN vec v ON v.vec_id = b, nt, nv JOIN tg ON i = {mix('CAST(substr(source, 3) AS BIGINT) * 31 + CAST(substr(target, 3) AS BIGINT)', 11)} % nt JOIN vec z ON z.vec_id = p_partkey % nv) SELECT {LOSSES} FROM sc")
 def q_losses(g: Lens) -> DataFrame:
-    scores = g.table("lineitem").select((F.col("l_discount") * 10).alias("pos"), (F.col("l_tax") * 20 - 1).alias("neg"))
-    found = model.losses(scores)
+    """Every edge against an edge from its source to a hash-drawn dataset."""
+    number = F.substring("source", 3, 20).cast("long") * 31 + F.substring("target", 3, 20).cast("long")
+    pairs = g.pd().withColumn("i", portable_hash(number, 11) % g.table("part").count())
+    drawn = encode.dense_numbers(g.table("part").select("p_partkey"), ["p_partkey"], "i").select("i", F.concat(F.lit("d_"), "p_partkey").alias("other"))
+    v = _graph_vectors(g)
+    pos = model.pair_scores(pairs.join(drawn, "i"), v).withColumnRenamed("score", "pos")
+    both = model.pair_scores(pos.select("source", F.col("other").alias("target"), "pos"), v).withColumnRenamed("score", "neg")
+    found = model.losses(both)
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
