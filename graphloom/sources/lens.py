@@ -53,6 +53,12 @@ class Lens:
         rows = self.table("orders").withColumn("next", later).where("next IS NOT NULL")
         return self._edges(rows, _id("p_", "o_orderkey"), _id("p_", "next"))
 
+    def dd(self) -> DataFrame:
+        """Each part cites the next part of its brand."""
+        later = F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+        rows = self.table("part").withColumn("next", later).where("next IS NOT NULL")
+        return self._edges(rows, _id("d_", "p_partkey"), _id("d_", "next"))
+
     def edges(self, *rels: str) -> DataFrame:
         """The named relations (all by default) as one table with rel."""
         out = None
@@ -71,7 +77,7 @@ class Lens:
         return self.table("embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
 
 
-RELATIONS = ("pd", "pa", "da", "po", "pv", "pk", "dk", "pp")
+RELATIONS = ("pd", "pa", "da", "po", "pv", "pk", "dk", "pp", "dd")
 
 SQL = {
     "pd": "SELECT DISTINCT 'p_' || l_orderkey AS source, 'd_' || l_partkey AS target FROM lineitem",
@@ -82,6 +88,7 @@ SQL = {
     "pk": "SELECT 'p_' || o_orderkey AS source, 'k_' || o_orderpriority AS target FROM orders",
     "dk": "SELECT 'd_' || p_partkey AS source, 'k_' || p_brand AS target FROM part",
     "pp": "SELECT 'p_' || o_orderkey AS source, 'p_' || next AS target FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders) WHERE next IS NOT NULL",
+    "dd": "SELECT 'd_' || p_partkey AS source, 'd_' || next AS target FROM (SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next FROM part) WHERE next IS NOT NULL",
 }
 
 
