@@ -36,7 +36,7 @@ from graphloom.llm.common import BASES, MASK64, SPACED, as_batch, block_count, b
 WINDOW, GRAM, BLOCK_BYTES, PARTITION_BYTES = 13, 5, 8 << 20, 256 << 20
 #: Words of a run besides its anchor
 REACH = WINDOW - GRAM
-HOT, CHUNK = 100_000, 1 << 15
+HOT, CHUNK = 100_000, 1 << 13
 NO_ID = 2**63 - 1
 
 #: A tag is the block, whether several documents of it are meant, and how many places
@@ -145,11 +145,16 @@ def _pieces(b: Block, low: np.ndarray, high: np.ndarray) -> pa.Array:
     return _cut_bytes(joined, edges[low], edges[high])
 
 
-def _cut_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    lengths = end - begin
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    taken = data[np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)])
+def _cut_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> pa.Array:
+    """The bytes from begin to end, for each pair, gathered about a megabyte at a time."""
+    offsets = np.concatenate([[0], np.cumsum(end - begin)])
+    taken, low = np.empty(offsets[-1], np.uint8), 0
+    while low < len(begin):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most)) - 1)
+        lengths = end[low:high] - begin[low:high]
+        taken[offsets[low] : offsets[high]] = data[np.repeat(begin[low:high] - offsets[low:high], lengths) + np.arange(offsets[low], offsets[high])]
+        low = high
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)])
 
 
 def _bring(docs: pa.Table, seeds: pa.Table) -> pa.Table:
