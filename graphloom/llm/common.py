@@ -72,9 +72,22 @@ class Words:
         return hash_all(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
 
 
-def hash_all(words: pa.Array) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
+def hash_all(words: pa.LargeBinaryArray) -> np.ndarray:
+    """A 64-bit hash of each word: of up to 64 bytes by a polynomial in them, all words at once, of longer ones by XXH3."""
+    n = len(words)
+    if not n or words.buffers()[2] is None:
+        return np.zeros(n, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data, offsets = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    lengths, out = np.diff(offsets), np.zeros(n, np.uint64)
+    place = np.minimum(np.arange(len(data)) - np.repeat(offsets[:-1], lengths), 64)
+    terms = mix(data.astype(np.uint64) + np.uint64(1)) * POWERS[place]
+    full = lengths > 0
+    out[full] = np.add.reduceat(terms, offsets[:-1][full]) if full.any() else 0
+    out = mix(out + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > 64).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+    return out
 
 
 def split_words(texts: pa.LargeStringArray, table: np.ndarray) -> Words:
@@ -103,6 +116,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(64, 0x9E3779B97F4A7C15, np.uint64)]))
+
+
 def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
     """A hash of each run of k numbers: one value per start that leaves room for k."""
     n = len(h) - k + 1

@@ -33,6 +33,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -299,17 +301,26 @@ class Symbols:
 def spellings(words: pa.Array, values: np.ndarray, bounds: np.ndarray, coder) -> tuple[np.ndarray, np.ndarray]:
     """For each word its kind - 0: spelled as its ids are, 1: so but for a capital first letter, 2: otherwise - and
     its bytes and one more."""
-    pieces = coder.pieces()
-    flat = words.to_pylist()
-    ends = bounds.tolist()
-    ids = values.tolist()
-    kinds = np.zeros(len(flat), np.int64)
-    for i, w in enumerate(flat):
-        plain = b"".join([pieces[x] for x in ids[ends[i] : ends[i + 1]]])
-        if plain != w:
-            text = plain.decode("utf-8", "replace")
-            kinds[i] = 1 if text and text[:1].upper() != text[:1] and (text[:1].upper() + text[1:]).encode() == w else 2
-    return kinds, np.fromiter(map(len, flat), np.int64, len(flat)) + 1
+    pieces, piece_bytes, piece_ends = coder.pieces()
+    n = len(words)
+    lengths = pc.binary_length(words).to_numpy().astype(np.int64)
+    sizes = np.diff(piece_ends)[values]
+    spelled = np.diff(np.concatenate([[0], np.cumsum(sizes)])[bounds])
+    kinds = np.where(spelled == lengths, 0, 2)
+    # Where lengths agree, compare the bytes.
+    same = np.flatnonzero(kinds == 0)
+    flat, counts = gathered(values, bounds, same)
+    ours, _ = gathered(piece_bytes, piece_ends, flat)
+    begin = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n] if n else np.zeros(0, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8) if n else np.zeros(0, np.uint8)
+    edges = np.cumsum(lengths[same]) - lengths[same]
+    theirs = data[np.repeat(begin[same] - edges, lengths[same]) + np.arange(len(ours))]
+    if len(ours):
+        kinds[same[np.logical_or.reduceat(ours != theirs, edges)]] = 2
+    for i in np.flatnonzero(kinds).tolist():
+        text = b"".join(pieces[x] for x in values[bounds[i] : bounds[i + 1]].tolist()).decode("utf-8", "replace")
+        kinds[i] = 1 if text and text[:1].upper() != text[:1] and (text[:1].upper() + text[1:]).encode() == words[i].as_py() else 2
+    return kinds, lengths + 1
 
 
 def spelling_logs(counts: list[int]) -> np.ndarray:
@@ -322,6 +333,17 @@ LETTER = math.log10(257)
 
 # --- Spark --------------------------------------------------------------------------------------
 
+def packed(values: np.ndarray, kind: str) -> bytes:
+    """Whole numbers as bytes of a kind, first bytes first, compressed."""
+    values = np.ascontiguousarray(values.astype(kind))
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def unpacked(value: pa.Scalar, kind: str) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(value.as_buffer()), np.uint8)
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 ENCODED = (
     "slice long, doc_id array<long>, learned array<boolean>, n_words array<int>, lengths array<int>, spelled array<array<int>>, ids binary, begins binary, "
     "range int, hashes binary, trained binary, holders binary, docs binary, uses binary"
@@ -339,7 +361,7 @@ def _slice_row(t: Symbols, batch: pa.RecordBatch) -> dict:
     spelled[:, 3] = np.bincount(doc[odd], t.letters[t.codes[odd]] if odd.any() else None, n)
     return {
         "doc_id": batch.column("doc_id").to_pylist(), "learned": batch.column("learned").to_pylist(), "n_words": t.words.counts, "lengths": t.lengths, "spelled": spelled.tolist(),
-        "ids": (t.symbols >> 1).astype("<u2").tobytes(), "begins": np.packbits((t.symbols & 1).astype(bool)).tobytes(),
+        "ids": packed(t.symbols >> 1, "<u2"), "begins": packed(np.packbits((t.symbols & 1).astype(bool)), "u1"),
     }
 
 
@@ -362,7 +384,7 @@ def _range_rows(t: Symbols, batch: pa.RecordBatch, ranges: int):
     ends = np.concatenate([[0], np.cumsum(holders)])
     for r in np.flatnonzero(np.diff(edges)):
         w, p = slice(edges[r], edges[r + 1]), slice(ends[edges[r]], ends[edges[r + 1]])
-        yield {"range": int(r), "hashes": h[w].tobytes(), "trained": trained[w].astype("<u4").tobytes(), "holders": holders[w].astype("<u4").tobytes(), "docs": doc[p].astype("<u4").tobytes(), "uses": uses[p].astype("<u4").tobytes()}
+        yield {"range": int(r), "hashes": packed(h[w], "<u8"), "trained": packed(trained[w], "<u4"), "holders": packed(holders[w], "<u4"), "docs": packed(doc[p], "<u4"), "uses": packed(uses[p], "<u4")}
 
 
 def _encode(tokenizer: str, ranges: int, slice_bytes: int):
@@ -397,8 +419,8 @@ def _slices(batches):
     for batch in batches:
         for row in range(batch.num_rows):
             ids, begins, lengths, learned = (batch.column(n)[row] for n in ("ids", "begins", "lengths", "learned"))
-            ids = np.frombuffer(ids.as_buffer(), "<u2").astype(np.int64)
-            symbols = ids * 2 + np.unpackbits(np.frombuffer(begins.as_buffer(), np.uint8), count=len(ids))
+            ids = unpacked(ids, "<u2").astype(np.int64)
+            symbols = ids * 2 + np.unpackbits(unpacked(begins, "u1"), count=len(ids))
             yield batch.column("slice")[row].as_py(), Slice(symbols, lengths.values.to_numpy().astype(np.int64), learned.values.to_numpy(zero_copy_only=False).astype(bool))
 
 
@@ -426,8 +448,9 @@ def _count_pairs(shared):
             symbols, lengths = s.training()
             out = of_symbol[symbols]
             before = np.concatenate([[end], out[:-1]]) if len(out) else out
-            place, n = np.unique(before * INPUTS + out, return_counts=True)  # before the first symbol stands an end
-            total[place] += n.astype(np.int32)
+            place = np.sort((before * INPUTS + out).astype(np.int32))  # before the first symbol stands an end
+            at = np.flatnonzero(np.diff(place, prepend=-1))
+            total[place[at]] += np.diff(at, append=len(place)).astype(np.int32)
         yield _placed(total)
 
     return run
@@ -510,7 +533,7 @@ def _score(shared):
 
 
 def _joined(t: pa.Table, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]
+    return [unpacked(x, kind) for x in t.column(name)]
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -526,7 +549,7 @@ def _range_totals(t: pa.Table) -> pa.Table:
     width = "<u4" if "trained" in t.column_names else "<i8"
     h, n = _summed(h, np.concatenate(_joined(t, "trained" if width == "<u4" else "totals", width)).astype(np.int64))
     h, n = h[n > 0], n[n > 0]
-    return pa.table({"range": pa.array([t.column("range")[0].as_py()], pa.int32()), "hashes": pa.array([h.tobytes()], pa.binary()), "totals": pa.array([n.astype("<i8").tobytes()], pa.binary()), "n": pa.array([int(n.sum())]), "kinds": pa.array([len(h)])})
+    return pa.table({"range": pa.array([t.column("range")[0].as_py()], pa.int32()), "hashes": pa.array([packed(h, "<u8")], pa.binary()), "totals": pa.array([packed(n, "<i8")], pa.binary()), "n": pa.array([int(n.sum())]), "kinds": pa.array([len(h)])})
 
 
 def _base_sums(rows: pa.Table, totals: pa.Table) -> pa.Table:

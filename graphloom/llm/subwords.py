@@ -49,6 +49,7 @@ class WordEncoder:
         ranks[b"\n\n" + END] = self.separator
         ids = {raw(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}
         self.ids = np.array([ids.get(t, -1) for t in ranks], np.int64)
+        self.rows = None
         self.texts = [b""] * self.tokenizer.get_vocab_size()
         for t, i in model["vocab"].items():
             self.texts[i] = t.encode() if t.startswith("<|") else raw(t).removesuffix(END)
@@ -70,9 +71,11 @@ class WordEncoder:
         out[~of_plain] = [i for e in others for i in e.ids]
         return out, bounds
 
-    def pieces(self) -> list[bytes]:
-        """What each id spells."""
-        return self.texts
+    def pieces(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """What each id spells: as a list, and as bytes in a row with where each begins (one more than ids)."""
+        if self.rows is None:
+            self.rows = np.frombuffer(b"".join(self.texts), np.uint8), np.cumsum([0, *map(len, self.texts)])
+        return self.texts, *self.rows
 
     def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(words):
