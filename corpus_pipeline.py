@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from graphloom.llm.common import fresh
-from graphloom.plans.scratch import scratch
+from graphloom.plans.scratch import release, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = scratch(stage(spark, docs, sf_dir))
+        release(spark, but_last=1)  # what the stage has written on its way
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -263,9 +263,21 @@ def test_licenses_against_plain_search(spark, documents):
 
 
 def test_licenses_in_other_words(spark):
-    text = "Permission is hereby granted, free of charges, to any person who is obtaining a copy of this software"
-    r = licenses.license_scan(table(spark, [(1, "x " * 50 + text), (2, "permission granted")])).orderBy("doc_id").collect()
-    assert r[0].base_labels == "" and r[1].labels == ""
+    """One word replaced, put in or left out in each notice of eight words or more, and in long texts one in sixteen."""
+    rows, wanted = [], {}
+    for text, label in [*licenses.NOTICES.items(), *licenses.TEXTS.items()]:
+        w = text.split()
+        if len(w) < licenses.PER_CHANGE:
+            continue
+        places = range(5, len(w) - 2, 40)
+        for how in ("replaced", "put in", "left out"):
+            new = [y for i, x in enumerate(w) for y in ([x] if i not in places else {"replaced": ["zzz"], "put in": ["zzz", x], "left out": []}[how])]
+            wanted[len(rows)] = label
+            rows.append((len(rows), "x " * 50 + " ".join(new) + ", y" * 9))
+    rows += [(-1, "permission granted"), (-2, "free software is free and this software is subject to the license")]
+    found = {r.doc_id: (r.base_labels, r.labels.split(","), r.score) for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert [i for i, label in wanted.items() if label not in found[i][1] or not 0 < found[i][2] <= 1] == []
+    assert found[-1] == found[-2] == ("", [""], 0.0)
     kelvin = licenses.license_scan(table(spark, [(1, "under the MİT license"), (2, "UNDER the MIT K license"), (3, "UNDER THE MIT LICENSE")])).orderBy("doc_id").collect()
     assert [k.base_labels for k in kelvin] == ["", "", "mit"]
 
