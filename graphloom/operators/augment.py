@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 from graphloom.functions.columns import singular
 from graphloom.operators.clean import frequency_band
 from graphloom.operators.encode import dense_numbers
+from graphloom.plans.scratch import scratch
 
 
 def _gram(n: int):
@@ -131,7 +133,27 @@ def class_tf_idf(doc_topics: DataFrame, docs: DataFrame, k: int = 10) -> DataFra
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "word"))).where(F.col("rank") <= k).select("topic", "word", "score", "rank")
 
 
+def cluster_topics(vectors: DataFrame, k: int, width: int = 5, seed: int = 1) -> DataFrame:
+    """Topics of documents (doc, x) by the vectors' principal components and k-means: doc, topic. Stands in for a
+    density clustering of a non-linear embedding; every document has a topic."""
+    rows = scratch(vectors.select("doc", "x")).withColumn("v", array_to_vector("x"))
+    reduced = PCA(k=width, inputCol="v", outputCol="features").fit(rows).transform(rows)
+    found = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="topic").fit(reduced).transform(reduced)
+    return found.select("doc", F.col("topic").cast("long").alias("topic"))
+
+
+def with_word_pairs(docs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, content) without the stop words, with each two neighbouring words, joined by _, after them."""
+    w = F.filter(F.split("content", " "), lambda x: ~x.isin(*stop_words) if stop_words else F.lit(True))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws("_", F.slice("w", i, F.lit(2))))
+    pairs = F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))
+    return docs.withColumn("w", w).withColumn("content", F.concat_ws(" ", F.concat("w", pairs))).drop("w")
+
+
 def structural_vectors(walks: DataFrame, width: int = 128, seed: int = 1) -> DataFrame:
-    """Node vectors learned from walks (path), as word2vec does from sentences: id, x."""
-    model = Word2Vec(vectorSize=width, minCount=0, inputCol="path", outputCol="v", seed=seed).fit(walks.select("path"))
+    """Node vectors learned from walks (path), as word2vec does from sentences: id, x. Training is spread over the
+    shuffle partitions. Spark's implementation keeps all nodes and their vectors on the driver, so it is for graphs
+    whose nodes times width fit there."""
+    parts = int(walks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model = Word2Vec(vectorSize=width, minCount=0, numPartitions=parts, inputCol="path", outputCol="v", seed=seed).fit(walks.select("path").repartition(parts))
     return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("x"))

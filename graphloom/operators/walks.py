@@ -99,10 +99,14 @@ def walk_scores(steps: DataFrame, vectors: DataFrame) -> DataFrame:
     return core.unionByName(steps.where("grp <> 'core'").withColumn("score", F.col("penalty")))
 
 
-def walk_importance(scored: DataFrame) -> DataFrame:
-    """Mean over the core nodes of a walk of score times penalty; 0 without one. seed, walk, importance."""
+def walk_importance(scored: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """Mean over the core nodes of a walk of score times penalty; 0 without one. seed, walk, importance. walks: (seed,
+    walk), of which those without any scored step have importance 0 too."""
     mean = F.avg(F.when(F.col("grp") == "core", F.col("score") * F.col("penalty")))
-    return scored.groupBy("seed", "walk").agg(F.coalesce(mean, F.lit(0.0)).alias("importance"))
+    found = scored.groupBy("seed", "walk").agg(F.coalesce(mean, F.lit(0.0)).alias("importance"))
+    if walks is None:
+        return found
+    return walks.select("seed", "walk").join(found, ["seed", "walk"], "left").fillna(0.0, ["importance"])
 
 
 def selected_walks(scored: DataFrame, n_core: int, n_key: int, n_top: int, least: int = 5, most: int = 19) -> DataFrame:

@@ -31,8 +31,10 @@ def scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the scratch tables made so far; call it when no result that reads them is still to be computed."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def release(spark: SparkSession, but_last: int = 0) -> None:
+    """Removes the scratch tables made so far, but for the last ones; call it when no result that reads them is still
+    to be computed."""
+    gone, _made[:] = _made[: len(_made) - but_last], _made[len(_made) - but_last :]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

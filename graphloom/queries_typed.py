@@ -228,6 +228,39 @@ def q_topic_median(g: Lens) -> DataFrame:
     return assemble.median_topics(_doc_topics(g).where("topic <> -1").groupBy("topic").agg(F.count("*").alias("n")))
 
 
+PAIRED = f"WITH n AS (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS topic, list_filter(string_split({NORMAL.format('text')}, ' '), lambda x: x NOT IN ('the', 'of')) AS w FROM documents), p AS (SELECT topic, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i : i + 1], '_')))) AS word FROM n), tf AS (SELECT topic, word, count(*) AS tf FROM p WHERE word <> '' GROUP BY topic, word)"
+
+
+@query(f"{PAIRED}, u AS (SELECT word, sum(tf) AS uses FROM tf GROUP BY word), m AS (SELECT avg(n) AS mean FROM (SELECT sum(tf) AS n FROM tf GROUP BY topic)), s AS (SELECT topic, word, round(tf * ln(1 + mean / CAST(uses AS DOUBLE)), 9) AS score FROM tf JOIN u USING (word), m), r AS (SELECT topic, word, row_number() OVER (PARTITION BY topic ORDER BY score DESC, word) AS rank FROM s) SELECT topic, word, rank FROM r WHERE rank <= 10")
+def q_topic_word_pairs(g: Lens) -> DataFrame:
+    """The ten first words and pairs of words of each topic, without stop words."""
+    d = g.table("documents")
+    topics = d.select(F.col("doc_id").alias("doc"), F.substring("source", 4, 9).cast("long").alias("topic"))
+    docs = d.select(F.col("doc_id").alias("doc"), normalize_text(F.col("text")).alias("content"))
+    return augment.class_tf_idf(topics, augment.with_word_pairs(docs, ("the", "of"))).drop("score")
+
+
+@query()
+def q_cluster_topics(g: Lens) -> DataFrame:
+    """Ten topics of the embeddings; a test holds them against the labels."""
+    return augment.cluster_topics(g.vectors().select(F.col("vec_id").alias("doc"), "x"), 10)
+
+
+SCOPED = "WITH m AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'd_' ELSE 'p_' END || user_id AS doc, lower(event_type) || '_' || (event_id % 97) AS entity FROM events), e AS (SELECT DISTINCT doc, entity FROM m), sc AS (SELECT 'publication' AS scope, * FROM e WHERE starts_with(doc, 'p_') UNION ALL SELECT 'dataset', * FROM e WHERE starts_with(doc, 'd_') UNION ALL SELECT 'both', * FROM e)"
+
+
+@query(f"{SCOPED}, c AS (SELECT scope, 'per_document' AS what, count(*) AS n FROM sc GROUP BY scope, doc UNION ALL SELECT scope, 'per_entity', count(*) FROM sc GROUP BY scope, entity) SELECT scope, what, max(n) AS max, min(n) AS min, median(n) AS median FROM c GROUP BY scope, what")
+def q_entity_stats_scopes(g: Lens) -> DataFrame:
+    """Entities per document and documents per entity: of publications, of datasets and of both."""
+    kind = F.when(F.col("user_id") % 2 == 0, "d_").otherwise("p_")
+    entity = F.concat(F.lower("event_type"), F.lit("_"), (F.col("event_id") % 97).cast("string"))
+    edges, out = g.table("events").select(F.concat(kind, "user_id").alias("source"), entity.alias("target")).distinct(), None
+    for scope, prefix in (("publication", "p_"), ("dataset", "d_"), ("both", "")):
+        rows = augment.coverage(edges.where(F.col("source").startswith(prefix))).select(F.lit(scope).alias("scope"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(f"{PAIRS} SELECT query, string_agg(CAST(candidate AS VARCHAR), ' ' ORDER BY candidate) AS truth FROM pairs WHERE ql = cl GROUP BY query")
 def q_truth_lists(g: Lens) -> DataFrame:
     lists = assemble.truth_lists(_truth(g))
@@ -240,6 +273,17 @@ def q_activations(g: Lens) -> DataFrame:
     return g.table("events").select("event_id", F.round(sigmoid(x / 10), 6).alias("sigmoid"), (F.round(log_sigmoid(x / 10), 6) + 0.0).alias("log_sigmoid"), (F.round(leaky_relu(x), 6) + 0.0).alias("leaky_relu"))
 
 
+# Orders of a customer are a chain; those that are held out cut it.
+CUT = f"WITH o AS (SELECT 'p_' || o_orderkey AS id, o_custkey, {mix('o_orderkey', 6)} < 858993459 AS held, lead(o_orderkey) OVER w IS NOT NULL AS has, sum(CASE WHEN {mix('o_orderkey', 6)} < 858993459 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS piece FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), c AS (SELECT o_custkey, piece, count(*) AS n, min(id) AS least FROM o WHERE NOT held GROUP BY o_custkey, piece)"
+
+
+@query(f"{CUT} SELECT id AS node FROM o JOIN (SELECT o_custkey, piece FROM c ORDER BY n DESC, least LIMIT 1) USING (o_custkey, piece) WHERE NOT held")
+def q_node_holdout_component(g: Lens) -> DataFrame:
+    """The largest component of what is left without the held-out publications."""
+    held = g.table("orders").where(portable_hash(F.col("o_orderkey"), 6) < 858993459).select(F.concat(F.lit("p_"), "o_orderkey").alias("id"))
+    return graph.largest_component(graph.without_nodes(g.pp(), held))
+
+
 @query(f"{KEYED.join(['WITH ', ''])}, h AS (SELECT * FROM ke WHERE {mix('key', 5)} < 429496729), p AS (SELECT s.source FROM h s), pp AS ({views('pp').removeprefix('WITH pp AS (').removesuffix(')')}) SELECT source, target, 'pd' AS rel FROM ke WHERE source NOT IN (SELECT source FROM p) UNION ALL SELECT source, target, 'pp' FROM pp WHERE source NOT IN (SELECT source FROM p) AND target NOT IN (SELECT source FROM p)")
 def q_node_holdout_types(g: Lens) -> DataFrame:
     """All relations without the publications of held-out edges, and without a largest component."""
