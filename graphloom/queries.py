@@ -282,10 +282,10 @@ def q_entity_stats(g: Lens) -> DataFrame:
     return augment.coverage(augment.entity_edges(m, augment.entity_nodes(m)))
 
 
-NAMES = f"i AS (SELECT string_split({NORMAL.format('text')}, ' ') AS w FROM benchmark), j AS (SELECT w, unnest(range(1, len(w) + 1)) AS at FROM i), b AS (SELECT DISTINCT array_to_string(w[at : at + n - 1], ' ') AS name FROM j, (SELECT unnest([1, 2, 3]) AS n) WHERE at + n - 1 <= len(w))"
+NAMES = f"i AS (SELECT string_split({NORMAL.format('text')}, ' ') AS w FROM benchmark), j AS (SELECT w, unnest(range(1, len(w) + 1)) AS p FROM i), b AS (SELECT DISTINCT array_to_string(w[p : p + n - 1], ' ') AS name FROM j, (SELECT unnest([1, 2, 3]) AS n) WHERE p + n - 1 <= len(w))"
 
 
-@query(f"{TITLED}, {NAMES}, dw AS (SELECT id, string_split(content, ' ') AS w FROM d), dj AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS at FROM dw), g AS (SELECT id, array_to_string(w[at : at + n - 1], ' ') AS mention FROM dj, (SELECT unnest([1, 2, 3]) AS n) WHERE at + n - 1 <= len(w)) SELECT id, mention, count(*) AS n FROM g JOIN b ON mention = name WHERE name <> '' GROUP BY id, mention")
+@query(f"{TITLED}, {NAMES}, dw AS (SELECT id, string_split(content, ' ') AS w FROM d), dj AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS p FROM dw), g AS (SELECT id, array_to_string(w[p : p + n - 1], ' ') AS mention FROM dj, (SELECT unnest([1, 2, 3]) AS n) WHERE p + n - 1 <= len(w)) SELECT id, mention, count(*) AS n FROM g JOIN b ON mention = name WHERE name <> '' GROUP BY id, mention")
 def q_entity_linking(g: Lens) -> DataFrame:
     """The gazetteer is every run of one to three words of the benchmark items."""
     w = g.table("benchmark").select(F.split(normalize_text(F.col("text")), " ").alias("w"))
