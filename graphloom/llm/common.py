@@ -6,6 +6,7 @@ Text columns are handled as UTF-8 bytes. All word rules used here are rules on b
 
 from __future__ import annotations
 
+import ctypes
 import math
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 MASK64 = (1 << 64) - 1
+C_LIBRARY = ctypes.CDLL(None)
 
 
 def byte_class(delimiters: list[tuple[int, int]]) -> np.ndarray:
@@ -170,6 +172,13 @@ def sliced(batch: pa.RecordBatch, rows: int = 65536):
 SLICE_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, so that the Python workers of an executor don't keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(C_LIBRARY, "malloc_trim"):
+        C_LIBRARY.malloc_trim(0)
+
+
 def by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """Slices of the batch whose texts take at most so many bytes together; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
@@ -178,6 +187,7 @@ def by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTE
         high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
         yield batch.slice(low, high - low)
         low = high
+        give_back()
 
 
 # --- Spark side -------------------------------------------------------------------------------

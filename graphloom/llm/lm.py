@@ -46,7 +46,7 @@ from graphloom.plans.scratch import scratch
 CONTEXT, OVERLAP, CLASSES, WIDTH, INPUTS = 32, 4, 64, 16, 4096
 BUCKETS, CLUSTER_STEPS, DISCOUNT, UNSEEN = 64, 8, 0.6, 0.05
 BATCH, RATE = 256, 0.01
-SLICE_BYTES, RANGE_BYTES, SALT_SLICES = 4 << 20, 64 << 20, 4096
+SLICE_BYTES, RANGE_BYTES, SALT_SLICES = 2 << 20, 64 << 20, 4096
 #: Shares are kept as whole numbers of this part of a log10, rounded to the smaller share
 STEPS = 4096
 #: Places among symbols: the end of a text, and a word without ids
@@ -202,13 +202,14 @@ def gradients(w: dict, kept: tuple, d: np.ndarray) -> dict[str, np.ndarray]:
 class Adam:
     def __init__(self, w: dict, rate: float = RATE):
         self.w, self.rate, self.step = {n: a.copy() for n, a in w.items()}, rate, 0
-        self.m, self.s = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(2))
+        self.m, self.s, self.part = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(3))
 
     def descend(self, start: np.ndarray, x: np.ndarray, y: np.ndarray, valid: np.ndarray, batch: int = BATCH) -> None:
         """A pass over windows: inputs x, classes y, and which places count."""
         for low in range(0, len(x), batch):
             d, kept = forward(self.w, start, x[low : low + batch])
-            d -= d.max(axis=1, keepdims=True)
+            if d.max() > 60:
+                d -= d.max(axis=1, keepdims=True)
             np.exp(d, out=d)
             on = valid[low : low + batch].reshape(-1).astype(np.float32)
             on /= max(1.0, on.sum())
@@ -217,13 +218,19 @@ class Adam:
             self.step += 1
             ahead = self.rate * math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
             for n, g in gradients(self.w, kept, d).items():
-                m, s = self.m[n], self.s[n]
+                w, m, s, part = self.w[n], self.m[n], self.s[n], self.part[n]
                 m *= 0.9
-                m += 0.1 * g
-                g *= g
+                np.multiply(g, 0.1, out=part)
+                m += part
                 s *= 0.99
-                s += 0.01 * g
-                self.w[n] -= (ahead * m / (np.sqrt(s) + 1e-6)).astype(np.float32)
+                np.multiply(g, g, out=part)
+                part *= 0.01
+                s += part
+                np.sqrt(s, out=part)
+                part += 1e-6
+                np.divide(m, part, out=part)
+                part *= ahead
+                w -= part
 
 
 def windows_of(lengths: np.ndarray, context: int = CONTEXT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
