@@ -43,10 +43,10 @@ NO_ID = 2**63 - 1
 SEEDS = pa.schema([("seed", pa.int64()), ("tag", pa.int64())])
 SHARED = pa.schema([("block", pa.int32()), ("seed", pa.int64()), ("hot", pa.bool_())])
 #: c1 and c2 tell surroundings of a block apart; left: words before the anchor
-SURROUNDINGS = pa.schema([("seed", pa.int64()), ("block", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("left", pa.int8()), ("words", pa.binary()), ("least", pa.int64()), ("many", pa.bool_()), ("hot", pa.bool_())])
+SURROUNDINGS = pa.schema([("seed", pa.int64()), ("block", pa.int32()), ("c1", pa.int64()), ("c2", pa.int32()), ("left", pa.int8()), ("words", pa.binary()), ("least", pa.int64()), ("many", pa.bool_()), ("hot", pa.bool_())])
 #: least: for each split the smallest document with that run (8 bytes each)
-REPEATS = pa.schema([("block", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("least", pa.binary())])
-RUNS = pa.schema([("run", pa.binary()), ("block", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("split", pa.int8()), ("own", pa.int64()), ("many", pa.bool_())])
+REPEATS = pa.schema([("block", pa.int32()), ("c1", pa.int64()), ("c2", pa.int32()), ("least", pa.binary())])
+RUNS = pa.schema([("run", pa.binary()), ("block", pa.int32()), ("c1", pa.int64()), ("c2", pa.int32()), ("split", pa.int8()), ("own", pa.int64()), ("many", pa.bool_())])
 
 
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ class Block:
             power, back = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(self.words), b, np.uint64)])) for b in (base, pow(base, -1, MASK64 + 1)))
             sums = np.concatenate([[np.uint64(0)], np.add.accumulate(mix(self.hashes) * power[:-1])])
             hashes.append(to_signed(mix((sums[high] - sums[low]) * back[low] + (at - low).astype(np.uint64))))
-        return low, high, *hashes
+        return low, high, hashes[0], (hashes[1] >> 32).astype(np.int32)
 
 
 def _seeds(batches):
@@ -237,7 +237,7 @@ def _all_runs(batches):
 
 def _hot_repeats(surroundings: DataFrame) -> DataFrame:
     """The same as _agree for anchors with many places: runs meet by their words."""
-    runs = surroundings.mapInArrow(_all_runs, "run binary, block int, c1 long, c2 long, split tinyint, own long, many boolean")
+    runs = surroundings.mapInArrow(_all_runs, "run binary, block int, c1 long, c2 int, split tinyint, own long, many boolean")
     least = runs.groupBy("run").agg(F.min("own").alias("least"))
     found = runs.join(least, "run").where("least < own OR many")
     # A row for each split that counts; others stay as they are.
@@ -304,9 +304,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int =
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block")).repartition(n, "block")
     seeds = base.mapInArrow(_seeds, "seed long, tag long").repartition(n, "seed").mapInArrow(_shared(hot), "block int, seed long, hot boolean")
-    kinds = "seed long, block int, c1 long, c2 long, left tinyint, words binary, least long, many boolean, hot boolean"
+    kinds = "seed long, block int, c1 long, c2 int, left tinyint, words binary, least long, many boolean, hot boolean"
     around = base.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_bring, kinds).repartition(n, F.when(F.col("hot"), F.xxhash64("c1", "c2")).otherwise(F.col("seed")))
-    cold = around.mapInArrow(_agree, "block int, c1 long, c2 long, least binary")
+    cold = around.mapInArrow(_agree, "block int, c1 long, c2 int, least binary")
     repeats = cold.select("block", "c1", "c2", F.lit(-1).cast("tinyint").alias("split"), F.lit(None).cast("long").alias("least"), F.col("least").alias("all"))
     repeats = repeats.unionByName(_hot_repeats(around).withColumn("all", F.lit(None).cast("binary")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
