@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import MapType, StringType
 
 MASK64 = (1 << 64) - 1
 C_LIBRARY = ctypes.CDLL(None)
@@ -201,6 +201,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_text(docs: DataFrame) -> tuple[DataFrame, str, list[str]]:
+    """The table with its text as a string column, the name of that column, and it again in a list if it was added."""
+    if isinstance(docs.schema["text"].dataType, StringType):
+        return docs, "text", []
+    name = fresh(docs, "text_string")
+    return docs.withColumn(name, F.col("text").cast("string")), name, [name]
+
+
 def row_key(docs: DataFrame) -> Column:
     """A hash of the whole row. Rows that share it and doc_id are the same row, there more than once."""
     kinds = {f.name: f.dataType for f in docs.schema}

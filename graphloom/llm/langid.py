@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import byte_class, by_bytes, fresh, large_text, mix, split_words
+from graphloom.llm.common import byte_class, by_bytes, large_text, mix, split_words, with_text
 
 SAMPLE_DOCS, LANGUAGES, ROUNDS, SMOOTHING = 400, 256, 4, 0.1
 MATRIX = 64
@@ -237,13 +237,13 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
     its text alone, so repeated rows and null ids are rows like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop("lang_pred", "lang_score")
-    text = fresh(rows, "text_bytes")
+    given, text, added = with_text(rows)
 
     def run(batches):
         for whole in batches:
             for batch in by_bytes(whole, text):
                 names, scores = identify(large_text(batch.column(text), lower=False), shared.value)
-                yield batch.drop_columns([text]).append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
+                yield batch.drop_columns(added).append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
 
     schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
-    return rows.withColumn(text, F.col("text").cast("string")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import byte_class, by_bytes, fresh, large_text, split_words
+from graphloom.llm.common import byte_class, by_bytes, large_text, split_words, with_text
 
 TOXIC_DOCS, ORDINARY_DOCS = 2_000, 6_000
 #: Words of a window, and from one to the next in scoring and in training
@@ -222,12 +222,12 @@ def with_toxicity(docs: DataFrame, model: Model, name: str = "toxicity") -> Data
     null ids are rows like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop(name)
-    text = fresh(rows, "text_bytes")
+    given, text, added = with_text(rows)
 
     def run(batches):
         for whole in batches:
             for batch in by_bytes(whole, text):
                 scores = shared.value.scores(large_text(batch.column(text), lower=True))
-                yield batch.drop_columns([text]).append_column(name, pa.array(scores))
+                yield batch.drop_columns(added).append_column(name, pa.array(scores))
 
-    return rows.withColumn(text, F.col("text").cast("string")).mapInArrow(run, rows.select("*", F.lit(0.0).alias(name)).schema)
+    return given.mapInArrow(run, rows.select("*", F.lit(0.0).alias(name)).schema)
