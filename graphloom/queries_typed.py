@@ -242,7 +242,7 @@ def q_topic_word_pairs(g: Lens) -> DataFrame:
 
 @query()
 def q_cluster_topics(g: Lens) -> DataFrame:
-    """Ten topics of the embeddings; a test holds them against the labels."""
+    """Ten topics of the embeddings."""
     return augment.cluster_topics(g.vectors().select(F.col("vec_id").alias("doc"), "x"), 10)
 
 
