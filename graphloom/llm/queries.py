@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, sharding, simhash, substring_dedup, toxicity
+from graphloom.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality, sharding, simhash, substring_dedup, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,6 +69,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_sharding": op2_sharding,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
+    "op11_quality": op11_quality,
 }
 
 ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (UPPER, LOWER)
@@ -111,6 +116,23 @@ SQL: dict[str, str] = {
             sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op11_quality": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {SPACED_WORDS} AS w FROM documents),
+        words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, length(unnest(w)) AS size FROM d),
+        chars AS (SELECT doc_id, sum(size) AS word_chars FROM words GROUP BY doc_id),
+        windows AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (
+            SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest(range(5, 11)) AS n))),
+        occ AS (SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, n, g ORDER BY i) AS nth, count(*) OVER (PARTITION BY doc_id, n, g) AS many FROM windows),
+        cov AS (SELECT doc_id, n, p, max(nth) AS nth FROM (SELECT doc_id, n, nth, unnest(range(i, i + n)) AS p FROM occ WHERE many > 1) GROUP BY doc_id, n, p),
+        reps AS (SELECT doc_id, count(*) FILTER (n = 8) AS n_repeat_words, {", ".join(f"sum(size) FILTER (n = {n} AND nth > 1) AS dup{n}_chars" for n in quality.NGRAM_PERCENT)} FROM cov JOIN words USING (doc_id, p) GROUP BY doc_id),
+        lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        counted AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (nth > 1) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (nth > 1) AS dup_line_chars FROM lines GROUP BY doc_id),
+        f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in quality.COUNTS if c not in ("n_words", "n_symbols"))}
+            FROM d LEFT JOIN chars USING (doc_id) LEFT JOIN reps USING (doc_id) LEFT JOIN counted USING (doc_id))
+        SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.BASE_PERCENT} * n_words AS base_failed,
+            NOT (base_failed OR 100 * dup_line_chars > {quality.LINE_CHAR_PERCENT} * word_chars OR {" OR ".join(f"100 * dup{n}_chars > {k} * word_chars" for n, k in quality.NGRAM_PERCENT.items())}) AS kept FROM f
+    """,
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
