@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality, sharding, simhash, substring_dedup, toxicity
+from graphloom.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality, runs, sharding, simhash, substring_dedup, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,6 +73,25 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(_read(spark, sf_dir, "documents"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The query's texts: where h = crc32(doc_id) is divisible by 10 the words from a on repeat the p words at a."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    n = F.size("w").cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    texts = docs.select("doc_id", "text", F.when(h % 10 == 0, w).alias("w"))
+    texts = texts.select("doc_id", "text", "w", F.when(n > 0, a).alias("a"), F.when(n > 0, p).alias("p"), n.alias("n"))
+    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", place(i).cast("int"))), " ")
+    return texts.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_made_periodic(_read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_sharding": op2_sharding,
@@ -85,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
     "op11_quality": op11_quality,
+    "op13_runs": op13_runs,
 }
 
 ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (UPPER, LOWER)
