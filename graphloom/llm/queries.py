@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality, runs, sharding, simhash, substring_dedup, toxicity
+from graphloom.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality, runs, search, sharding, simhash, substring_dedup, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,6 +73,11 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(_read(spark, sf_dir, "documents"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(search.build_index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"), k=20)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """The query's texts: where h = crc32(doc_id) is divisible by 10 the words from a on repeat the p words at a."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
     "op11_quality": op11_quality,
+    "op12_search": op12_search,
     "op13_runs": op13_runs,
 }
 
@@ -153,6 +159,18 @@ SQL: dict[str, str] = {
         SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.BASE_PERCENT} * n_words AS base_failed,
             NOT (base_failed OR 100 * dup_line_chars > {quality.LINE_CHAR_PERCENT} * word_chars OR {" OR ".join(f"100 * dup{n}_chars > {k} * word_chars" for n, k in quality.NGRAM_PERCENT.items())}) AS kept FROM f
     """,
+    "op12_search": f"""
+        WITH d AS (SELECT doc_id, unnest({ALNUM_WORDS}) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+        n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+        c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+        m AS (SELECT doc_id, 75 + (25 * n * docs) // words AS m FROM n, c),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({ALNUM_WORDS}) AS term FROM benchmark) GROUP BY item_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+        s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY rank <= 20
+    """,
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
