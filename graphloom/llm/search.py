@@ -1,14 +1,15 @@
 """Ranked lexical search over a tiered index.
 
-The index has a row for each document: its postings, dealt to TIERS columns by impact (the part of a term's
-score that its frequency and the document's length decide), the highest first; and a table of terms: how many
-documents hold each, and the largest impact in each tier. Tiers are columns of one Parquet table, so a scan
-reads those it asks for, and a document's postings meet without a shuffle.
-
-A search goes over the first tier alone. What a document lacks there is bounded by what each of the item's terms
-has left in lower tiers. If no document outside the tier can reach the k-th best score known, the item's
-answer is proven to be among the documents whose bound reaches it; these alone are completed from their lower tiers.
-Items without that proof fall through to the next tier, at last to all postings, which need no proof.
+The index has a row for each document: its postings, dealt to TIERS columns by what they can add to a score, the
+most first; and a table of terms: how many documents hold each, and the largest impact (the part of a score that
+frequency and length decide) in each tier. All postings of a term that few documents hold are in the first tier. Tiers
+are columns of one Parquet table, so a scan reads those it asks for, and a document's postings meet without a shuffle.
+
+A search goes over the first tier alone, and scores the k best documents found there in full; the least of these
+scores is one that the answer reaches. What a document lacks in the tier is bounded by what each of the item's terms
+has left in lower tiers. If a document outside the tier cannot reach that score, the answer is proven to be among the
+documents whose bound does; these alone are completed from their lower tiers. Items without that proof fall
+through to the next tier, at last to all postings, which need no proof.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql.window import Window
 from graphloom.llm.common import ALNUM, as_batch, by_bytes, large_text, split_words
 from graphloom.plans.scratch import scratch
 
-#: Of all postings the share that the first tiers hold together; the last tier holds the rest.
-TIER_SHARES = (1 / 16, 1 / 4)
+#: Terms are common if more than one document in COMMON holds them. Of their postings the share that the first tiers
+#: hold together; the last tier holds the rest.
+COMMON, TIER_SHARES = 256, (1 / 2, 7 / 8)
 TIERS = len(TIER_SHARES) + 1
 
 #: Item terms that a scan looks for at once; scores that a task works on at once.
 BLOCK_TERMS, CELLS = 50_000, 1 << 20
 
-IMPACT_STEPS = 1000  # an impact is below 1,000,000, and cuts lie between steps of so many
+#: Cuts between tiers lie at multiples. A common term's weight is below 6,300 and an impact below 1,000,000, whatever N is.
+STEP = 10_000_000
 
 
 @dataclass
@@ -67,40 +70,73 @@ def term_counts(table: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(_count, "row long, id long, n long, terms array<string>, tfs array<long>")
 
 
+def term_weight(documents: int, holding: int) -> int:
+    """What a term counts that so many of the documents hold."""
+    return math.floor(1000 * math.log((2 * documents + 2) / (2 * holding + 1)))
+
+
 def build_index(docs: DataFrame) -> Index:
     """An index of every row of docs (doc_id, text). Rows without a term are in no posting and not counted."""
+    spark = docs.sparkSession
     forward = scratch(term_counts(docs, "doc_id").where("n > 0"))
     size = forward.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
-    length = F.expr(f"75 + ((25 * n * {size.documents}L) div {max(size.words, 1)}L)")
-    impacts = F.expr("transform(tfs, tf -> (1000000000L * tf) div (1000L * tf + 12L * m))")
-    scored = forward.select("row", "id", length.alias("m"), "terms", "tfs").select("row", "id", F.arrays_zip("terms", impacts.alias("impacts")).alias("held"))
-    cuts = _cuts(scored)
-    tier = F.lit(TIERS - 1)
-    for t in reversed(range(TIERS - 1)):
-        tier = F.when(F.col("impact") >= cuts[t], t).otherwise(tier)
-    single = scored.select(F.explode("held").alias("h")).select(F.col("h.terms").alias("term"), F.col("h.impacts").alias("impact"))
-    terms = scratch(single.groupBy("term", tier.alias("tier")).agg(F.count("*").alias("docs"), F.max("impact").alias("most")))
-    bounds = [math.inf, *cuts, -1]
-
-    def between(t: int) -> Column:
-        over = lambda h: h["impacts"] >= bounds[t + 1]
-        return F.filter("held", over if t == 0 else lambda h: over(h) & (h["impacts"] < bounds[t])).alias(f"tier{t}")
-
-    postings = scratch(scored.select("row", F.col("id").alias("doc_id"), *[between(t) for t in range(TIERS)]))
-    return Index(postings, terms, size.documents)
-
-
-def _cuts(scored: DataFrame) -> list[int]:
-    """The impacts from which on the first tiers begin, from a histogram of all postings (a row for each step)."""
-    steps = scored.select(F.explode("held.impacts").alias("i")).groupBy(F.floor(F.col("i") / IMPACT_STEPS).alias("step")).count().collect()
+    single = forward.select("n", F.explode(F.arrays_zip("terms", "tfs")).alias("h")).select("n", F.col("h.terms").alias("term"), F.col("h.tfs").alias("tf"))
+    # At most COMMON times as many as a document has distinct terms, on average.
+    common = sorted(map(tuple, single.groupBy("term").count().where(F.col("count") * COMMON > size.documents).collect()))
+    weights = {term: term_weight(size.documents, held) for term, held in common}
+    weighed = single.join(F.broadcast(spark.createDataFrame(list(weights.items()), "term string, weight long")), "term")
+    share = F.expr(f"weight * ((1000000000L * tf) div (1000L * tf + 12L * (75L + (25L * n * {size.documents}L) div {max(size.words, 1)}L)))")
+    cuts = _cuts(weighed.groupBy(F.floor(share / STEP).alias("step")).count().collect())  # a row for each step
+    postings = scratch(forward.mapInArrow(_deal(weights, cuts, size.documents, max(size.words, 1)), POSTINGS))
+    tiers = None
+    for t in range(TIERS):
+        tier = postings.select(F.explode(f"tier{t}").alias("h")).groupBy("h.term").agg(F.count("*").alias("docs"), F.max("h.impact").alias("most")).withColumn("tier", F.lit(t))
+        tiers = tier if tiers is None else tiers.unionByName(tier)
+    return Index(postings, scratch(tiers), size.documents)
+
+
+def _cuts(steps: list) -> list[int]:
+    """From which value on the first tiers begin, by counts for each step."""
     above, total, cuts = 0, sum(r["count"] for r in steps), []
     for step, many in sorted(map(tuple, steps), reverse=True):
         above += many
         while len(cuts) < len(TIER_SHARES) and above >= TIER_SHARES[len(cuts)] * total:
-            cuts.append(step * IMPACT_STEPS)
+            cuts.append(step * STEP)
     return cuts + [0] * (len(TIER_SHARES) - len(cuts))
 
 
+POSTINGS = "row long, doc_id long, " + ", ".join(f"tier{t} array<struct<term:string,impact:long>>" for t in range(TIERS))
+
+
+def _deal(weights: dict[str, int], cuts: list[int], documents: int, words: int):
+    """Deals each row's postings to the tiers."""
+    names, weight = list(weights), np.array(list(weights.values()), np.int64)
+    posting = pa.struct([("term", pa.string()), ("impact", pa.int64())])
+    kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(f"tier{t}", pa.list_(posting)) for t in range(TIERS)]])
+
+    def run(batches):
+        common = pa.array(names, pa.string())
+        for batch in batches:
+            terms, tf = batch.column("terms"), batch.column("tfs").flatten().to_numpy()
+            offsets = terms.offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
+            length = np.repeat(75 + 25 * batch.column("n").to_numpy() * documents // words, np.diff(offsets))
+            impact = 1_000_000_000 * tf // (1000 * tf + 12 * length)
+            flat = terms.flatten()
+            place = pc.index_in(flat, value_set=common)
+            rare = pc.is_null(place).to_numpy(zero_copy_only=False)
+            value = np.append(weight, 0)[pc.fill_null(place, len(names)).to_numpy()] * impact
+            tier = np.where(rare, 0, sum((value < c).astype(np.int64) for c in cuts))
+            columns = []
+            for t in range(TIERS):
+                mine = np.flatnonzero(tier == t)
+                held = pa.StructArray.from_arrays([flat.take(pa.array(mine)), pa.array(impact[mine])], fields=list(posting))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(mine, offsets), pa.int32()), held))
+            yield as_batch(kinds, batch.column("row"), batch.column("id"), *columns)
+
+    return run
+
+
 @dataclass
 class Block:
     """Items to look for, as numbers. Term j stands in the items item[first[j]:first[j + 1]] with that weight; rest[t, j]
@@ -142,7 +178,7 @@ def _blocks(index: Index, items: DataFrame):
         if not rows:
             continue
         term, row, times, df = (np.array([r[c] for r in rows]) for c in range(4))
-        weight = times * np.array([math.floor(1000 * math.log((2 * index.documents + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
+        weight = times * np.array([term_weight(index.documents, d) for d in df.tolist()], np.int64)
         keys, item = np.unique(row, return_inverse=True)
         new = np.append(True, term[1:] != term[:-1])
         yield Block(keys, term[new].tolist(), np.append(np.flatnonzero(new), len(rows)), item, weight, np.array([r[4:] for r in rows], np.int64)[new].T, np.ones(len(keys), np.int64))
@@ -199,6 +235,7 @@ def _scan(block: Block, t: int, k: int, complete: bool):
 
     def run(batches):
         terms, best, left = pa.array(block.terms, pa.string()), Best(n, k), block.left(t)
+        floor = block.floor if complete else np.ones(n, np.int64)
         step = max(1, CELLS // n)
         for whole in batches:
             for at in range(0, whole.num_rows, step):
@@ -215,7 +252,7 @@ def _scan(block: Block, t: int, k: int, complete: bool):
                         cell, gain, _ = gains(batch.column(f"tier{tier}"), terms)
                         np.add.at(score, cell[able[cell]], gain[able[cell]])
                     score[~able] = 0
-                found = np.flatnonzero(score >= np.tile(np.maximum(np.maximum(block.floor, best.floor), 1), batch.num_rows))
+                found = np.flatnonzero(score >= np.tile(np.maximum(floor, best.floor), batch.num_rows))
                 doc, ids = found // n, batch.column("doc_id")
                 best.add(found % n, score[found], pc.is_null(ids).to_numpy(zero_copy_only=False)[doc].astype(np.int64), pc.fill_null(ids, 0).to_numpy()[doc], batch.column("row").to_numpy()[doc])
         item, score, none, doc, row = best.take()
@@ -245,12 +282,14 @@ def search(index: Index, items: DataFrame, k: int, key: str = "item_id") -> Data
             columns = [f"tier{x}" for x in range(t + 1)]
             done = np.ones(len(block.keys), bool)
             if t < TIERS - 1:
+                # Whole scores of the k documents that are best by these tiers: k documents reach the least of them.
                 seen = _top(index.postings.select("row", "doc_id", *columns).mapInArrow(_scan(block, t, k, False), SCANNED), k)
-                reached = seen.where(F.col("rank") == k).select("item", "score").collect()  # a row for each item of the block
-                known = dict(map(tuple, reached))
+                rows = seen.select("row").distinct()  # k for each item of the block
+                whole = index.postings.join(F.broadcast(rows), "row", "left_semi").mapInArrow(_scan(block, TIERS - 1, k, False), SCANNED)
+                known = dict(map(tuple, _top(whole, k).where(F.col("rank") == k).select("item", "score").collect()))  # a row for each item
                 floor = np.array([known.get(i, 0) for i in block.keys.tolist()], np.int64)
                 block = replace(block, floor=np.maximum(block.floor, floor))
-                done = block.left(t) < floor
+                done = block.left(t) < block.floor
             if done.any():
                 rows = index.postings.mapInArrow(_scan(block.some(done), t, k, True), SCANNED).withColumn("tier", F.lit(t))
                 found = rows if found is None else found.unionByName(rows)
