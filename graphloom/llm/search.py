@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import ALNUM, as_batch, by_bytes, large_text, split_words
+from graphloom.llm.common import ALNUM, as_batch, by_bytes, give_back, large_text, sliced, split_words
 from graphloom.plans.scratch import scratch
 
 #: Terms are common if more than one document in COMMON holds them. Of their postings the share that the first tiers
@@ -32,8 +32,8 @@ from graphloom.plans.scratch import scratch
 COMMON, TIER_SHARES = 256, (1 / 2, 7 / 8)
 TIERS = len(TIER_SHARES) + 1
 
-#: Item terms that a scan looks for at once; scores that a task works on at once.
-BLOCK_TERMS, CELLS = 50_000, 1 << 20
+#: Item terms that a scan looks for at once; scores and rows that a task works on at once.
+BLOCK_TERMS, CELLS, ROWS = 50_000, 1 << 17, 1024
 
 #: Cuts between tiers lie at multiples. A common term's weight is below 6,300 and an impact below 1,000,000, whatever N is.
 STEP = 10_000_000
@@ -116,7 +116,7 @@ def _deal(weights: dict[str, int], cuts: list[int], documents: int, words: int):
 
     def run(batches):
         common = pa.array(names, pa.string())
-        for batch in batches:
+        for batch in (b for whole in batches for b in sliced(whole, ROWS)):
             terms, tf = batch.column("terms"), batch.column("tfs").flatten().to_numpy()
             offsets = terms.offsets.to_numpy().astype(np.int64)
             offsets -= offsets[0]
@@ -236,7 +236,7 @@ def _scan(block: Block, t: int, k: int, complete: bool):
     def run(batches):
         terms, best, left = pa.array(block.terms, pa.string()), Best(n, k), block.left(t)
         floor = block.floor if complete else np.ones(n, np.int64)
-        step = max(1, CELLS // n)
+        step = min(ROWS, max(1, CELLS // n))
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
@@ -255,6 +255,7 @@ def _scan(block: Block, t: int, k: int, complete: bool):
                 found = np.flatnonzero(score >= np.tile(np.maximum(floor, best.floor), batch.num_rows))
                 doc, ids = found // n, batch.column("doc_id")
                 best.add(found % n, score[found], pc.is_null(ids).to_numpy(zero_copy_only=False)[doc].astype(np.int64), pc.fill_null(ids, 0).to_numpy()[doc], batch.column("row").to_numpy()[doc])
+            give_back()
         item, score, none, doc, row = best.take()
         yield as_batch(kinds, block.keys[item], row, pa.array(doc, mask=none.astype(bool)), score)
 
