@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.columns import HASH_RANGE, cosine, portable_hash
+from graphloom.operators.complement import free_draws
 from graphloom.operators.encode import dense_numbers
 from graphloom.plans.scratch import scratch
 
@@ -122,8 +123,8 @@ def hold_out_nodes(edges: DataFrame, held: DataFrame, light: bool = True) -> Dat
 
 def _free(slots: DataFrame, targets: DataFrame, edges: DataFrame, tries: int, salt: int, rounds: int) -> DataFrame:
     """For each slot (slot, source) its draws of targets (idx from 0) that are no known edges. Slots of which all
-    draws are known draw again, with numbers that go on; those of which the source has an edge to every target
-    (or that are left after the rounds) have none."""
+    draws are known draw again, with numbers that go on; those that are left after the rounds take a free target by its
+    rank. Only a source with an edge to every target has none."""
     n, known, out, left = targets.count(), edges.select("source", "target"), None, slots
     for number in range(rounds):
         first = number * tries
@@ -135,8 +136,9 @@ def _free(slots: DataFrame, targets: DataFrame, edges: DataFrame, tries: int, sa
         out = free if out is None else out.unionByName(free)
         left = left.join(free.select("slot").distinct(), "slot", "left_anti")
         if number < rounds - 1 and left.isEmpty():
-            break
-    return out
+            return out
+    rest = scratch(left)
+    return out if rest.isEmpty() else out.unionByName(free_draws(rest, targets, edges, portable_hash(F.col("slot"), salt)), allowMissingColumns=True)
 
 
 def negatives_by_cosine(slots: DataFrame, targets: DataFrame, edges: DataFrame, vectors: DataFrame, tries: int, salt: int = 0, rounds: int = 8) -> DataFrame:

@@ -7,61 +7,76 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.columns import cosine, node_type, portable_hash
+from graphloom.operators.encode import dense_numbers
 from graphloom.plans.scratch import scratch
 
 CORE, TOP = ("publication", "dataset"), ("author", "organization", "venue")
 
 
-def neighbor_table(edges: DataFrame) -> DataFrame:
-    """For each node its sorted distinct neighbours as an array, built by an aggregate on both directions."""
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("n")).union(edges.select("target", "source")).distinct()
-    return both.groupBy("node").agg(F.array_sort(F.collect_list("n")).alias("nbrs"))
+def _draw(m: Column, start: int, digits: int) -> Column:
+    """A whole number from some hexadecimal digits of a hash; any SQL engine can repeat it."""
+    return F.conv(F.substring(m, start, digits), 16, 10).cast("long")
 
 
-def _chance(*parts: Column) -> Column:
-    """A number from 0 to below 1 by a hash; draws of different steps are independent."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
+def numbered_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All directed edges of the undirected graph in one numbering by (node, neighbour): (node, first, size), and
+    (at, next). A neighbour is looked up by one number, so a hub is no group and no array."""
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).union(edges.select("target", "source")).distinct()
+    places = scratch(dense_numbers(both, ["node", "next"], "at"))
+    return scratch(places.groupBy("node").agg(F.min("at").alias("first"), F.count("*").alias("size"))), places
 
 
-def random_walks(seeds: DataFrame, edges: DataFrame, walks: int = 20, length: int = 15, restart: float = 0.1, p: float = 1.0, q: float = 0.3, salt: int = 0, every: int = 4) -> DataFrame:
-    """walks walks of length nodes from each seed (seed, number): seed, walk, path.
+def random_walks(seeds: DataFrame, edges: DataFrame, walks: int = 20, length: int = 15, restart: float = 0.1, p: float = 1.0, q: float = 0.3, salt: int = 0, tries: int = 8) -> DataFrame:
+    """walks walks of length nodes from each seed: seed, walk, path. A seed that is there twice walks once.
 
     A step goes back to the seed with chance restart, else to a neighbour: weights 1/p for the node before,
-    1 for its neighbours, 1/q for all others. The choice is a hash of seed number, walk, step and salt. A
-    walk at a node without neighbours stays. The frontier is written every few steps to cut its lineage.
+    1 for its neighbours, 1/q for all others, by rejection: neighbours are proposed evenly and accepted with a chance
+    in proportion to their weight, some tries at a time until one is. Draws come from md5 of seed, walk, step, try and
+    salt. A walk at a node without neighbours stays. Each step is written, so a lost executor repeats one step.
     """
-    nbrs = scratch(neighbor_table(edges))
-    front = seeds.select("seed", "number", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
-    front = front.select("*", F.array("seed").alias("path"), F.col("seed").alias("cur"), F.lit(None).cast("string").alias("prev"), F.array().cast("array<string>").alias("prev_nbrs"))
-    for step in range(1, length):
-        draw = _chance(F.col("number"), F.col("walk"), F.lit(step), F.lit(salt))
-        again = _chance(F.col("number"), F.col("walk"), F.lit(step), F.lit(salt + 7919))
-        at = front.join(nbrs.withColumnRenamed("node", "cur"), "cur", "left").withColumn("nbrs", F.coalesce("nbrs", F.array("cur")))
-        # Neighbours in three lists of one weight each, by hash sets: linear in the neighbours of both nodes.
-        back = F.array_intersect("nbrs", F.coalesce(F.array("prev"), F.array().cast("array<string>")))
-        near = F.array_except(F.array_intersect("nbrs", "prev_nbrs"), back)
-        near = F.when(F.col("prev").isNull(), F.col("nbrs")).otherwise(near)
-        at = at.withColumn("again", again).withColumn("draw", draw).withColumn("lists", F.struct(back.alias("back"), near.alias("near")))
-        at = at.withColumn("far", F.array_except("nbrs", F.concat("lists.back", "lists.near")))
-        to_near, to_far = F.size("lists.back") / p, F.size("lists.back") / p + F.size("lists.near")
-        goal = F.col("again") * (to_far + F.size("far") / q)
-
-        def pick(nodes, place):
-            return F.try_element_at(nodes, F.least(F.floor(place).cast("int") + 1, F.size(nodes)))
-
-        chosen = F.when(F.col("draw") < restart, F.col("seed")).when(goal < to_near, F.col("prev")).when(goal < to_far, pick(F.col("lists.near"), goal - to_near)).otherwise(pick(F.col("far"), (goal - to_far) * q))
-        at = at.withColumn("next", F.coalesce(chosen, F.element_at("nbrs", 1)))
-        front = at.select("seed", "number", "walk", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("cur"), F.col("cur").alias("prev"), F.col("nbrs").alias("prev_nbrs"))
-        if step % every == 0:
-            front = scratch(front)
-    return front.select("seed", "walk", "path")
+    nodes, places = numbered_edges(edges)
+    known = scratch(edges.select(F.col("source").alias("prev"), F.col("target").alias("next")).union(edges.select("target", "source")).distinct().withColumn("near", F.lit(True)))
+    start = seeds.select("seed").distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
+    # The numbers of step and round are data, so that every step runs the same compiled plan.
+    front = scratch(start.withColumns({"step": F.lit(1), "round": F.lit(0), "prev": F.lit(None).cast("string"), "cur": F.col("seed")}))
+    trace = front.select("seed", "walk", F.lit(0).alias("step"), F.col("cur").alias("node"))
+    for _ in range(1, length):
+        pending, moved, left = front, None, True
+        while left:
+            rows = scratch(_proposals(pending, nodes, places, known, tries, restart, p, q, salt))
+            done = rows.where("got IS NOT NULL").select("seed", "walk", (F.col("step") + 1).alias("step"), (F.col("round") * 0).alias("round"), F.col("cur").alias("prev"), F.col("got.next").alias("cur"))
+            moved = done if moved is None else moved.unionByName(done)
+            pending = rows.where("got IS NULL").select("seed", "walk", "step", (F.col("round") + 1).alias("round"), "prev", "cur")
+            left = not pending.isEmpty()
+        front = moved
+        trace = trace.unionByName(front.select("seed", "walk", (F.col("step") - 1).alias("step"), F.col("cur").alias("node")))
+    paths = trace.groupBy("seed", "walk").agg(F.sort_array(F.collect_list(F.struct("step", "node"))).alias("steps"))  # length rows each
+    return paths.select("seed", "walk", F.col("steps.node").alias("path"))
+
+
+def _proposals(front: DataFrame, nodes: DataFrame, places: DataFrame, known: DataFrame, tries: int, restart: float, p: float, q: float, salt: int) -> DataFrame:
+    """The walks (seed, walk, step, round, prev, cur) with got.next, the first accepted of some proposals, or null.
+    Round r has tries * 4**r proposals (r up to 4), numbered from 1000 r."""
+    most = max(1 / p, 1.0, 1 / q)
+    at = front.join(nodes.withColumnRenamed("node", "cur"), "cur", "left")
+    home = _draw(F.md5(F.concat_ws(":", "seed", "walk", "step", F.lit(salt)).cast("binary")), 1, 12) < int(restart * (1 << 48))
+    at = at.withColumn("fixed", F.when(home, F.col("seed")).when(F.col("size").isNull(), F.col("cur")))
+    many = F.when(F.col("fixed").isNull(), F.lit(tries) * F.pow(F.lit(4), F.least("round", F.lit(4))).cast("int")).otherwise(1)
+    drawn = at.withColumn("try", F.explode(F.sequence(F.col("round") * 1000, F.col("round") * 1000 + many - 1)))
+    drawn = drawn.withColumn("m", F.md5(F.concat_ws(":", "seed", "walk", "step", F.lit(salt), "try").cast("binary")))
+    drawn = drawn.withColumn("at", F.when(F.col("fixed").isNull(), F.col("first") + _draw(F.col("m"), 1, 12) % F.col("size")))
+    found = drawn.join(places.select("at", "next"), "at", "left").join(known, ["prev", "next"], "left")
+    weight = F.when(F.col("prev").isNull() | (F.col("size") == 1), most).when(F.col("next") == F.col("prev"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+    accepted = F.col("fixed").isNotNull() | (_draw(F.col("m"), 13, 12) < weight / most * (1 << 48))
+    option = F.when(accepted, F.struct("try", F.coalesce("fixed", "next").alias("next")))
+    return found.groupBy("seed", "walk", "step", "round", "prev", "cur").agg(F.min(option).alias("got"))
 
 
 def neighbor_places(edges: DataFrame) -> DataFrame:
-    """The distinct neighbours of each node, numbered from 0 in their order: node, place, n. A row for each, so a
-    hub is many rows and no large one."""
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("n")).union(edges.select("target", "source")).distinct()
-    return both.select("node", (F.row_number().over(Window.partitionBy("node").orderBy("n")) - 1).alias("place"), "n")
+    """The distinct neighbours of each node, numbered from 0 in their order: node, place, n. All rows are numbered by
+    range and a node's first number is taken off, so a hub is many rows, and no task has to see them all."""
+    nodes, places = numbered_edges(edges)
+    return places.join(nodes, "node").select("node", (F.col("at") - F.col("first")).cast("int").alias("place"), F.col("next").alias("n"))
 
 
 def uniform_walks(seeds: DataFrame, edges: DataFrame, walks: int, length: int, salt: int = 0, every: int = 4) -> DataFrame:

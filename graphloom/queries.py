@@ -538,12 +538,6 @@ def q_walks(g: Lens) -> DataFrame:
     return _walks(g).withColumn("path", F.concat_ws(" ", "path"))
 
 
-@query()
-def q_walks_restart(g: Lens) -> DataFrame:
-    seeds = g.table("orders").select(F.concat(F.lit("p_"), "o_orderkey").alias("seed"), F.col("o_orderkey").alias("number"))
-    return walks.random_walks(seeds, g.edges("pd", "pa").select("source", "target"), walks=1, length=5).withColumn("path", F.concat_ws(" ", "path"))
-
-
 @query(f"{NBRS} SELECT node, count(*) AS n FROM (SELECT unnest(path) AS node FROM walks) GROUP BY node")
 def q_walk_node_counts(g: Lens) -> DataFrame:
     return _walks(g).select(F.explode("path").alias("node")).groupBy("node").agg(F.count("*").alias("n"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import portable_hash
-from graphloom.operators import similarity
-from graphloom.queries import QUERIES, SQL, VEC, mix, query
+from graphloom.operators import complement, similarity, walks
+from graphloom.queries import QUERIES, SLOTS, SQL, VEC, _node_vectors, _slots, mix, query
 from graphloom.queries_typed import ALL
 from graphloom.sources.lens import Lens, views
 
@@ -53,3 +53,67 @@ def q_similar_enriched(g: Lens) -> DataFrame:
 def q_similar_recall(g: Lens) -> DataFrame:
     """How many of the pairs of every fiftieth class the join found."""
     return similarity.join_recall(_profiles(g), _similar(g), F.substring("id", 3, 20).cast("long") % 50 == 0)
+
+
+# --- Second-order walks with restart ------------------------------------------------------------
+
+RESTART, WALKS, WALK_LENGTH, RETURN, OUT, SQL_TRIES = 0.1, 20, 15, 1.0, 0.3, 8
+
+
+def _hex(m: str, start: int) -> str:
+    return f"CAST('0x' || substr({m}, {start}, 12) AS BIGINT)"
+
+
+def _restart_sql() -> str:
+    """The walks step by step. Tries are numbered as in the operator: 8 from 0, then 32 from 1000, then 128 from 2000."""
+    most = max(1 / RETURN, 1.0, 1 / OUT)
+    tries = " UNION ALL ".join(f"SELECT unnest(range({r * 1000}, {r * 1000 + SQL_TRIES * 4 ** r})) AS t" for r in range(3))
+    parts = [
+        f"{views(*ALL, edges=True)}",
+        "e AS MATERIALIZED (SELECT source AS x, target AS y FROM edges UNION SELECT target, source FROM edges)",
+        "pl AS MATERIALIZED (SELECT x, y, row_number() OVER (ORDER BY x, y) - 1 AS pos FROM e)",
+        "nd AS MATERIALIZED (SELECT x, min(pos) AS first, count(*) AS size FROM pl GROUP BY x)",
+        f"tries AS MATERIALIZED ({tries})",
+        f"w0 AS MATERIALIZED (SELECT seed, walk, CAST(NULL AS VARCHAR) AS prev, seed AS cur FROM (SELECT 'p_' || o_orderkey AS seed FROM orders UNION ALL SELECT 'd_' || p_partkey FROM part), (SELECT unnest(range({WALKS})) AS walk))",
+    ]
+    for s in range(1, WALK_LENGTH):
+        parts.append(
+            f"f{s} AS MATERIALIZED (SELECT w.*, first, size, CASE WHEN {_hex(f'md5(seed || {chr(39)}:{chr(39)} || walk || {chr(39)}:{s}:0{chr(39)})', 1)} < {int(RESTART * (1 << 48))} THEN seed WHEN size IS NULL THEN cur END AS fixed FROM w{s - 1} w LEFT JOIN nd ON x = cur)"
+        )
+        accepted = f"{_hex('m', 13)} < CASE WHEN prev IS NULL OR size = 1 THEN {most} WHEN nxt = prev THEN {1 / RETURN} WHEN e.x IS NOT NULL THEN 1.0 ELSE {1 / OUT} END / {most} * {1 << 48}"
+        for name, rows, which in ((f"g{s}", f"f{s}", "t < 1000"), (f"h{s}", f"(SELECT * FROM f{s} ANTI JOIN g{s} USING (seed, walk))", "t >= 1000")):
+            drawn = f"SELECT f.*, t, m, y AS nxt FROM (SELECT f.*, t, md5(seed || ':' || walk || ':{s}:0:' || t) AS m FROM {rows} f, tries WHERE fixed IS NULL AND {which}) f JOIN pl ON pos = first + {_hex('m', 1)} % size"
+            parts.append(f"{name} AS MATERIALIZED (SELECT seed, walk, arg_min(nxt, t) AS nxt FROM ({drawn}) LEFT JOIN e ON e.x = prev AND e.y = nxt WHERE {accepted} GROUP BY seed, walk)")
+        parts.append(f"w{s} AS MATERIALIZED (SELECT f.seed, f.walk, f.cur AS prev, coalesce(f.fixed, g.nxt, h.nxt) AS cur FROM f{s} f LEFT JOIN g{s} g ON g.seed = f.seed AND g.walk = f.walk LEFT JOIN h{s} h ON h.seed = f.seed AND h.walk = f.walk)")
+    trace = " UNION ALL ".join(f"SELECT seed, walk, {s} AS step, cur FROM w{s}" for s in range(WALK_LENGTH))
+    return f"{', '.join(parts)} SELECT seed, walk, string_agg(cur, ' ' ORDER BY step) AS path FROM ({trace}) GROUP BY seed, walk"
+
+
+@query(_restart_sql())
+def q_walks_restart(g: Lens) -> DataFrame:
+    """Twenty walks of fifteen nodes from every publication and dataset over the whole graph."""
+    seeds = g.publications().union(g.datasets()).withColumnRenamed("id", "seed")
+    found = walks.random_walks(seeds, g.edges(*ALL).select("source", "target"), WALKS, WALK_LENGTH, RESTART, RETURN, OUT)
+    return found.withColumn("walk", F.col("walk").cast("long")).withColumn("path", F.concat_ws(" ", "path"))
+
+
+# --- Negatives by rank among what is free -------------------------------------------------------
+
+FREE = f"""{views('pd')}, {VEC}, nv AS (SELECT count(*) AS nv FROM vec), {SLOTS}, free AS (SELECT source, target, p_partkey, row_number() OVER (PARTITION BY source ORDER BY idx) - 1 AS rank FROM (SELECT * FROM (SELECT DISTINCT source FROM slots), targets) ANTI JOIN pd USING (source, target)),
+many AS (SELECT source, count(*) AS many FROM free GROUP BY source)"""
+
+
+@query(f"{FREE} SELECT slot, source, target FROM slots JOIN many USING (source) JOIN free USING (source) WHERE rank = {mix('slot', 13)} % many")
+def q_neg_complement(g: Lens) -> DataFrame:
+    """For every publication a dataset that it doesn't cite."""
+    slots, targets = _slots(g)
+    return complement.free_at_random(slots, targets, g.pd(), salt=13)
+
+
+@query(f"""{FREE}, d AS (SELECT slot, source, {mix('slot * 100 + try', 17)} % many AS rank FROM slots JOIN many USING (source), (SELECT unnest(range(100)) AS try)),
+c AS (SELECT slot, source, target, round(list_cosine_similarity(a.x, b.x), 9) AS score FROM d JOIN free USING (source, rank), nv JOIN vec a ON a.vec_id = slot % nv JOIN vec b ON b.vec_id = p_partkey % nv)
+SELECT slot, source, arg_min(target, (score, target)) AS target, min(score) AS score FROM c GROUP BY slot, source""")
+def q_neg_cosine_complement(g: Lens) -> DataFrame:
+    """For every publication the least similar of a hundred datasets that it doesn't cite."""
+    slots, targets = _slots(g)
+    return complement.free_least_similar(_node_vectors(g, slots, "slot"), targets.select("idx", "target"), g.pd(), _node_vectors(g, targets, "p_partkey"), tries=100, salt=17)
