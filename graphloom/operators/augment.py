@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,12 +148,3 @@ def with_word_pairs(docs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFr
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws("_", F.slice("w", i, F.lit(2))))
     pairs = F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))
     return docs.withColumn("w", w).withColumn("content", F.concat_ws(" ", F.concat("w", pairs))).drop("w")
-
-
-def structural_vectors(walks: DataFrame, width: int = 128, seed: int = 1) -> DataFrame:
-    """Node vectors learned from walks (path), as word2vec does from sentences: id, x. Training is spread over the
-    shuffle partitions. Spark's implementation keeps all nodes and their vectors on the driver, so it is for graphs
-    whose nodes times width fit there."""
-    parts = int(walks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = Word2Vec(vectorSize=width, minCount=0, numPartitions=parts, inputCol="path", outputCol="v", seed=seed).fit(walks.select("path").repartition(parts))
-    return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("x"))

@@ -769,12 +769,6 @@ def q_losses(g: Lens) -> DataFrame:
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
-@query()
-def q_structural_vectors(g: Lens) -> DataFrame:
-    """Node vectors of 16 numbers from walks."""
-    return augment.structural_vectors(_walks(g), width=16)
-
-
 @query()
 def q_link_classifier(g: Lens) -> DataFrame:
     """Edges and as many negatives with scores; a fifth is held out. An edge's ends share what the vectors say."""

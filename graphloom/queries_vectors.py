@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import portable_hash
-from graphloom.operators import complement, similarity, walks
-from graphloom.queries import QUERIES, SLOTS, SQL, VEC, _node_vectors, _slots, mix, query
+from graphloom.operators import complement, similarity, structural, walks
+from graphloom.queries import NBRS, QUERIES, SLOTS, SQL, VEC, _node_vectors, _slots, _walks, mix, query
 from graphloom.queries_typed import ALL
 from graphloom.sources.lens import Lens, views
 
@@ -117,3 +117,25 @@ def q_neg_cosine_complement(g: Lens) -> DataFrame:
     """For every publication the least similar of a hundred datasets that it doesn't cite."""
     slots, targets = _slots(g)
     return complement.free_least_similar(_node_vectors(g, slots, "slot"), targets.select("idx", "target"), g.pd(), _node_vectors(g, targets, "p_partkey"), tries=100, salt=17)
+
+
+# --- Structural vectors -------------------------------------------------------------------------
+
+COUNTS = f"""{NBRS}, u AS (SELECT seed, walk, unnest(path) AS node, unnest(range(len(path))) AS i FROM walks),
+co AS (SELECT a.node, b.node AS context, count(*) AS n FROM u a JOIN u b ON a.seed = b.seed AND a.walk = b.walk AND a.i <> b.i AND abs(a.i - b.i) <= 3 GROUP BY 1, 2), tot AS (SELECT node, sum(n) AS s FROM co GROUP BY node)"""
+
+
+@query(f"{COUNTS} SELECT node, context, n FROM co")
+def q_cooccurrences(g: Lens) -> DataFrame:
+    return structural.cooccurrences(_walks(g), 3)
+
+
+@query(f"{COUNTS} SELECT co.node, co.context, round(ln(co.n * (SELECT sum(s) FROM tot) / (a.s * CAST(b.s AS DOUBLE))), 6) AS v FROM co JOIN tot a ON a.node = co.node JOIN tot b ON b.node = co.context WHERE ln(co.n * (SELECT sum(s) FROM tot) / (a.s * CAST(b.s AS DOUBLE))) > 0")
+def q_positive_pmi(g: Lens) -> DataFrame:
+    return structural.positive_pmi(structural.cooccurrences(_walks(g), 3)).withColumn("v", F.round("v", 6))
+
+
+@query()
+def q_structural_vectors(g: Lens) -> DataFrame:
+    """Node vectors of 16 numbers from walks."""
+    return structural.structural_vectors(_walks(g), width=16, window=3)

@@ -123,7 +123,8 @@ def test_annotators_and_words(spark):
 
     def annotator(frames):
         for f in frames:
-            yield f.dropna().assign(mention=f["content"].str[:3])[["id", "mention"]]
+            whole = f.dropna()
+            yield whole.assign(mention=whole["content"].str[:3])[["id", "mention"]]
 
     assert [tuple(r) for r in augment.annotate(docs, annotator, "id string, mention string").collect()] == [("p_1", "Big")]
     topics = spark.createDataFrame([(1, ["cities", "city", "boxes", "glass", "box"])], "topic long, words array<string>")
