@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,59 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
+#: So many different values of a range are looked at together.
+FEW_VALUES = 100_000
+
+
+def exact_percentile(rows: DataFrame, column: str, q: float) -> float | None:
+    """The percentile of a numeric column with linear interpolation, nulls left out; None without a value.
+
+    The two values beside it are selected by rank: a range that is sure to be near is estimated, rows below and
+    inside are counted, and the range that holds the ranks is searched again until it has few values. So no task sees
+    more than a part of the values, whatever they are.
+    """
+    v = rows.select(F.col(column).cast("double").alias("v")).dropna()
+    inside, below = v.count(), 0
+    if not inside:
+        return None
+    place = (inside - 1) * q
+    first, second = math.floor(place), math.ceil(place)
+    while inside > FEW_VALUES:
+        share = [max(0.0, min(1.0, (rank - below) / inside + e)) for rank, e in ((first, -1e-3), (second, 1e-3))]
+        low, high = v.agg(F.percentile_approx("v", share, 10_000)).first()[0]
+        r = v.agg(F.count(F.when(F.col("v") < low, 1)).alias("below"), F.count(F.when((F.col("v") >= low) & (F.col("v") <= high), 1)).alias("inside")).first()
+        ends = (r.below, r.below + r.inside)  # ranks of the estimated range
+        wanted = (first - below, second - below)
+        if wanted[0] >= ends[0] and wanted[1] < ends[1]:
+            if low == high:
+                return low
+            if r.inside == inside:  # nothing is left out, as one of the ends stands there very often: take that end off
+                n = v.agg(F.count(F.when(F.col("v") == low, 1)).alias("low"), F.count(F.when(F.col("v") == high, 1)).alias("high")).first()
+                at_low = n.low >= n.high
+                end, many, rest = (low, n.low, v.where(F.col("v") > low)) if at_low else (high, n.high, v.where(F.col("v") < high))
+                is_end = [rank - below < many if at_low else rank - below >= inside - many for rank in (first, second)]
+                if any(is_end):
+                    other = end if all(is_end) else rest.agg((F.min if at_low else F.max)("v")).first()[0]
+                    low, high = (end, other) if is_end[0] else (other, end)
+                    return low + (high - low) * (place - first)
+                v, below, inside = rest, below + (many if at_low else 0), inside - many
+                continue
+            v, below, inside = v.where((F.col("v") >= low) & (F.col("v") <= high)), below + r.below, r.inside
+        elif wanted[1] < ends[1]:
+            v, inside = v.where(F.col("v") <= high), ends[1]
+        else:
+            v, below, inside = v.where(F.col("v") >= low), below + r.below, inside - r.below
+    found = {}
+    for value, count in sorted(map(tuple, v.groupBy("v").count().collect())):  # at most FEW_VALUES, or few by the estimate
+        found |= {rank: value for rank in (first, second) if below <= rank < below + count}
+        below += count
+    return found[first] + (found[second] - found[first]) * (place - first)
+
+
 def over_percentile(counts: DataFrame, column: str, q: float) -> DataFrame:
     """Rows whose value is over the exact percentile (linear interpolation) of the column."""
-    cut = counts.agg(F.percentile(column, F.lit(q)).alias("__cut"))  # one row
-    return counts.crossJoin(F.broadcast(cut)).where(F.col(column) > F.col("__cut")).drop("__cut")
+    cut = exact_percentile(counts, column, q)
+    return counts.where(F.col(column) > F.lit(cut).cast("double"))
 
 
 def prune_nodes(groups: list[tuple[DataFrame, str | None]], q: float = 0.95) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import portable_hash
-from graphloom.operators import complement, similarity, structural, walks
-from graphloom.queries import NBRS, QUERIES, SLOTS, SQL, VEC, _node_vectors, _slots, _walks, mix, query
+from graphloom.operators import complement, density, graph, propagate, similarity, structural, walks
+from graphloom.queries import ENDS, NBRS, QUERIES, SLOTS, SQL, VEC, _graph_vectors, _node_vectors, _slots, _spread, _walks, mix, query
 from graphloom.queries_typed import ALL
 from graphloom.sources.lens import Lens, views
 
@@ -139,3 +139,63 @@ def q_positive_pmi(g: Lens) -> DataFrame:
 def q_structural_vectors(g: Lens) -> DataFrame:
     """Node vectors of 16 numbers from walks."""
     return structural.structural_vectors(_walks(g), width=16, window=3)
+
+
+# --- Density clusters ---------------------------------------------------------------------------
+
+
+@query()
+def q_density_topics(g: Lens) -> DataFrame:
+    """Topics by density of all vectors; -1 for outliers."""
+    return density.density_topics(g.vectors().select(F.col("vec_id").alias("id"), "x"), smallest=5, neighbors=3, floor=0.25)
+
+
+# --- Graph layers -------------------------------------------------------------------------------
+
+#: Given weights of the layers: 64 inputs, 4 outputs, two heads.
+INPUTS, OUTPUTS, HEADS = 64, 4, 2
+
+
+def _weight(head: int, i: int, o: int) -> float:
+    return ((i * 7 + o * 3 + head * 5) % 11 - 5) / 10
+
+
+def _matrix(head: int) -> list[list[float]]:
+    return [[_weight(head, i, o) for o in range(OUTPUTS)] for i in range(INPUTS)]
+
+
+LAYER = f"""{ENDS}, ids AS (SELECT 'p_' || o_orderkey AS id, o_orderkey % nv AS k FROM orders, nv UNION ALL SELECT 'd_' || p_partkey, p_partkey % nv FROM part, nv),
+f AS (SELECT id, unnest(x) AS v, unnest(range(64)) AS i FROM ids JOIN vec ON vec_id = k), h AS (SELECT id, head, o, sum(v * ((i * 7 + o * 3 + head * 5) % 11 - 5) / 10) AS v FROM f, (SELECT unnest(range({HEADS})) AS head), (SELECT unnest(range({OUTPUTS})) AS o) GROUP BY id, head, o),
+adj AS (SELECT source AS id, target AS other FROM pd UNION SELECT target, source FROM pd UNION SELECT id, id FROM ids)"""
+
+
+@query(f"""{LAYER}, s AS (SELECT id, head, sum(v * (o + 1) / 4) AS s, sum(v * (2 - o) / 4) AS t FROM h GROUP BY id, head),
+e AS (SELECT adj.id, other, a.head, CASE WHEN a.s + b.t > 0 THEN a.s + b.t ELSE 0.2 * (a.s + b.t) END AS e FROM adj JOIN s a ON a.id = adj.id JOIN s b ON b.id = other AND b.head = a.head),
+w AS (SELECT id, other, head, exp(e - max(e) OVER (PARTITION BY id, head)) AS w FROM e), n AS (SELECT id, other, head, w / sum(w) OVER (PARTITION BY id, head) AS w FROM w)
+SELECT n.id, n.head * {OUTPUTS} + o AS i, round(sum(w * v), 6) + 0 AS v FROM n JOIN h ON h.id = other AND h.head = n.head GROUP BY n.id, n.head, o""")
+def q_attention_layer(g: Lens) -> DataFrame:
+    """A round of attention with two heads over citations of datasets."""
+    heads = [(_matrix(k), [(o + 1) / 4 for o in range(OUTPUTS)], [(2 - o) / 4 for o in range(OUTPUTS)]) for k in range(HEADS)]
+    return _spread(propagate.attention_layer(g.pd(), _graph_vectors(g), heads), "id")
+
+
+@query(f"""{LAYER}, d AS (SELECT id, count(*) AS d FROM adj GROUP BY id), z AS (SELECT adj.id, o, sum(v / sqrt(a.d * b.d)) AS v FROM adj JOIN d a ON a.id = adj.id JOIN d b ON b.id = other JOIN h ON h.id = other AND head = 0 GROUP BY adj.id, o)
+SELECT source, target, round(1 / (1 + exp(-sum(a.v * b.v))), 6) AS probability FROM pd JOIN z a ON a.id = source JOIN z b ON b.id = target AND b.o = a.o GROUP BY source, target""")
+def q_decoded_edges(g: Lens) -> DataFrame:
+    """Probabilities of the citations of datasets from a round of convolution and an inner-product decoder."""
+    means = propagate.convolution_layer(g.pd(), _graph_vectors(g), _matrix(0))
+    return propagate.decode_pairs(g.pd(), means).withColumn("probability", F.round("probability", 6))
+
+
+# --- Percentiles --------------------------------------------------------------------------------
+
+
+CUTS = (0.05, 0.5, 0.75, 0.85, 0.95)
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({q} AS DOUBLE) AS q, round(quantile_cont(l_extendedprice, {q}), 6) AS cut FROM lineitem" for q in CUTS))
+def q_exact_percentiles(g: Lens) -> DataFrame:
+    """Percentiles of a column of many different values."""
+    rows = g.table("lineitem")
+    cuts = [(q, round(graph.exact_percentile(rows, "l_extendedprice", q), 6)) for q in CUTS]
+    return g.spark.createDataFrame(cuts, "q double, cut double")

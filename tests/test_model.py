@@ -101,15 +101,6 @@ def test_classifier_on_held_out_rows(spark):
     assert rank.auc(found.where("held").select("score", "label")).first().auc > 0.9
 
 
-def test_structural_vectors_tell_parts_of_a_graph_apart(spark):
-    rng = np.random.default_rng(5)
-    paths = [[f"{k}{x}" for x in rng.integers(0, 8, 12)] for k in "ab" for _ in range(400)]
-    found = {r.id: np.array(r.x) for r in augment.structural_vectors(spark.createDataFrame([(p,) for p in paths], "path array<string>"), width=8).collect()}
-    unit = {k: v / np.linalg.norm(v) for k, v in found.items()}
-    pairs = [(x[0] == y[0], float(unit[x] @ unit[y])) for x in unit for y in unit if x < y]
-    assert len(found) == 16 and np.mean([c for same, c in pairs if same]) > np.mean([c for same, c in pairs if not same])
-
-
 def test_clusters_find_groups_apart(spark):
     rng = np.random.default_rng(4)
     centres = 5 * rng.standard_normal((3, 12))
