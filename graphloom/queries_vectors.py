@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import portable_hash
-from graphloom.operators import complement, density, graph, propagate, similarity, structural, walks
+from graphloom.operators import complement, density, graph, propagate, similarity, structural, training, walks
 from graphloom.queries import ENDS, NBRS, QUERIES, SLOTS, SQL, VEC, _graph_vectors, _node_vectors, _slots, _spread, _walks, mix, query
 from graphloom.queries_typed import ALL
 from graphloom.sources.lens import Lens, views
@@ -199,3 +199,53 @@ def q_exact_percentiles(g: Lens) -> DataFrame:
     rows = g.table("lineitem")
     cuts = [(q, round(graph.exact_percentile(rows, "l_extendedprice", q), 6)) for q in CUTS]
     return g.spark.createDataFrame(cuts, "q double, cut double")
+
+
+# --- Training -----------------------------------------------------------------------------------
+
+EPOCHS, BATCHES, RATE = 3, 2, 0.05
+
+
+def _labeled_pairs(g: Lens) -> DataFrame:
+    """Citations of datasets (label 1) and for each publication a dataset that it doesn't cite (0), with a number."""
+    slots, targets = _slots(g)
+    negative = complement.free_at_random(slots, targets, g.pd(), salt=13).select("source", "target", F.lit(0).alias("label"))
+    number = F.substring("source", 3, 20).cast("long") * 31 + F.substring("target", 3, 20).cast("long")
+    return g.pd().withColumn("label", F.lit(1)).unionByName(negative).withColumn("number", number)
+
+
+def _start(g: Lens) -> DataFrame:
+    return _graph_vectors(g).select("id", F.transform("x", lambda v: v / 8).alias("x"))
+
+
+def _training_sql() -> str:
+    number = "CAST(substr(source, 3) AS BIGINT) * 31 + CAST(substr(target, 3) AS BIGINT)"
+    loss = "CASE label WHEN 1 THEN ln(1 + exp(-s)) ELSE ln(1 + exp(s)) END"
+    parts = [
+        FREE,
+        f"neg AS (SELECT source, target FROM slots JOIN many USING (source) JOIN free USING (source) WHERE rank = {mix('slot', 13)} % many)",
+        f"pairs AS MATERIALIZED (SELECT source, target, label, {mix(number, 3)} < 858993459 AS held, {mix(number, 0)} % {BATCHES} AS batch FROM (SELECT source, target, 1 AS label FROM pd UNION ALL SELECT source, target, 0 FROM neg))",
+        "sizes AS MATERIALIZED (SELECT batch, count(*) AS n FROM pairs WHERE NOT held GROUP BY batch)",
+        "ids AS (SELECT 'p_' || o_orderkey AS id, o_orderkey % nv AS k FROM orders, nv UNION ALL SELECT 'd_' || p_partkey, p_partkey % nv FROM part, nv)",
+        "s0 AS MATERIALIZED (SELECT id, unnest(range(64)) AS i, unnest(x) / 8 AS x, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v FROM ids JOIN vec ON vec_id = k)",
+        "l0 AS MATERIALIZED (SELECT id, list(x ORDER BY i) AS x FROM s0 GROUP BY id)",
+    ]
+    found, step = [], 0
+    for epoch in range(1, EPOCHS + 1):
+        for b in range(BATCHES):
+            old, step = f"s{step}", step + 1
+            parts.append(f"d{step} AS MATERIALIZED (SELECT source, target, 1 / (1 + exp(-list_dot_product(a.x, b.x))) - label AS d FROM pairs JOIN l{step - 1} a ON a.id = source JOIN l{step - 1} b ON b.id = target WHERE NOT held AND batch = {b})")
+            parts.append(f"g{step} AS MATERIALIZED (SELECT id, i, sum(g) / (SELECT n FROM sizes WHERE batch = {b}) AS g FROM (SELECT source AS id, i, d * x AS g FROM d{step} JOIN {old} ON id = target UNION ALL SELECT target, i, d * x FROM d{step} JOIN {old} ON id = source) GROUP BY id, i)")
+            m, v = "0.9 * m + 0.1 * g", "0.999 * v + 0.001 * g * g"
+            parts.append(f"s{step} AS MATERIALIZED (SELECT id, i, CASE WHEN g IS NULL THEN x ELSE x - {RATE} * (({m}) / {1 - 0.9**step}) / (sqrt(({v}) / {1 - 0.999**step}) + 1e-8) END AS x, CASE WHEN g IS NULL THEN m ELSE {m} END AS m, CASE WHEN g IS NULL THEN v ELSE {v} END AS v FROM {old} LEFT JOIN g{step} USING (id, i))")
+            parts.append(f"l{step} AS MATERIALIZED (SELECT id, list(x ORDER BY i) AS x FROM s{step} GROUP BY id)")
+        found.append(f"SELECT CAST({epoch} AS BIGINT) AS epoch, round(avg(l) FILTER (NOT held), 5) AS train_loss, round(avg(l) FILTER (held), 5) AS held_loss FROM (SELECT held, {loss} AS l FROM (SELECT label, held, list_dot_product(a.x, b.x) AS s FROM pairs JOIN l{step} a ON a.id = source JOIN l{step} b ON b.id = target))")
+    return ", ".join(parts) + " " + " UNION ALL ".join(found)
+
+
+@query(_training_sql())
+def q_training_losses(g: Lens) -> DataFrame:
+    """Losses of each of three epochs of two batches, on the pairs learned from and on a held fifth."""
+    pairs = _labeled_pairs(g).withColumn("held", portable_hash(F.col("number"), 3) < int(0.2 * 4294967296))
+    _, losses = training.train_vectors(pairs.where("NOT held"), pairs.where("held"), _start(g), EPOCHS, BATCHES, RATE)
+    return g.spark.createDataFrame([(e, round(a, 5), round(b, 5)) for e, a, b in losses], "epoch long, train_loss double, held_loss double")
