@@ -1,5 +1,5 @@
-"""Queries over vectors and neighbourhoods: similarity joins, structural vectors, restart walks, density clusters,
-complements."""
+"""Queries over vectors and neighbourhoods: similarity joins, restart walks, complements, structural vectors, density
+clusters, layers, training; and linking, percentiles and the stored graph."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.columns import portable_hash
-from graphloom.operators import complement, density, graph, propagate, similarity, structural, training, walks
-from graphloom.queries import ENDS, NBRS, QUERIES, SLOTS, SQL, VEC, _graph_vectors, _node_vectors, _slots, _spread, _walks, mix, query
+from graphloom.functions.columns import normalize_text, portable_hash
+from graphloom.operators import complement, density, graph, linking, propagate, similarity, structural, training, walks
+from graphloom.queries import ENDS, NBRS, NORMAL, QUERIES, SLOTS, SQL, TITLED, VEC, _graph_vectors, _node_vectors, _slots, _run, _spread, _titled, _walks, mix, query
 from graphloom.queries_typed import ALL
+from graphloom.sources import store
 from graphloom.sources.lens import Lens, views
 
 __all__ = ["QUERIES", "SQL"]
@@ -249,3 +250,34 @@ def q_training_losses(g: Lens) -> DataFrame:
     pairs = _labeled_pairs(g).withColumn("held", portable_hash(F.col("number"), 3) < int(0.2 * 4294967296))
     _, losses = training.train_vectors(pairs.where("NOT held"), pairs.where("held"), _start(g), EPOCHS, BATCHES, RATE)
     return g.spark.createDataFrame([(e, round(a, 5), round(b, 5)) for e, a, b in losses], "epoch long, train_loss double, held_loss double")
+
+
+# --- Linking without overlaps -------------------------------------------------------------------
+
+PLACES = f"""WITH RECURSIVE {TITLED.replace("WITH ", "", 1)}, bw AS (SELECT item_id, string_split({NORMAL.format("text")}, ' ') AS w FROM benchmark), bj AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS p FROM bw),
+gz AS (SELECT array_to_string(w[p : p + n - 1], ' ') AS name, item_id AS key, item_id * 37 % 101 AS confidence FROM bj, (SELECT unnest([1, 2, 3]) AS n) WHERE p + n - 1 <= len(w)),
+names AS (SELECT name, key FROM (SELECT name, key, row_number() OVER (PARTITION BY name ORDER BY confidence DESC, key) AS rn FROM gz WHERE confidence >= 20 AND name <> '') WHERE rn = 1),
+dw AS (SELECT id, string_split(content, ' ') AS w FROM d), dj AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS p FROM dw), runs AS (SELECT id, p - 1 AS start, p - 1 + n AS stop, array_to_string(w[p : p + n - 1], ' ') AS mention FROM dj, (SELECT unnest([1, 2, 3]) AS n) WHERE p + n - 1 <= len(w)),
+pl AS (SELECT id, start, stop, mention, key FROM runs JOIN names ON mention = name), m AS MATERIALIZED (SELECT id, start, max(stop) AS stop FROM pl GROUP BY id, start),
+nx AS MATERIALIZED (SELECT a.id, a.start, a.stop, b.start AS next FROM m a ASOF LEFT JOIN (SELECT id, start FROM m) b ON a.id = b.id AND a.stop <= b.start),
+took AS (SELECT id, min(start) AS start FROM m GROUP BY id UNION ALL SELECT t.id, nx.next FROM took t JOIN nx ON nx.id = t.id AND nx.start = t.start WHERE nx.next IS NOT NULL)"""
+
+
+@query(f"{PLACES} SELECT pl.id, pl.start, pl.stop, mention, key FROM took JOIN m USING (id, start) JOIN pl ON pl.id = m.id AND pl.start = m.start AND pl.stop = m.stop")
+def q_entity_linking_longest(g: Lens) -> DataFrame:
+    """Names are runs of one to three words of the benchmark items, with the item as key and a confidence."""
+    w = g.table("benchmark").select("item_id", F.split(normalize_text(F.col("text")), " ").alias("w"))
+    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.size("w")), _run(n)) for n in (1, 2, 3)]))
+    names = w.select(F.explode(runs).alias("name"), F.col("item_id").alias("key"), (F.col("item_id") * 37 % 101).alias("confidence")).where("name IS NOT NULL AND name <> ''")
+    found = linking.linked(_titled(g).select("id", "content"), names, least=20)
+    return found.withColumn("start", F.col("start").cast("long")).withColumn("stop", F.col("stop").cast("long"))
+
+
+# --- The stored graph ---------------------------------------------------------------------------
+
+
+@query(f"{views('pd', 'pa')} SELECT source, count(*) AS pairs FROM pd JOIN pa USING (source) GROUP BY source")
+def q_store_join(g: Lens) -> DataFrame:
+    """How many pairs of a dataset and an author each publication has, from the stored graph."""
+    name = store.write_graph(g.edges(*ALL).distinct())
+    return store.two_relations(g.spark, name, "pd", "pa").groupBy("source").agg(F.count("*").alias("pairs"))
