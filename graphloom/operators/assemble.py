@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.columns import node_type
 from graphloom.operators.encode import dense_numbers
-from graphloom.operators.graph import degrees, without_nodes
+from graphloom.operators.graph import degrees, largest_component, within_nodes, without_nodes
 from graphloom.plans.scratch import scratch
 
 
@@ -50,6 +50,38 @@ def message_graph(edges: DataFrame, parts: DataFrame, setup: str, rel: str = "pd
     return without_nodes(passed, gone)
 
 
+def message_nodes(nodes: DataFrame, parts: DataFrame, setup: str) -> DataFrame:
+    """The nodes (id) of a setup's message graph, with detached: whether their edges are gone while they stay. In the
+    setups train and light the nodes of held-out edges are removed, in trans they stay without edges."""
+    sources, targets = {"train": (("test_ind", "test_semi"), ("test_ind",)), "trans": (("test_ind", "test_semi"), ("test_ind",)), "light": (("test_ind",), ("test_ind",)), "full": ((), ())}[setup]
+    gone = parts.where(F.col("split").isin(*sources)).select(F.col("source").alias("id")).union(parts.where(F.col("split").isin(*targets)).select(F.col("target").alias("id"))).distinct()
+    if setup != "trans":
+        return nodes.select("id").join(gone, "id", "left_anti").withColumn("detached", F.lit(False))
+    return nodes.select("id").join(gone.withColumn("out", F.lit(True)), "id", "left").select("id", F.coalesce("out", F.lit(False)).alias("detached"))
+
+
+def holdout_graphs(edges: DataFrame, parts: DataFrame, rel: str = "pd") -> DataFrame:
+    """Graphs for training, validation and testing on unknown nodes: stage, setup, source, target, rel.
+
+    parts: the labelled relation's edges by split (train, validation, test). The validation graph has the validation edges
+    put back, the test graph all. Nodes of edges that a stage must not know are removed: their sources (setup light),
+    or both ends (full). Of what is left the largest component's nodes stay, with all edges among them.
+    """
+    part = lambda *splits: parts.where(F.col("split").isin(*splits)).select("source", "target")
+    out = None
+    for stage, known, unknown in (("train", ("train",), ("validation", "test")), ("validation", ("train", "validation"), ("test",)), ("test", ("train", "validation", "test"), ())):
+        graph = scratch(replace_edges(edges, rel, part(*known)))
+        for setup in ("light", "full"):
+            if stage != "test" or setup == "light":  # no node is unknown in testing
+                hidden = part(*unknown) if unknown else parts.select("source", "target").limit(0)
+                gone = hidden.select(F.col("source").alias("id"))
+                gone = gone if setup == "light" else gone.union(hidden.select(F.col("target").alias("id")))
+                nodes = scratch(largest_component(without_nodes(graph, gone.distinct()).select("source", "target")).select(F.col("node").alias("id")))
+            rows = within_nodes(edges, nodes, nodes).select(F.lit(stage).alias("stage"), F.lit(setup).alias("setup"), "source", "target", "rel")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def excluded_ends(edges: DataFrame, publications: DataFrame, datasets: DataFrame) -> DataFrame:
     """Edges without those that touch an excluded publication or dataset (id). Of a relation between publications and
     datasets both ends are looked at, of the others the source."""

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import normalize_text, portable_hash
-from graphloom.operators import complement, density, graph, linking, propagate, similarity, structural, training, walks
-from graphloom.queries import ENDS, NBRS, NORMAL, QUERIES, SLOTS, SQL, TITLED, VEC, _graph_vectors, _node_vectors, _slots, _run, _spread, _titled, _walks, mix, query
-from graphloom.queries_typed import ALL
+from graphloom.operators import assemble, complement, encode, density, graph, linking, propagate, similarity, structural, training, walks
+from graphloom.queries import ENDS, INDUCTIVE, NBRS, NORMAL, QUERIES, SLOTS, SQL, TITLED, TRANS, VEC, _graph_vectors, _inductive, _node_vectors, _run, _slots, _spread, _titled, _transductive, _walks, mix, query
+from graphloom.queries_typed import ALL, HELD, PRUNE_ALL, _held
+from graphloom.plans.scratch import scratch
 from graphloom.sources import store
 from graphloom.sources.lens import Lens, views
 
@@ -281,3 +282,75 @@ def q_store_join(g: Lens) -> DataFrame:
     """How many pairs of a dataset and an author each publication has, from the stored graph."""
     name = store.write_graph(g.edges(*ALL).distinct())
     return store.two_relations(g.spark, name, "pd", "pa").groupBy("source").agg(F.count("*").alias("pairs"))
+
+
+# --- Graphs with nodes removed ------------------------------------------------------------------
+
+CITED = ("pp", "pd", "dd", "pa", "da")
+
+
+def _pruned_nodes(g: Lens) -> DataFrame:
+    return QUERIES["q_prune_percentile_groups"](g.spark, g.dir)
+
+
+@query(PRUNE_ALL.replace("WITH ", "WITH RECURSIVE ", 1) + ", gone AS (" + " UNION ".join(f"SELECT id FROM d{i} WHERE degree > (SELECT quantile_cont(degree, 0.95) FROM d{i})" for i in (1, 2, 3, 4)) + """),
+left_ AS MATERIALIZED (SELECT source, target FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2) WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone)), adj AS MATERIALIZED (SELECT source AS x, target AS y FROM left_ UNION SELECT target, source FROM left_),
+every AS (SELECT DISTINCT unnest([source, target]) AS id FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2)), kept AS MATERIALIZED (SELECT id FROM every WHERE id NOT IN (SELECT id FROM gone)),
+reach AS (SELECT id FROM kept WHERE starts_with(id, 'd_') UNION SELECT y FROM reach JOIN adj ON x = id) SELECT id FROM kept WHERE id NOT IN (SELECT id FROM reach)""")
+def q_drop_components_pruned(g: Lens) -> DataFrame:
+    """Nodes of components without a dataset, in the graph of five relations after all percentile prunings. A node whose
+    neighbours were all pruned is a component of its own."""
+    edges = g.edges(*CITED).select("source", "target")
+    gone = scratch(_pruned_nodes(g))
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().join(gone, "id", "left_anti")
+    return graph.components_without(graph.without_nodes(edges, gone), "d_", nodes)
+
+
+GONE = {"train": "split IN ('test_ind', 'test_semi')", "light": "split = 'test_ind'", "full": "false"}
+
+
+@query(f"{INDUCTIVE}, n AS (SELECT 'p_' || o_orderkey AS id FROM orders UNION ALL SELECT 'd_' || p_partkey FROM part), " + ", ".join(f"{k}_gone AS (SELECT source AS id FROM parts WHERE {c} UNION SELECT target FROM parts WHERE {c} AND split = 'test_ind')" for k, c in GONE.items()) + " " + " UNION ALL ".join(f"SELECT '{k}' AS setup, id, false AS detached FROM n WHERE id NOT IN (SELECT id FROM {k}_gone)" for k in GONE) + " UNION ALL SELECT 'trans', id, id IN (SELECT id FROM train_gone) FROM n")
+def q_message_nodes(g: Lens) -> DataFrame:
+    """The nodes of each setup's message graph: removed where a node is unknown, detached where only its edges are."""
+    nodes, parts, out = g.publications().union(g.datasets()), _inductive(g), None
+    for setup in ("train", "trans", "light", "full"):
+        rows = assemble.message_nodes(nodes, parts, setup).select(F.lit(setup).alias("setup"), "id", "detached")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""{HELD}, tg AS (SELECT 'd_' || p_partkey AS target, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part WHERE 'd_' || p_partkey NOT IN (SELECT target FROM h)), sl AS (SELECT o_orderkey AS slot, 'p_' || o_orderkey AS source FROM orders WHERE 'p_' || o_orderkey NOT IN (SELECT source FROM h)),
+fr AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY idx) - 1 AS rank, count(*) OVER (PARTITION BY source) AS many FROM (SELECT * FROM sl, tg) ANTI JOIN ke USING (source, target)) SELECT slot, source, target FROM sl JOIN fr USING (source) WHERE rank = {mix('slot', 19)} % many""")
+def q_inductive_negatives(g: Lens) -> DataFrame:
+    """For each publication that is known in training a known dataset that it doesn't cite; ends of held-out edges are
+    unknown."""
+    _, held = _held(g)
+    held = scratch(held)
+    slots, targets = _slots(g)
+    slots = slots.join(held.select("source").distinct(), "source", "left_anti")
+    known = targets.select("target", "p_partkey").join(held.select("target").distinct(), "target", "left_anti")
+    numbered = encode.dense_numbers(known, ["p_partkey"])
+    return complement.free_at_random(slots, numbered, g.pd(), salt=19)
+
+
+def _holdout_sql() -> str:
+    parts = [f"{views('pp', 'dd', 'pa', 'da').replace('WITH', 'WITH RECURSIVE', 1)}, {TRANS.replace('WITH ', '', 1)}", "others AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT source, target, '{r}' AS rel FROM {r}" for r in ("pp", "dd", "pa", "da")) + ")"]
+    stages = {"train": ("'train'", "'validation', 'test'"), "validation": ("'train', 'validation'", "'test'"), "test": ("'train', 'validation', 'test'", "''")}
+    rows = []
+    for stage, (known, unknown) in stages.items():
+        for setup in ("light", "full"):
+            k = f"{stage}_{setup}"
+            ends = "source" if setup == "light" else "unnest([source, target])"
+            parts.append(f"h_{k} AS MATERIALIZED (SELECT DISTINCT {ends} AS id FROM trans WHERE split IN ({unknown}))")
+            parts.append(f"e_{k} AS MATERIALIZED (SELECT source, target FROM (SELECT source, target FROM others UNION ALL SELECT source, target FROM trans WHERE split IN ({known})) WHERE source NOT IN (SELECT id FROM h_{k}) AND target NOT IN (SELECT id FROM h_{k}))")
+            parts.append(f"a_{k} AS MATERIALIZED (SELECT source AS x, target AS y FROM e_{k} UNION SELECT target, source FROM e_{k})")
+            # The component of the node with the most neighbours; it holds more than half of all nodes here.
+            parts.append(f"r_{k} AS (SELECT x AS id FROM (SELECT x FROM a_{k} GROUP BY x ORDER BY count(*) DESC, x LIMIT 1) UNION SELECT y FROM r_{k} JOIN a_{k} ON x = id)")
+            rows.append(f"SELECT '{stage}' AS stage, '{setup}' AS setup, source, target, rel FROM (SELECT * FROM others UNION ALL SELECT source, target, 'pd' FROM trans) WHERE source IN (SELECT id FROM r_{k}) AND target IN (SELECT id FROM r_{k})")
+    return ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+@query(_holdout_sql())
+def q_holdout_graphs(g: Lens) -> DataFrame:
+    """Graphs for training, validation and testing when the ends of held-out citations are unknown."""
+    return assemble.holdout_graphs(g.edges(*CITED), _transductive(g))
