@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import portable_hash
 from graphloom.operators import augment, clean, model, rank, split, walks
-from graphloom.queries_typed import QUERIES
+from graphloom.queries_vectors import QUERIES
 
 RNG = np.random.default_rng(12)
 SEEDS = {"p_1": 3, "p_2": 1, "p_3": 5}
