@@ -13,7 +13,7 @@ and Kucherov 1999). Texts never match one another.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa

@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -268,7 +268,7 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
 
 
 def search(index: Index, items: DataFrame, k: int, key: str = "item_id") -> DataFrame:
-    """The k best documents of each item (key, text): key, rank (from 1), doc_id, score, tier.
+    """The k best documents of each item (key: a whole number, text): key, rank (from 1), doc_id, score, tier.
 
     Scores are integers as the index's impacts times the terms' weights, summed over the item's terms with
     repeats. Documents of score 0 are left out; equal scores go by doc_id (null last). tier: the last one that was
