@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.columns import leaky_relu, log_sigmoid, normalize_text, portable_hash, sigmoid, singular
+from graphloom.functions.columns import leaky_relu, log_sigmoid, normalize_text, portable_hash, sigmoid
 from graphloom.operators import assemble, augment, clean, graph, split, walks
-from graphloom.queries import DEGREE, INDUCTIVE, KEYED, NORMAL, PAIRS, QUERIES, SQL, STEPS, TOPICS, TRANS, VEC, _doc_topics, _inductive, _keyed, _node_vectors, _pairs, _topics, _transductive, _truth, _walks, mix, query
+from graphloom.queries import DEGREE, INDUCTIVE, KEYED, NORMAL, PAIRS, QUERIES, SQL, STEPS, TOPICS, TRANS, VEC, _doc_topics, _inductive, _keyed, _node_vectors, _topics, _transductive, _truth, _walks, mix, query
 from graphloom.sources.lens import Lens, views
 
 __all__ = ["QUERIES", "SQL"]
