@@ -11,6 +11,7 @@ from graphloom.operators.encode import dense_numbers
 from graphloom.plans.scratch import scratch
 
 CORE, TOP = ("publication", "dataset"), ("author", "organization", "venue")
+TOP_ORDER, KEY_ORDER = ("author", "venue", "organization"), ("keyword", "entity", "topic_keyword", "topic")
 
 
 def _draw(m: Column, start: int, digits: int) -> Column:
@@ -156,6 +157,16 @@ def cross_type_first(core: DataFrame, n: int) -> DataFrame:
     return core.drop("rank").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def in_type_order(best: DataFrame, kinds: tuple[str, ...], n: int) -> DataFrame:
+    """The n best neighbours (seed, node, score, rank) of each seed, by type in the given order and in a type by score and
+    id downward: seed, node, score, rank. Nodes of other types are left out."""
+    kind = node_type(F.col("node"))
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.coalesce(kind, F.lit("")))
+    chosen = best.where(F.col("rank") <= n).withColumn("__kind", place).where("__kind > 0")
+    order = Window.partitionBy("seed").orderBy("__kind", F.desc("score"), F.desc("node"))
+    return chosen.select("seed", "node", "score", F.row_number().over(order).alias("rank"))
+
+
 def padded(neighbors: DataFrame, seeds: DataFrame, n: int, width: int, vectors: DataFrame | None = None) -> DataFrame:
     """n rows for each seed: missing ranks are ('pad', -1, zeros)."""
     spine = seeds.select("seed").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n))))

@@ -257,3 +257,10 @@ def test_layers_against_plain_loops(spark):
     logs = vectors(spark, [(k, [0.1, -0.2, 0.3]) for k in names], "id string")
     kl = propagate.kl_to_normal(f, logs).first().kl
     assert kl == pytest.approx(np.mean([-0.5 * sum(1 + 2 * s - m * m - np.exp(2 * s) for m, s in zip(v, [0.1, -0.2, 0.3], strict=True)) for v in x.values()]))
+
+
+def test_neighbors_in_type_order(spark):
+    rows = [("s", n, sc, r) for r, (n, sc) in enumerate([("v_1", 0.9), ("a_2", 0.8), ("o_1", 0.7), ("a_1", 0.7), ("k_1", 0.6), ("a_9", 0.1)], 1)]
+    best = spark.createDataFrame(rows, "seed string, node string, score double, rank int")
+    found = walks.in_type_order(best, walks.TOP_ORDER, 5).orderBy("rank").collect()
+    assert [(r.node, r["rank"]) for r in found] == [("a_2", 1), ("a_1", 2), ("v_1", 3), ("o_1", 4)]
