@@ -171,6 +171,24 @@ SQL: dict[str, str] = {
         SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
         QUALIFY rank <= 20
     """,
+    # Every two equal words at most a quarter of the text apart; stretches of them at one distance are runs.
+    "op13_runs": f"""
+        WITH b AS (SELECT doc_id, {SPACED_WORDS} AS w, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+            lambda c: list_transform(range(8), lambda k: (CAST(ascii(c) AS BIGINT) >> k) & 1)))), lambda c, x: xor(c >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS h FROM documents),
+        c AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM b),
+        e AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM c), f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+        d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM f),
+        words AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+        eq AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+        runs AS MATERIALIZED (SELECT doc_id, s, len, min(q) AS p FROM stretches GROUP BY doc_id, s, len),
+        dropped AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM runs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id),
+        best AS (SELECT doc_id, s, len, p FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, s, p) = 1),
+        listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS list FROM runs GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, p AS period, 1000 * len // p AS exponent_milli, sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
