@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import complement, density, graph, propagate, similarity, split, structural, walks
+from graphloom.operators import complement, density, graph, propagate, rank, similarity, split, structural, walks
 
 
 def vectors(spark, rows, key="id long"):
@@ -264,3 +264,28 @@ def test_neighbors_in_type_order(spark):
     best = spark.createDataFrame(rows, "seed string, node string, score double, rank int")
     found = walks.in_type_order(best, walks.TOP_ORDER, 5).orderBy("rank").collect()
     assert [(r.node, r["rank"]) for r in found] == [("a_2", 1), ("a_1", 2), ("v_1", 3), ("o_1", 4)]
+
+
+def test_numbered_pairs_meet_their_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rank, "GROUP", 50)
+    rng = np.random.default_rng(4)
+    x = {i: rng.standard_normal(5) for i in range(40)} | {40: np.zeros(5)}
+    pairs = [(n, int(a), int(b)) for n, (a, b) in enumerate(rng.integers(0, 43, (400, 2)))]  # 41 and 42 have no vector
+    table = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in x.items()], "vec long, x array<float>")
+    found = {r.n: r.score for r in rank.numbered_cosines(spark.createDataFrame(pairs, "n int, va long, vb long"), table).collect()}
+    assert set(found) == {n for n, a, b in pairs if a < 41 and b < 41}
+    for n, a, b in pairs:
+        if n in found:
+            want = None if 40 in (a, b) else x[a] @ x[b] / np.sqrt((x[a] @ x[a]) * (x[b] @ x[b]))
+            assert found[n] == (None if want is None else pytest.approx(want, abs=1e-5))
+
+
+def test_links_are_dealt_once_for_all_steps_of_walks(spark):
+    given = spark.createDataFrame([("hub", f"n{i}") for i in range(50)] + [("n1", "n2")], "source string, target string")
+    nodes, links = walks.numbered_links(given)
+    sizes = {r.node: (r.first, r.size) for r in nodes.collect()}
+    rows = links.orderBy("at").collect()
+    assert [r.at for r in rows] == list(range(102)) and all((r.first, r.size) == sizes[r.next] for r in rows)
+    # The walks are shuffled by the number of the link, the links are not.
+    asked = spark.createDataFrame([(3,)], "at long").hint("shuffle_hash").join(links, "at", "left")
+    assert asked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(at") == 1
