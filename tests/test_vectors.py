@@ -289,3 +289,29 @@ def test_links_are_dealt_once_for_all_steps_of_walks(spark):
     # The walks are shuffled by the number of the link, the links are not.
     asked = spark.createDataFrame([(3,)], "at long").hint("shuffle_hash").join(links, "at", "left")
     assert asked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(at") == 1
+
+
+def test_pairs_are_counted_and_cut_where_they_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(rank, "QUERIES", 3)
+    monkeypatch.setattr(rank, "CANDIDATES", 11)
+    rng = np.random.default_rng(8)
+    x = {i: rng.integers(-2, 3, 3).astype(float) for i in range(60)}  # few different vectors, so scores tie, and some are zero
+    rows = spark.createDataFrame([(i, [float(e) for e in v], i % 4) for i, v in x.items()], "vec_id long, x array<float>, label int")
+    asked, all_ = rows.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query"), rows.withColumnRenamed("vec_id", "candidate")
+    score = lambda a, b: round(float(x[a] @ x[b] / np.sqrt((x[a] @ x[a]) * (x[b] @ x[b]))), 6) if x[a].any() and x[b].any() else None
+    want = {(a, b): score(a, b) for a in range(0, 60, 5) for b in x if a != b}
+    counts = Counter((s, int(a % 4 == b % 4)) for (a, b), s in want.items())
+    assert {(r.score, r.label): r.n for r in rank.score_counts(asked, all_, (6,)).collect()} == counts
+    cut = rank.scored_pairs(asked, all_, digits=6, best=7).where("query <> candidate")
+    plain = defaultdict(list)
+    for (a, b), s in want.items():
+        plain[a].append((-s if s is not None else 9, b))
+    assert {(r.query, r.candidate) for r in rank.top_k(cut, 7).collect()} == {(a, b) for a, found in plain.items() for _, b in sorted(found)[:7]}
+    assert all(want[r.query, r.candidate] == r.score for r in cut.collect())
+
+
+def test_areas_of_counted_pairs(spark):
+    counted = spark.createDataFrame([(0.9, 1, 2), (0.5, 0, 3), (0.1, 1, 1)], "score double, label int, n long")
+    plain = counted.select(F.explode(F.array_repeat(F.struct("score", "label"), F.col("n").cast("int"))).alias("r")).select("r.*")
+    assert rank.auc(counted).first() == rank.auc(plain).first() and rank.average_precision(counted).first() == rank.average_precision(plain).first()
+    assert rank.f1_at(counted, 0.5).first() == rank.f1_at(plain, 0.5).first()
