@@ -107,3 +107,21 @@ def test_parts_and_negatives_are_read_not_made_again(spark):
     found = split.negatives_at_random(slots, targets, edges)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 50 and found.join(edges, ["source", "target"]).count() == 0
+
+
+def test_rounds_of_components_leave_fewer_edges(spark, monkeypatch):
+    from graphloom.operators import components
+
+    sizes, kept = [], components.scratch
+
+    def counted(df):
+        out = kept(df)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "scratch", counted)
+    path = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "y"), ("z", "z"), ("z", None)]
+    found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(path, "source string, target string")).collect()}
+    assert found == {f"n{i:03}": "n000" for i in range(61)} | {"x": "x", "y": "x", "z": "z"}
+    assert sizes[0] == 63 and sizes[-1] == 0 and all(b < a for a, b in zip(sizes[1:], sizes[2:], strict=False))
