@@ -329,3 +329,46 @@ def test_negatives_by_numbers_of_vectors_are_those_by_vectors(spark):
     both = [d.join(table, "vec").drop("vec") for d in (given, targets)]
     plain = split.negatives_by_cosine(both[0], targets.select("idx", "target"), edges, both[1].select("target", "x"), tries=4, rounds=2).collect()
     assert len(found) == 30 and {(r.slot, r.source, r.target, r.score) for r in found} == {(r.slot, r.source, r.target, r.score) for r in plain}
+
+
+@pytest.mark.parametrize("digits", [(9, 3), (2,)])
+def test_counts_in_single_precision_are_exact(spark, digits):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((700, 6)).astype(np.float32)
+    x[5] = 0
+    rows = spark.createDataFrame([(i, [float(e) for e in v], i % 3) for i, v in enumerate(x)], "vec_id long, x array<float>, label int")
+    y = x.astype(float)
+    with np.errstate(invalid="ignore"):
+        score = (y @ y.T) / np.sqrt(np.outer((y * y).sum(1), (y * y).sum(1)))
+    for d in digits:
+        score = np.copysign(np.floor(np.abs(score) * 10.0**d + 0.5) / 10.0**d, score) + 0.0
+    want = Counter((None if np.isnan(s) else float(s), int(a % 3 == b % 3)) for a in range(0, 700, 5) for b, s in enumerate(score[a]) if a != b)
+    found = rank.score_counts(rows.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query"), rows.withColumnRenamed("vec_id", "candidate"), digits)
+    assert {(r.score, r.label): r.n for r in found.collect()} == want
+
+
+def test_copies_of_a_vector_are_cut_in_their_block(spark, monkeypatch):
+    monkeypatch.setattr(rank, "FEW", 100)
+    rows = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [1.0, float(i)]) for i in range(900)], "id long, x array<float>")
+    asked = rows.where("id < 20").withColumnRenamed("id", "query")
+    found = rank.scored_pairs(asked, rows.withColumnRenamed("id", "candidate"), digits=9, best=5)
+    blocks = 4  # as many as tasks
+    assert 20 * 6 <= found.count() <= 20 * 6 * blocks
+    best = {(r.query, r.candidate) for r in rank.top_k(found.where("query <> candidate"), 5).collect() if r.query % 3}
+    assert best == {(q, c) for q in range(20) if q % 3 for c in [c for c in range(20) if c % 3 and c != q][:5]}
+
+
+def test_pairs_after_those_that_are_known(spark):
+    rows = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(9)], "candidate long, x array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0], 0.98, 2), (1, [1.0, 0.0], float("-inf"), 5)], "query long, x array<double>, last_score double, last_candidate long")
+    found = rank.scored_pairs(asked, rows, digits=2, over=0.9)
+    assert {(r.query, r.candidate) for r in found.collect()} == {(0, 3), (0, 4)}
+
+
+def test_metrics_by_labels_are_those_by_pairs(spark):
+    labels = spark.createDataFrame([(i, None if i == 7 else i % 3) for i in range(20)] + [(30, 9)], "id long, label int")
+    ranked = spark.createDataFrame([(q, c, n + 1) for q in (0, 5, 7, 30) for n, c in enumerate(c for c in range(12) if c != q)], "query long, candidate long, rank int")
+    both = labels.withColumnsRenamed({"id": "query"}).join(labels.withColumnRenamed("id", "candidate"), "label").where("query <> candidate and query in (0, 5, 7, 30)")
+    by = [rank.label_metrics(ranked, labels), rank.rank_metrics(ranked, both)]
+    found, want = (sorted(map(tuple, m.select("query", "k", "precision", "recall", "ndcg").collect())) for m in by)
+    assert len(found) == 6 and all(f == pytest.approx(w) for f, w in zip(found, want, strict=True))
