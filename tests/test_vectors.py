@@ -372,3 +372,20 @@ def test_metrics_by_labels_are_those_by_pairs(spark):
     by = [rank.label_metrics(ranked, labels), rank.rank_metrics(ranked, both)]
     found, want = (sorted(map(tuple, m.select("query", "k", "precision", "recall", "ndcg").collect())) for m in by)
     assert len(found) == 6 and all(f == pytest.approx(w) for f, w in zip(found, want, strict=True))
+
+
+@pytest.mark.parametrize("whole", [0, 1000])
+def test_similar_pairs_of_many_classes_and_of_all(spark, monkeypatch, whole):
+    monkeypatch.setattr(similarity, "WHOLE", whole)
+    monkeypatch.setattr(similarity, "BLOCK", 60)
+    rows = clustered(5, n=240) + [(900 + i, np.ones(12)) for i in range(40)] + [(950, np.zeros(12)), (951, None)]
+    found = similarity.similar_pairs(vectors(spark, rows), 0.75, recall=0.9999).collect()
+    want = plain_pairs(rows, 0.75)
+    assert sorted((r.a, r.b) for r in found) == sorted(want) and all(abs(r.score - want[r.a, r.b]) < 1e-9 for r in found)
+
+
+def test_pairs_of_little_similarity_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, x) for i, x in enumerate(rng.standard_normal((300, 32)))]
+    want = plain_pairs(rows, 0.45)
+    assert 20 < len(want) and {(r.a, r.b) for r in similarity.similar_pairs(vectors(spark, rows), 0.45, recall=0.5).collect()} == set(want)
