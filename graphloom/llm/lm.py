@@ -29,7 +29,7 @@ which word how often. Ranges are dealt again to salts by slice, so that a word o
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,12 @@ def tables(of_symbol: np.ndarray, rare: np.ndarray, place: np.ndarray, n: np.nda
     return Tables(of_symbol, rare, of_class, start, share)
 
 
+def for_training(t: Tables) -> Tables:
+    """What gradients need of the tables. Shares are by far the largest part, and each executor writes what is broadcast to
+    its disk."""
+    return replace(t, rare=np.zeros(0), share=np.zeros((0, 0), np.uint16))
+
+
 def initial(width: int = WIDTH, classes: int = CLASSES, inputs: int = INPUTS, context: int = CONTEXT, seed: int = 5) -> dict[str, np.ndarray]:
     """q, k, v: a query, key and value for each input; near: what a distance adds to an attention; out: from the
     mixed values to the logits of classes, which is zero at first."""
@@ -510,9 +516,9 @@ def train(slices: DataFrame, tokenizer: str, rounds: int = 2) -> Model:
     of_symbol, rare = outputs(counts)
     pairs = slices.mapInArrow(_count_pairs(context.broadcast(of_symbol)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # INPUTS * INPUTS rows at most
     t = tables(of_symbol, rare, pairs.column("place").to_numpy(), pairs.column("n").to_numpy())
-    w = initial()
+    w, few = initial(), for_training(t)
     for number in range(rounds):
-        steps = slices.mapInArrow(_train_part(context.broadcast((w, t)), number > 0), "place long, sums array<double>, parts long")
+        steps = slices.mapInArrow(_train_part(context.broadcast((w, few)), number > 0), "place long, sums array<double>, parts long")
         sums = steps.select("place", F.posexplode("sums").alias("at", "x"), "parts").groupBy("place", "at").agg((F.sum("x") / F.sum("parts")).alias("x"))
         found = sums.orderBy("place", "at").select("x").toArrow().column("x").to_numpy()
         if not len(found):

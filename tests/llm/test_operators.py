@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -216,6 +217,18 @@ def test_every_training_document_gives_a_gradient(monkeypatch):
         assert sum(steps) == wanted
 
 
+def test_what_training_broadcasts_is_small(spark, documents, monkeypatch):
+    """Each executor writes what is broadcast to its disk, so only the scores get the table of shares, once."""
+    sizes, rounds = [], 3
+    context = type(spark.sparkContext)
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (sizes.append(len(pickle.dumps(value))), broadcast(self, value))[1])
+    docs = spark.createDataFrame(list(documents)[:20], "doc_id long, text string")
+    assert lm.score_documents(docs, F.lit(True), WORD_BPE, rounds=rounds).count() == 20
+    large = lm.INPUTS * lm.INPUTS * 2
+    assert len(sizes) == rounds + 2 and max(sizes) > large and sum(sizes) < 1.5 * large
+
+
 def _in_task(run, batches):
     from unittest import mock
 
