@@ -216,6 +216,56 @@ def test_density_topics_find_groups_and_outliers(spark):
     assert [tuple(r) for r in density.density_topics(none).orderBy("id").collect()] == [(1, -1), (2, -1)]
 
 
+def components_at(edges, cut):
+    """The smallest point that each reaches by edges up to the cut."""
+    root = {}
+
+    def top(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b, w in edges:
+        if w <= cut:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    return {i: top(i) for i in root}
+
+
+def test_forests_have_the_components_of_all_pairs(spark, monkeypatch):
+    """By blocks no more than a forest of each two is written, with the components of all pairs at each level."""
+    monkeypatch.setattr(similarity, "FEW", 60)
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((5, 6))
+    rows = [(i, centres[i % 5] + (0.2 + 0.1 * (i % 3)) * rng.standard_normal(6)) for i in range(200)]
+    rows += [(300 + i, rows[i][1]) for i in range(0, 60, 2)] + [(500, np.zeros(6)), (501, None)]
+    given = vectors(spark, rows)
+    classes = similarity.vector_classes(given)
+    weights = classes.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("weight"))
+    pairs = similarity.similar_pairs(given, 0.3).select("a", "b", (1 - F.col("score")).alias("d"))
+    every = [tuple(r) for r in density.reachability(pairs, weights, 3).collect()]
+    found, cuts = density._compared(classes, weights, 3, 0.3, 12)
+    edges = [tuple(r) for r in found.collect()]
+    wanted = np.quantile([w for _, _, w in every], [(i + 1) / 12 for i in range(12)])
+    assert cuts == pytest.approx(wanted, abs=2e-3) and len(edges) < len(every) / 3
+    for cut in cuts:
+        assert components_at(edges, cut) == components_at(every, cut)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spanning_forests(seed):
+    rng = np.random.default_rng(seed)
+    u, v = rng.integers(0, 300, (2, 900))
+    u, v = u[u != v], v[u != v]
+    w = rng.integers(0, 50, len(u)) / 10
+    keep = density.spanning_forest(u, v, w, 300)
+    edges = list(zip(u.tolist(), v.tolist(), w.tolist(), strict=True))
+    for cut in (0.3, 1.0, 5.0):
+        some, every = components_at([edges[i] for i in keep], cut), components_at(edges, cut)
+        assert some == every
+    assert len(keep) == len(every) - len(set(every.values()))
+
+
 def test_core_distances_count_copies(spark):
     pairs = spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.5), (2, 3, 0.2)], "a long, b long, d double")
     weights = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "id long, weight long")
