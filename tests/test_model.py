@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import portable_hash
@@ -101,6 +103,23 @@ def test_classifier_on_held_out_rows(spark):
     assert rank.auc(found.where("held").select("score", "label")).first().auc > 0.9
 
 
+def test_classifier_in_blocks_is_the_regression(spark, monkeypatch):
+    """By blocks, without any product written, the chances are those of Spark's own regression over products."""
+    monkeypatch.setattr(model, "PAIRS", 100)
+    monkeypatch.setattr(model, "SIDE", 10)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 3)) + 0.3
+    rows = [(i, int(a), int(b), int(x[a] @ x[b] + rng.standard_normal() > 0), i % 5 == 0) for i, (a, b) in enumerate(rng.integers(0, 40, (900, 2)))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec long, x array<double>")
+    pairs = spark.createDataFrame([*rows, (900, 1, 77, 1, False)], "n int, va long, vb long, label int, held boolean")
+    found = {r.n: r for r in model.numbered_classifier(pairs, table).collect()}
+    assert set(found) == set(range(900)) and all((found[r[0]].label, found[r[0]].held) == r[3:] for r in rows)
+    data = spark.createDataFrame([(r[0], (x[r[1]] * x[r[2]]).tolist(), float(r[3]), r[4]) for r in rows], "n int, p array<double>, label double, held boolean").withColumn("features", array_to_vector("p"))
+    fitted = LogisticRegression(maxIter=200, regParam=0.01, tol=1e-12).fit(data.where("NOT held"))
+    for r in fitted.transform(data).select("n", vector_to_array("probability")[1].alias("p")).collect():
+        assert found[r.n].score == pytest.approx(r.p, abs=1e-5)
+
+
 def test_clusters_find_groups_apart(spark):
     rng = np.random.default_rng(4)
     centres = 5 * rng.standard_normal((3, 12))
