@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import portable_hash
-from graphloom.operators import augment, clean, model, rank, split, walks
+from graphloom.operators import augment, clean, encode, model, rank, split, walks
 from graphloom.queries_vectors import QUERIES
 
 RNG = np.random.default_rng(12)
@@ -79,6 +79,28 @@ def test_walks_end_at_dead_ends(spark):
     assert {r.seed: r.path for r in walks.uniform_walks(seeds, edges, 1, 4).collect()} == {"p_1": ["p_1", "d_1", "p_1", "d_1"], "p_2": ["p_2"]}
 
 
+def test_equal_links_are_numbered_once(spark):
+    """Equal rows and both directions of a link, in one range of the order, take one number; no shuffle comes before it."""
+    edges = spark.createDataFrame([(f"p_{i % 7}", f"d_{i % 5}") for i in range(200)] + [(f"d_{i % 5}", f"p_{i % 7}") for i in range(35)], "source string, target string")
+    nodes, places = walks.numbered_edges(edges)
+    wanted = sorted({(f"p_{i}", f"d_{j}") for i in range(7) for j in range(5)} | {(f"d_{j}", f"p_{i}") for i in range(7) for j in range(5)})
+    assert [(r.at, r.node, r.next) for r in places.orderBy("at").collect()] == [(at, *pair) for at, pair in enumerate(wanted)]
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("next"))
+    found = encode.dense_numbers(both, ["node", "next"], "at", once=True)
+    assert found.count() == 35 + 35 and found.agg(F.max("at")).first()[0] == 69
+
+
+def test_steps_scored_by_numbers_from_ids(spark):
+    """Numbers of vectors that follow from ids need no join, and only the columns asked for are carried."""
+    steps = spark.createDataFrame([("p_1", 0, "d_4", 1, "core", 1.0), ("p_1", 0, "a_2", 2, "top", 0.5), ("p_2", 1, "p_1", 1, "core", 1.0)], "seed string, walk int, node string, distance int, grp string, penalty double")
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 2.0])], "vec long, x array<double>")
+    number = lambda node: F.substring(node, 3, 20).cast("long") % 3
+    ids = spark.createDataFrame([(k, int(k[2:]) % 3) for k in ("p_1", "p_2", "d_4")], "id string, vec long")
+    found = walks.walk_scores(steps, number, table, ("seed", "walk", "grp", "penalty"))
+    assert found.columns == ["seed", "walk", "grp", "penalty", "score"]
+    assert sorted((r.seed, r.grp, round(r.score, 9)) for r in found.collect()) == sorted((r.seed, r.grp, round(r.score, 9)) for r in walks.walk_scores(steps, ids, table).collect())
+
+
 def test_hashes_of_large_keys(spark):
     keys = [0, 1, 2**31, 3_480_000_000, 15_000_000_000, 2**62]
     found = spark.createDataFrame([(k,) for k in keys], "k long").select("k", portable_hash(F.col("k"), 17).alias("h")).collect()
