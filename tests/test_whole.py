@@ -9,3 +9,43 @@ def test_classifier_has_a_negative_for_each_edge(spark):
     rows = QUERIES["q_link_classifier"](spark, SF).groupBy("label", "source").count().collect()
     many = {label: {r.source: r["count"] for r in rows if r.label == label} for label in (0, 1)}
     assert many[0] == many[1] and sum(many[1].values()) > len(many[1])
+
+
+def test_walks_in_groups_keep_only_their_results(spark, monkeypatch):
+    from graphloom.operators import walks
+    from graphloom.plans import scratch
+
+    whole = sorted(map(tuple, QUERIES["q_walk_select_full"](spark, SF).collect()))
+    monkeypatch.setattr(walks, "STEPS", 20_000)
+    before = scratch.made()
+    found = QUERIES["q_walk_select_full"](spark, SF)
+    results = scratch.made() - before - 2  # nodes and links stay
+    assert results == 3 and sorted(map(tuple, found.collect())) == whole
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_selected_steps_are_shuffled_once(spark):
+    from graphloom.operators import walks
+
+    rows = [("s", w, f"d_{w}_{i}", g, 1.0, w / 10) for w in range(6) for i, g in enumerate(("core", "core", "key", "top"))]
+    scored = spark.createDataFrame(rows, "seed string, walk int, node string, grp string, penalty double, score double")
+    chosen = walks.selected_walks(scored, 4, 2, 1, least=1, most=5)
+    assert chosen._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, chosen.collect())) == [("s", 4, 2, 2), ("s", 5, 1, 2)]
+    # A quota that no number of walks meets takes most.
+    assert walks.selected_walks(scored, 99, 1, 1, least=1, most=5).count() == 5
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    import os
+
+    from graphloom.plans import scratch
+
+    def shuffled():
+        root = spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark._jsc.sc().conf())
+        return sum(f.startswith("shuffle_") for top in os.scandir(os.path.dirname(root)) if top.is_dir() and top.name.startswith("blockmgr") for _, _, files in os.walk(top.path) for f in files)
+
+    before = shuffled()
+    assert scratch.scratch(spark.range(1000).repartition(7).groupBy("id").count()).count() == 1000
+    scratch.bucketed(spark.range(1000).groupBy("id").count(), "id")
+    assert shuffled() <= before + 2  # those of the count
