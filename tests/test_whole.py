@@ -49,3 +49,8 @@ def test_scratch_leaves_no_shuffle_files(spark):
     assert scratch.scratch(spark.range(1000).repartition(7).groupBy("id").count()).count() == 1000
     scratch.bucketed(spark.range(1000).groupBy("id").count(), "id")
     assert shuffled() <= before + 2  # those of the count
+
+
+def test_key_neighbors_come_from_walks_of_full_size(spark):
+    found = QUERIES["q_key_neighbors"](spark, SF)
+    assert found.where("rank = 3").count() > 0.9 * found.select("seed").distinct().count()
