@@ -54,3 +54,12 @@ def test_scratch_leaves_no_shuffle_files(spark):
 def test_key_neighbors_come_from_walks_of_full_size(spark):
     found = QUERIES["q_key_neighbors"](spark, SF)
     assert found.where("rank = 3").count() > 0.9 * found.select("seed").distinct().count()
+
+
+def test_losses_shuffle_no_vectors(spark, monkeypatch):
+    from graphloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "ROWS", 1000)  # several blocks
+    found = QUERIES["q_losses"](spark, SF)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "FlatMapCoGroupsInArrow" in text and len(found.collect()) == 1
