@@ -63,3 +63,32 @@ def test_losses_shuffle_no_vectors(spark, monkeypatch):
     found = QUERIES["q_losses"](spark, SF)
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and "FlatMapCoGroupsInArrow" in text and len(found.collect()) == 1
+
+
+def test_least_similar_draws_are_made_in_blocks(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import complement
+
+    rng = random.Random(8)
+    edges = {(f"p{rng.randrange(40)}", f"d{rng.randrange(30)}") for _ in range(150)} | {("p0", f"d{i}") for i in range(30)} | {("p1", f"d{i}") for i in range(29)}
+    edges = spark.createDataFrame(sorted(edges), "source string, target string")
+    slots = spark.createDataFrame([(i, f"p{i % 45}", i % 7) for i in range(300)], "slot long, source string, vec long")
+    targets = spark.createDataFrame([(i, f"d{i}") for i in range(30)], "idx long, target string")
+    vectors = targets.select("target", (F.col("idx") % 8).alias("vec"))  # number 7 is missing, number 6 is zero
+    table = spark.createDataFrame([(i, [rng.gauss(0, 1) * (i != 6) for _ in range(4)]) for i in range(7)], "vec long, x array<double>")
+    wanted = sorted(map(tuple, complement._shuffled_draws(slots, targets, edges, vectors, 5, 3, table).collect()), key=str)
+
+    def found():
+        return sorted(map(tuple, complement.free_least_similar(slots, targets, edges, vectors, 5, 3, table).collect()), key=str)
+
+    monkeypatch.setattr(complement, "free_draws", None)  # no draw is a row
+    assert found() == wanted and len(wanted) < 300
+    monkeypatch.setattr(complement, "SLOTS", 40)
+    monkeypatch.setattr(complement, "AT_ONCE", 20)
+    assert found() == wanted
+    monkeypatch.undo()
+    monkeypatch.setattr(complement, "KNOWN", 3)
+    assert found() == wanted
