@@ -92,3 +92,17 @@ def test_least_similar_draws_are_made_in_blocks(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(complement, "KNOWN", 3)
     assert found() == wanted
+
+
+def test_restart_walks_propose_once_first(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import walks
+
+    ring = [(f"p_{i}", f"p_{(i + 1) % 5}") for i in range(5)] + [(f"p_{i}", f"p_{(i + 2) % 5}") for i in range(5)]
+    edges = spark.createDataFrame(ring, "source string, target string")  # all are neighbours of all, so a proposal is taken once in ten
+    nodes, places = walks.numbered_edges(edges)
+    known = edges.union(edges.select("target", "source")).toDF("prev", "next").distinct().withColumn("near", F.lit(True))
+    front = spark.range(400).select(F.lit("p_0").alias("seed"), F.col("id").alias("walk"), F.lit(1).alias("step"), F.lit(0).alias("round"), F.lit("p_1").alias("prev"), F.lit("p_0").alias("cur"))
+    left = walks._proposals(front, nodes, places, known, 8, 0.0, 1.0, 0.1, 0).where("got IS NULL").count()
+    assert 320 < left < 400  # of eight proposals at once some 170 would be left
