@@ -106,3 +106,21 @@ def test_restart_walks_propose_once_first(spark):
     front = spark.range(400).select(F.lit("p_0").alias("seed"), F.col("id").alias("walk"), F.lit(1).alias("step"), F.lit(0).alias("round"), F.lit("p_1").alias("prev"), F.lit("p_0").alias("cur"))
     left = walks._proposals(front, nodes, places, known, 8, 0.0, 1.0, 0.1, 0).where("got IS NULL").count()
     assert 320 < left < 400  # of eight proposals at once some 170 would be left
+
+
+def test_factors_meet_values_in_blocks(spark, monkeypatch):
+    from graphloom.operators import structural
+
+    seen, times = [], structural._times
+
+    def watched(matrix, factors):
+        out = times(matrix, factors)
+        seen.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(structural, "_times", watched)
+    rows = [(a, b, float((i + j) % 3)) for i, a in enumerate("abcd") for j, b in enumerate("abcd")]
+    found, values = structural.factorize(spark.createDataFrame(rows, "node string, context string, v double"), width=2, rounds=3, extra=1)
+    assert seen and all("FlatMapCoGroupsInArrow" in plan and "Join" not in plan for plan in seen)
+    want = sorted((abs(v) for v in __import__("numpy").linalg.eigvalsh([[float((i + j) % 3) for j in range(4)] for i in range(4)])), reverse=True)
+    assert abs(abs(values[0]) - want[0]) < 1e-6 and {r.id for r in found.collect()} == set("abcd")
